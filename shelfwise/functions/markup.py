@@ -121,6 +121,11 @@ def text_nodes(html_text: Column) -> Column:
     return F.regexp_replace(html_text, rf"(?is){_HIDDEN}|</?[a-z!?]{ATTRS}>", "\u0001")
 
 
+def all_strings(html_text: Column) -> Column:
+    """Every string of the page, comments and scripts included, with U+0001 between them."""
+    return F.regexp_replace(html_text, rf"(?is)<!--|-->|</?[a-z!?]{ATTRS}>", "\u0001")
+
+
 def raw_text(html_text: Column) -> Column:
     """Text nodes joined as they are."""
     return unescape(F.replace(text_nodes(html_text), F.lit("\u0001"), F.lit("")))

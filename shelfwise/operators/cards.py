@@ -17,25 +17,27 @@ ANY_TAG = r"[a-z][\w:-]*+"
 _OWN_TEXT_TAGS = "span|div|p|strong|b"
 
 
-def page_cards(pages: DataFrame, site: SiteProfile = DEFAULT_SITE) -> DataFrame:
-    """One row per distinct product link: page columns, `pos`, `href`, its markup and surroundings.
+def linked_pages(pages: DataFrame, site: SiteProfile = DEFAULT_SITE) -> DataFrame:
+    """Pages with `links` in place of their HTML: the distinct product links and their surroundings.
 
-    All steps stay inside the row of the page; only the short pieces around links leave it. They
-    are separate projections because each one reads the result of the one before several times.
+    All steps stay inside the row of the page; only short pieces around links leave it. They are
+    separate projections because each one reads the result of the one before several times.
     """
     others = [c for c in pages.columns if c != "html"]
     parsed = pages.select(*others, nesting.page_links(markup.normalise(F.col("html"))).alias("links"))
-    linked = parsed.select(
+    wanted = parsed.select(
         *others,
         F.filter(
-            F.transform(
-                "links", lambda x: x.withField("href", markup.attr(x["opening"], "href"))
-            ),
+            F.transform("links", lambda x: x.withField("href", markup.attr(x["opening"], "href"))),
             lambda x: x["href"].startswith(site.product_prefix),
         ).alias("links"),
     )
-    distinct = linked.select(*others, first_occurrences(F.col("links")).alias("links"))
-    return unnest(distinct, others, "links").drop("container")
+    return wanted.select(*others, first_occurrences(F.col("links")).alias("links"))
+
+
+def page_cards(linked: DataFrame) -> DataFrame:
+    """One row per product link: page columns, `pos`, `href`, its markup and surroundings."""
+    return unnest(linked, [c for c in linked.columns if c != "links"], "links").drop("container")
 
 
 def _if_has(markup_text: Column, word: str, value: Column) -> Column:
@@ -218,14 +220,18 @@ def product_columns(site: SiteProfile = DEFAULT_SITE) -> dict[str, Column]:
     return values
 
 
-def extract_products(pages: DataFrame, site: SiteProfile = DEFAULT_SITE) -> DataFrame:
-    """Pages to product rows: page columns, `pos`, the 18 fields and the methods that won."""
-    others = [c for c in pages.columns if c != "html"]
-    cards = with_price(with_title(page_cards(pages, site)))
-    return cards.select(
+def products_of(linked: DataFrame, site: SiteProfile = DEFAULT_SITE) -> DataFrame:
+    """Linked pages to product rows: page columns, `pos`, the 18 fields and the methods that won."""
+    others = [c for c in linked.columns if c != "links"]
+    return with_price(with_title(page_cards(linked))).select(
         *others,
         "pos",
         *[value.alias(name) for name, value in product_columns(site).items()],
         "title_method",
         "price_method",
     )
+
+
+def extract_products(pages: DataFrame, site: SiteProfile = DEFAULT_SITE) -> DataFrame:
+    """Search pages to product rows."""
+    return products_of(linked_pages(pages, site), site)

@@ -25,9 +25,9 @@ PAGE_IN_TEXT = r"(?iU)page\s*(\d+)"
 
 
 def page_number(html: Column) -> Column:
-    """First 'page n' inside one text node of the page; null when there is none."""
-    nodes = markup.text_nodes(markup.normalise(html))
-    return F.nullif(F.regexp_extract(markup.unescape(nodes), PAGE_IN_TEXT, 1), F.lit("")).cast("int")
+    """First 'page n' inside one string of the page, hidden ones included; null when there is none."""
+    strings = markup.unescape(markup.all_strings(markup.decode_entities(html)))
+    return F.nullif(F.regexp_extract(strings, PAGE_IN_TEXT, 1), F.lit("")).try_cast("bigint")
 
 
 def _page_links(html: Column) -> Column:
@@ -136,7 +136,7 @@ def last_pages(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFram
     """
     if not 1 <= max_pages <= MAX_PAGES_LIMIT:
         raise ValueError(f"max_pages must be between 1 and {MAX_PAGES_LIMIT}")
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.col("page_no"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("page_no"))
     seen = (
         pages.where(F.col("page_no").between(1, max_pages))
         .select("keyword", bit.alias("here"), F.when(~F.col("has_more"), bit).alias("ends"))

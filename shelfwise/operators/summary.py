@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import markup, text
-from shelfwise.operators import dedup, validate
+from shelfwise.operators import validate
 from shelfwise.operators.paging import DEFAULT_MAX_PAGES, MAX_PAGES_LIMIT
 
 NO_PRODUCTS = "No valid products found"
@@ -26,20 +26,20 @@ def valid_requests(requests: DataFrame) -> DataFrame:
     ).withColumn("keyword", markup.strip(F.col("keyword")))
 
 
-def run_summary(found: DataFrame, rules: validate.Rules = validate.DEFAULT_RULES) -> DataFrame:
-    """One row per keyword from all product rows found on its pages.
+def run_summary(
+    found: DataFrame, final: DataFrame, rules: validate.Rules = validate.DEFAULT_RULES
+) -> DataFrame:
+    """One row per keyword from all rows of its page prefix (with `last_page`) and its final rows.
 
-    Products are deduplicated before they are counted and scored; every aggregate combines
-    before the shuffle.
+    Every aggregate combines before the shuffle, so a keyword with very many rows is no hot spot.
     """
-    checked = validate.with_errors(found, rules).withColumn("ok", F.size("errors") == 0)
-    raw = checked.groupBy("keyword").agg(
+    ok = F.size(validate.validation_errors(rules)) == 0
+    raw = found.select("keyword", "last_page", ok.alias("ok")).groupBy("keyword").agg(
+        F.max("last_page").alias("pages_scraped"),
         F.count("*").alias("total_found"),
-        F.countDistinct("page_no").alias("pages_scraped"),
         F.count_if("ok").alias("raw_valid"),
     )
-    unique = dedup.first_per_identifier(checked.where("ok"))
-    kept = unique.groupBy("keyword").agg(
+    kept = final.groupBy("keyword").agg(
         F.count("*").alias("valid_products"),
         F.sum(validate.filled_fields()).alias("filled"),
     )
@@ -78,11 +78,16 @@ def batch_results(requests: DataFrame, summary: DataFrame) -> DataFrame:
 
 def batch_success(results: DataFrame, requests: DataFrame) -> DataFrame:
     """Successful keywords out of the distinct and out of the submitted ones."""
-    done = results.agg(
-        F.count_if("success").alias("succeeded"), F.count("*").alias("distinct_keywords")
+    counted = results.select(
+        F.col("success").cast("int").alias("succeeded"),
+        F.lit(1).alias("distinct_keywords"),
+        F.lit(0).alias("submitted"),
+    ).unionByName(
+        requests.select(
+            F.lit(0).alias("succeeded"), F.lit(0).alias("distinct_keywords"), F.lit(1).alias("submitted")
+        )
     )
-    submitted = requests.agg(F.count("*").alias("submitted"))
-    return done.join(submitted)
+    return counted.agg(*[F.sum(c).alias(c) for c in counted.columns])
 
 
 def products_per_job(products: DataFrame, jobs: DataFrame) -> DataFrame:
