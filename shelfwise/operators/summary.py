@@ -71,8 +71,11 @@ def batch_results(requests: DataFrame, summary: DataFrame) -> DataFrame:
     error = F.when(
         missing, F.when(markup.is_blank(F.col("keyword")), BAD_KEYWORD).otherwise(NO_PRODUCTS)
     ).otherwise(F.col("error"))
-    return joined.withColumn("error", error).withColumn(
-        "success", F.coalesce("success", F.lit(False))
+    return joined.withColumn("error", error).withColumns(
+        {
+            "success": F.coalesce("success", F.lit(False)),
+            "valid_products": F.coalesce("valid_products", F.lit(0)),
+        }
     )
 
 

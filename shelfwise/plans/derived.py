@@ -56,15 +56,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _image() -> Column:
-    url = F.format_string("https://img.example/%d.jpg", F.col("k"))
-    return (
-        F.when(_every(4, 0), F.format_string('<img src="%s">', url))
-        .when(_every(4, 1), F.format_string('<img data-src="%s">', url))
-        .when(_every(4, 2), F.format_string('<img srcset="%s 1x, %s 2x">', url, url))
-        .otherwise("")
-    )
-
+# Image forms by k % 4; {i} is the image address.
+IMAGE_FORMS = ['<img src="{i}">', '<img data-src="{i}">', '<img srcset="{i} 1x, {i} 2x">', ""]
 
 # Card forms by k % 12: attributes of the link, inside of the link, after the link.
 # {N} is the name, {p} the price; the forms exercise every title and price fallback.
@@ -89,22 +82,24 @@ CARD_FORMS = [
 ]
 
 
-def _fill(template: str) -> Column:
-    filled = F.replace(F.lit(template), F.lit("{N}"), F.col("name"))
-    return F.replace(filled, F.lit("{p}"), F.col("money"))
+_CARD = '<div class="card"><a href="{H}"%s>{I}%s</a>%s</div>'
+
+
+def _form(forms: list[str]) -> Column:
+    """The form of the row: forms take turns along the key."""
+    return F.get(F.array(*[F.lit(f) for f in forms]), (F.col("k") % len(forms)).cast("int"))
+
+
+def _fill(template: Column, **values: Column) -> Column:
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{%s}" % name), value)
+    return template
 
 
 def _card(href: Column) -> Column:
-    def part_of(i: int) -> Column:
-        chosen = F.when(_every(12, 0), _fill(CARD_FORMS[0][i]))
-        for form in range(1, 12):
-            chosen = chosen.when(_every(12, form), _fill(CARD_FORMS[form][i]))
-        return chosen
-
-    return F.concat(
-        F.lit('<div class="card"><a href="'), href, F.lit('"'), part_of(0), F.lit(">"),
-        _image(), part_of(1), F.lit("</a>"), part_of(2), F.lit("</div>"),
-    )
+    image = _fill(_form(IMAGE_FORMS), i=F.format_string("https://img.example/%d.jpg", "k"))
+    form = _form([_CARD % parts for parts in CARD_FORMS])
+    return _fill(form, H=href, I=image, N=F.col("name"), p=F.col("money"))
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +142,27 @@ _FILLER = (
 )
 
 
+# Where the UPC {u} stands, by k % 7; there is no page for 0.
+UPC_IN_HEAD = [
+    "",
+    "",
+    "",
+    '<meta property="product:upc" content="{u}">',
+    '<script type="application/ld+json">{"gtin12":"{u}"}</script>',
+    "",
+    "",
+]
+UPC_IN_BODY = [
+    "",
+    '<section class="Specification"><b>UPC:</b> <span>{u}</span></section>',
+    "<dl><dt>UPC</dt><dd>{u}</dd></dl>",
+    "",
+    "",
+    "<p>Universal Product Code: {u}</p>",
+    '<span data-upc="{u}"></span>',
+]
+
+
 def detail_pages(
     spark: SparkSession, sf_dir: str, site: SiteProfile = DEFAULT_SITE
 ) -> DataFrame:
@@ -155,21 +171,8 @@ def detail_pages(
         "code", (F.col("k") + 100_000_000_000).cast("string")
     )
 
-    def placed(n: int, template: str) -> Column:
-        return F.when(
-            _every(7, n), F.replace(F.lit(template), F.lit("{u}"), F.col("code"))
-        ).otherwise("")
-
-    head = F.concat(
-        placed(3, '<meta property="product:upc" content="{u}">'),
-        placed(4, '<script type="application/ld+json">{"gtin12":"{u}"}</script>'),
-    )
-    body = F.concat(
-        placed(1, '<section class="Specification"><b>UPC:</b> <span>{u}</span></section>'),
-        placed(2, "<dl><dt>UPC</dt><dd>{u}</dd></dl>"),
-        placed(5, "<p>Universal Product Code: {u}</p>"),
-        placed(6, '<span data-upc="{u}"></span>'),
-    )
+    head = _fill(_form(UPC_IN_HEAD), u=F.col("code"))
+    body = _fill(_form(UPC_IN_BODY), u=F.col("code"))
     money = F.when(
         _every(2), F.format_string('<span data-test="product-price">$%s</span>', "money")
     ).otherwise(F.format_string("<p>Only $%s today</p>", "money"))

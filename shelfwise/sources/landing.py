@@ -59,6 +59,8 @@ def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(_stored_schema())
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("enforceSchema", False)
         .csv(path)
     )
