@@ -50,10 +50,15 @@ def tag_where(names: str, attr: str, value: str) -> str:
     return rf"<(?:{names})(?=[\s/>]){_up_to_value(attr)}{held}{ATTRS}>"
 
 
+def raw_attr(tag: Column, name: str) -> Column:
+    """Attribute as written, of the open tag at the start of the text; '' when absent."""
+    value = r"""["']?+((?<=")[^"]*+|(?<=')[^']*+|(?<=[=\s])[^\s>"']++)"""
+    return F.regexp_extract(tag, rf"(?is)^<[^\s/>]++{_up_to_value(name)}{value}", 1)
+
+
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute of the open tag at the start of the text; '' when absent."""
-    value = r"""["']?+((?<=")[^"]*+|(?<=')[^']*+|(?<=[=\s])[^\s>"']++)"""
-    return unescape(F.regexp_extract(tag, rf"(?is)^<[^\s/>]++{_up_to_value(name)}{value}", 1))
+    return unescape(raw_attr(tag, name))
 
 
 def unescape(text: Column) -> Column:
@@ -90,10 +95,12 @@ def _entity_text(piece: Column, names: Column) -> Column:
 
 def decode_entities(html_text: Column) -> Column:
     """Decode character references, except those for markup characters, which stay as entities."""
-    known = {
-        n: chr(c) for n, c in html.entities.name2codepoint.items() if chr(c) not in _MARKUP_CHARS
-    }
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    known = "\u0002".join(
+        f"{name}\u0003{chr(code)}"
+        for name, code in html.entities.name2codepoint.items()
+        if chr(code) not in _MARKUP_CHARS
+    )
+    names = F.str_to_map(F.lit(known), F.lit("\u0002"), F.lit("\u0003"))
     pieces = F.split(html_text, "&")
     decoded = F.array_join(
         F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_entity_text(p, names))), ""

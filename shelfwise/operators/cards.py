@@ -116,7 +116,7 @@ def with_price(cards: DataFrame) -> DataFrame:
     attribute = text.first_non_empty(
         *[
             _if_has(
-                F.col("opening"), a, price.attribute_number(markup.attr(F.col("opening"), a))
+                F.col("opening"), a, price.attribute_number(markup.raw_attr(F.col("opening"), a))
             )
             for a in price.CARD_PRICE_ATTRIBUTES
         ]

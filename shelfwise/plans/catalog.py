@@ -25,6 +25,8 @@ from shelfwise.runtime import work_dir
 from shelfwise.schemas import ORIGIN_COLUMNS, PRODUCT_COLUMNS
 from shelfwise.site import DEFAULT_SITE
 from shelfwise.sources import landing, sinks
+from shelfwise.streaming import pages as stream_pages
+from shelfwise.streaming import state as stream_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,7 +76,8 @@ def envelope_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "details")
     derived.detail_pages(spark, sf_dir).write.parquet(path)
-    return landing.scan_details(spark, path).select("clean_url", F.length("html").cast("bigint").alias("n_chars"))
+    usable = F.length("html") >= details.MIN_PAGE_LENGTH
+    return landing.scan_details(spark, path).select("clean_url", usable.alias("usable"))
 
 
 @query
@@ -634,3 +637,54 @@ def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pacing_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.pacing_deny(derived.request_log(spark, sf_dir), *PACING)
+
+
+# Streams, each run over all that has landed and then stopped
+
+
+@query
+def stream_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, out = work_dir(spark, "landed"), work_dir(spark, "streamed")
+    derived.listing_pages(spark, sf_dir).repartition(4).write.parquet(source)
+    stream_pages.run(stream_pages.page_stream(spark, source, files_per_batch=2), out)
+    final = stream_pages.read_products(spark, out)
+    return final.select("keyword", "page_no", "item_number", "title", "price")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_state.event_stream(spark, sf_dir, "events.parquet")
+
+
+def _job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.job_events_of(_event_stream(spark, sf_dir))
+
+
+@query
+def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain_times(stream_state.live_jobs(_job_stream(spark, sf_dir)))
+
+
+@query
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_state.progress(_job_stream(spark, sf_dir))
+
+
+@query
+def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing decisions; rows for retries that have come due depend on where the stream ends."""
+    routed = stream_state.retries(_job_stream(spark, sf_dir)).where(F.col("status") != "due")
+    return _plain_times(routed).select("job_id", "event_id", "attempt", "next_retry_at", "status")
+
+
+def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.request_log_of(_event_stream(spark, sf_dir))
+
+
+@query
+def stream_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_state.cache_hits(_request_stream(spark, sf_dir))
+
+
+@query
+def stream_pacing_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_state.pacing_deny(_request_stream(spark, sf_dir), *PACING)

@@ -154,9 +154,21 @@ _ANCHOR = r"<a\b[^>]*>.*?</a>"
 _HIDDEN = (
     r"<!--.*?-->|<script[\s>].*?</script\s*>|<style[\s>].*?</style\s*>|</?[a-zA-Z!?][^>]*>"
 )
-_UNESCAPE = (
-    "replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-)
+# Character references that occur in the given pages; '&amp;' is decoded last.
+_REFERENCES = {
+    "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "''", "&apos;": "''",
+    "&lt;": "<", "&gt;": ">", "&amp;": "&",
+}
+
+
+def _decoded(text: str) -> str:
+    for reference, char in _REFERENCES.items():
+        text = f"replace({text}, '{reference}', '{char}')"
+    return text
+
+
+_TIGHT = _decoded(r"trim(regexp_replace(x, '\s*\x01[\s\x01]*', '', 'g'))")
+_SPACED = _decoded(r"trim(regexp_replace(x, '\s*\x01[\s\x01]*', ' ', 'g'))")
 
 ORACLES: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, length(html) AS n_chars FROM pages",
@@ -188,9 +200,7 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos,
     "clean_url": "SELECT page_id, split_part(split_part(url, '#', 1), '?', 1) AS clean_url FROM pages",
     "visible_text": f"""
 WITH m AS (SELECT page_id, regexp_replace(html, '(?is){_HIDDEN}', chr(1), 'g') AS x FROM pages)
-SELECT page_id,
-       {_UNESCAPE.format(x=r"trim(regexp_replace(x, '\s*\x01[\s\x01]*', '', 'g'))")} AS tight,
-       {_UNESCAPE.format(x=r"trim(regexp_replace(x, '\s*\x01[\s\x01]*', ' ', 'g'))")} AS spaced
+SELECT page_id, {_TIGHT} AS tight, {_SPACED} AS spaced
 FROM m""",
     "page_number": """
 SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN page_id % 7 + 1 ELSE 0 END AS page_number FROM pages""",
@@ -255,6 +265,7 @@ WITH k AS (
   UNION ALL SELECT 'page', page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) FROM pages),
 s AS (SELECT source, id, lower(trim(regexp_replace(regexp_replace(keyword, '[^\p{L}\p{N}_\s-]', '', 'g'), '[-\s]+', '_', 'g'), '_')) AS stem FROM k)
 SELECT source, id, stem || '_PRODUCTS.csv' AS csv_name, stem || '_PRODUCTS.json' AS json_name FROM s""",
+    "scan_details": f"WITH {_DETAILS} SELECT clean_url, NOT gone AS usable FROM dp",
     "usable_details": f"WITH {_DETAILS} SELECT clean_url FROM dp WHERE NOT gone",
     "upc_fallback": f"""
 WITH {_DETAILS} SELECT clean_url, code AS upc, CASE k % 7 WHEN 1 THEN 'section' WHEN 2 THEN 'definition'
@@ -381,3 +392,23 @@ walk AS (SELECT endpoint, event_id, i, us + 1200000000 AS full_at, true AS allow
 SELECT event_id, endpoint, allowed FROM walk""",
 }
 
+# Streams give the results of their batch twins.
+ORACLES |= {
+    "stream_products": f"""
+WITH {_LINKS} SELECT keyword, page_no, item AS item_number, {_CARD_TITLE} AS title, {_CARD_PRICE} AS price FROM d
+WHERE length(item) >= 8 QUALIFY row_number() OVER (PARTITION BY keyword, item ORDER BY page_no, pos) = 1""",
+    "stream_jobs": ORACLES["jobs_latest"].replace("created_at, ts AS updated_at", "ts AS updated_at"),
+    "stream_progress": f"""
+WITH {_JOBS}, w AS (
+  SELECT *, lag(progress) OVER o AS previous,
+         count(*) FILTER (WHERE status IN ('completed', 'failed')) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over
+  FROM j WINDOW o AS (PARTITION BY job_id ORDER BY ts, event_id))
+SELECT job_id, event_id, status, progress FROM w
+WHERE over = 0 AND (progress IS DISTINCT FROM previous OR status IN ('completed', 'failed'))""",
+    "stream_retry": f"""
+WITH {_JOBS} SELECT job_id, event_id, CAST(attempt AS INTEGER) AS attempt,
+  CASE WHEN attempt <= 3 THEN ts + to_seconds(CASE attempt WHEN 1 THEN 60 WHEN 2 THEN 300 ELSE 900 END) END AS next_retry_at,
+  CASE WHEN attempt > 3 THEN 'dead_letter' ELSE 'retrying' END AS status FROM failures""",
+    "stream_cache_hits": ORACLES["cache_hits"],
+    "stream_pacing_deny": ORACLES["pacing_deny"],
+}

@@ -68,6 +68,17 @@ JOB_EVENTS = T.StructType(
     ]
 )
 
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
 # Dead letters as stored: instants are ISO-8601 text.
 DEAD_LETTERS = T.StructType(
     [
