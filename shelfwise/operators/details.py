@@ -64,7 +64,7 @@ def _outer_sections(html: Column) -> Column:
 
 
 _PAIR = (
-    rf"(?is)<dt(?=[\s>]){markup.ATTRS}>(.*?)(?=</dt|<d[dt][\s>]|</dl)"
+    rf"(?is)<dt(?=[\s>]){markup.ATTRS}>((?:(?!</dt|<d[dt][\s>]|</dl).)*+)"
     rf"(?=(?:(?!</dl).)*?<dd(?=[\s>]){markup.ATTRS}>(.*?)(?:</dd|<d[dt][\s>]|</dl|\z))"
 )
 
