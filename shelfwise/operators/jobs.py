@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import text
 from shelfwise.operators import scan
-from shelfwise.operators.summary import MAX_KEYWORD_LENGTH
 from shelfwise.schemas import TERMINAL_STATUSES
 
 # Recovery delays in seconds, attempts, and the text of a dead letter.
@@ -63,7 +62,7 @@ def progress_changes(events: DataFrame) -> DataFrame:
         ["job_id"],
         ["ts", "event_id"],
         {"previous": (F.col("progress"), scan.LAST)},
-        scan.time_chunk(F.col("ts"), 86_400),
+        scan.time_chunk(F.col("ts")),
     )
     return seen.where(~F.col("progress").eqNullSafe(F.col("previous")))
 
@@ -79,7 +78,7 @@ def number_failures(events: DataFrame) -> DataFrame:
     """Failures with their attempt number within the job."""
     failed = events.where(F.col("status") == "failed")
     return scan.with_row_index(
-        failed, ["job_id"], ["ts", "event_id"], scan.time_chunk(F.col("ts"), 86_400), "attempt"
+        failed, ["job_id"], ["ts", "event_id"], scan.time_chunk(F.col("ts")), "attempt"
     ).withColumn("attempt", F.col("attempt") + 1)
 
 
@@ -124,8 +123,8 @@ def remove_dead_letters(letters: DataFrame, job_ids: DataFrame) -> DataFrame:
 def job_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Newest artefact whose name holds the job's keyword or category, in any case.
 
-    'Contains' as an equi join: a file name is short, so its substrings up to the longest
-    keyword are listed once per name and joined by value. Only true matches leave the join, and a
+    'Contains' as an equi join: a file name is short, so all its substrings are listed once and
+    joined by value. Only true matches leave the join, and a
     common keyword costs no more than its matches. Jobs are reduced to their distinct search terms
     first, and the newest file is kept per term before it goes back to the jobs.
     """
@@ -135,7 +134,7 @@ def job_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
         F.transform(
             F.sequence(F.lit(1), size),
             lambda start: F.transform(
-                F.sequence(F.lit(1), F.least(size - start + 1, F.lit(MAX_KEYWORD_LENGTH))),
+                F.sequence(F.lit(1), size - start + 1),
                 lambda length: F.substring(F.col("lowered"), start, length),
             ),
         )

@@ -151,11 +151,16 @@ def last_pages(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFram
 
 
 def page_prefix(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """The pages that count, with `last_page`. The joined side has one row per keyword."""
-    kept = pages.where(F.col("page_no").between(1, max_pages))
-    return kept.join(last_pages(pages, max_pages), "keyword").where(
-        F.col("page_no") <= F.col("last_page")
+    """The pages that count, with `last_page`.
+
+    Joined on keyword and page: the few pages that count are listed per keyword, so the pages of a
+    hot keyword are not brought together.
+    """
+    counted = last_pages(pages, max_pages).where(F.col("last_page") >= 1)
+    listed = counted.select(
+        "keyword", "last_page", F.explode(F.sequence(F.lit(1), "last_page")).alias("page_no")
     )
+    return pages.join(listed, ["keyword", "page_no"])
 
 
 def running_total(products: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def backoff_delay(
 def number_attempts(log: DataFrame) -> DataFrame:
     """Attempt number within the request, for logs that do not carry it."""
     return scan.with_row_index(
-        log, ["request_id"], ["ts", "event_id"], scan.time_chunk(F.col("ts"), 86_400), "attempt"
+        log, ["request_id"], ["ts", "event_id"], scan.time_chunk(F.col("ts")), "attempt"
     ).withColumn("attempt", (F.col("attempt") + 1).cast("int"))
 
 
@@ -173,7 +173,7 @@ def _limit_columns(limits: dict[str, tuple[float, float]]) -> tuple[Column, Colu
 def pacing_wait(
     log: DataFrame,
     limits: dict[str, tuple[float, float]] | None = None,
-    chunk_seconds: int = 21_600,
+    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Earliest time at which each request may go, first come first served per endpoint.
 

@@ -1,16 +1,18 @@
-"""Truly sequential rules per key, in bounded groups.
+"""Truly sequential rules per key.
 
 Whether a request hits an entry or finds a token depends on what happened to the one before it, so
-no aggregate can express it. The rows of a key are cut along time into blocks of a fixed number of
-rows. Every block is walked from a guessed start state; then the end state of each block becomes
-the start state of the next, and only blocks whose start has changed are walked again, until none
-changes. Block n is right after n rounds at the latest and mostly much earlier, because states
-forget their past (an entry expires, a bucket fills up). No task ever holds more than one block.
+no aggregate can express it. Rows are partitioned by key, sorted along time, and walked batch by
+batch; only the state of the current key is held, and small keys share a batch.
+
+A hot key is cut along time into blocks that are walked in parallel, each from a guessed start
+state. The end state of a block then becomes the start state of the next, and only blocks whose
+start has changed are walked again, until none changes. Block n is right after n rounds at the
+latest and mostly much earlier, because states forget their past: an entry expires, a bucket fills.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,99 +22,132 @@ from pyspark.sql import functions as F
 from shelfwise.operators import scan
 from shelfwise.runtime import staged
 
+# A key with more rows is hot; its blocks hold about as many rows each.
 ROWS_PER_BLOCK = 1_000_000
 
 Walk = Callable[[np.ndarray, "int | None"], "tuple[np.ndarray, int]"]
 
 
-def _start_of(group: pd.DataFrame) -> int | None:
-    start = group["start"].iloc[0]
-    return None if pd.isna(start) else int(start)
+def _runs(batch: pd.DataFrame, key: str) -> Iterator[tuple[tuple, slice]]:
+    """Consecutive rows of one (key, block) in a sorted batch."""
+    keys, blocks = batch[key].to_numpy(), batch["block"].to_numpy()
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+    edges = [0, *cuts.tolist(), len(batch)]
+    for first, last in zip(edges, edges[1:]):
+        yield (keys[first], blocks[first]), slice(first, last)
+
+
+def _walked(batches: Iterator[pd.DataFrame], key: str, walk: Walk):
+    """Each batch with its flags and the groups that ended before or in it, with their state."""
+    current, state = None, None
+    for batch in batches:
+        if batch.empty:
+            continue
+        times, starts = batch["at"].to_numpy(), batch["start"].to_numpy()
+        flags, ended = np.zeros(len(batch), dtype=bool), []
+        for group, rows in _runs(batch, key):
+            if group != current:
+                if current is not None:
+                    ended.append((*current, state))
+                start = starts[rows.start]
+                current, state = group, None if pd.isna(start) else int(start)
+            flags[rows], state = walk(times[rows], state)
+        yield batch, flags, ended
+    if current is not None:
+        yield None, None, [(*current, state)]
+
+
+def _sorted(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.repartition(key, "block").sortWithinPartitions(key, "block", "at", "tie")
 
 
 def _ends(blocks: DataFrame, key: str, walk: Walk) -> DataFrame:
     """End state per block."""
+    columns = [key, "block", "end"]
 
-    def end(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["at"].to_numpy())
-        start = _start_of(group)
-        return pd.DataFrame(
-            {
-                key: group[key].iloc[:1],
-                "block": group["block"].iloc[:1],
-                "end": [walk(times, start)[1]],
-            }
-        )
+    def end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, ended in _walked(batches, key, walk):
+            yield pd.DataFrame(ended, columns=columns)
 
     types = dict(blocks.dtypes)
-    return blocks.groupBy(key, "block").applyInPandas(
-        end, f"{key} {types[key]}, block bigint, end bigint"
+    return _sorted(blocks, key).mapInPandas(end, f"{key} {types[key]}, block bigint, end bigint")
+
+
+def _in_blocks(rows: DataFrame, key: str, rows_per_block: int) -> tuple[DataFrame, bool]:
+    """Rows with their block, and whether any key is hot.
+
+    The hot keys are at most one per `rows_per_block` rows, so their table is small.
+    """
+    hot = staged(
+        rows.groupBy(key)
+        .agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+        .where(F.col("n") > rows_per_block)
+        .select(
+            key,
+            "first",
+            F.greatest(
+                F.lit(1), ((F.col("last") - F.col("first")) * (rows_per_block / F.col("n")))
+            ).cast("bigint").alias("width"),
+        ),
+        "hot",
     )
-
-
-def _starts(ends: DataFrame, key: str) -> DataFrame:
-    """Start state per block: the end state of the block before; null for the first."""
-    return scan.before(
-        ends,
-        [key],
-        ["block"],
-        {"start": (F.col("end"), scan.LAST)},
-        F.floor(F.col("block") / scan.FANOUT),
+    if hot.isEmpty():
+        return rows.withColumn("block", F.lit(0).cast("bigint")), False
+    block = F.floor((F.col("at") - F.col("first")) / F.col("width"))
+    blocks = rows.join(hot, key, "left").select(
+        *rows.columns, F.coalesce(block, F.lit(0)).alias("block")
     )
+    return staged(blocks, "blocks"), True
 
 
 def walk(
     rows: DataFrame, key: str, at: str, tie: str, walk_block: Walk, rows_per_block: int
 ) -> DataFrame:
     """Adds `flag`, what the walk says of each row. `at` is an integer time, `tie` orders equal ones."""
-    hour = F.floor(F.col(at) / 3_600_000_000)
-    indexed = scan.with_row_index(rows, [key], [at, tie], hour, "nth")
-    blocks = staged(
-        indexed.select(
-            key, F.col(at).alias("at"), F.col(tie).alias("tie"),
-            F.floor(F.col("nth") / rows_per_block).alias("block"),
-        ),
-        "blocks",
-    )
-    starts = None
-    if not blocks.where(F.col("block") > 0).isEmpty():
-        starts = _settle(blocks, key, walk_block)
-    known = (
-        blocks.withColumn("start", F.lit(None).cast("bigint"))
-        if starts is None
-        else blocks.join(starts, [key, "block"], "left")
-    )
+    timed = rows.select(key, F.col(at).alias("at"), F.col(tie).alias("tie"))
+    blocks, any_hot = _in_blocks(timed, key, rows_per_block)
+    known = blocks.withColumn("start", F.lit(None).cast("bigint"))
+    if any_hot:
+        known = blocks.join(_settle(blocks, key, walk_block), [key, "block"], "left")
 
-    def flag(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "tie"])
-        flags, _ = walk_block(group["at"].to_numpy(), _start_of(group))
-        return pd.DataFrame({key: group[key], at: group["at"], tie: group["tie"], "flag": flags})
+    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, flags, _ in _walked(batches, key, walk_block):
+            if batch is not None:
+                yield batch[[key, "at", "tie"]].set_axis([key, at, tie], axis=1).assign(flag=flags)
 
     types = dict(rows.dtypes)
-    return known.groupBy(key, "block").applyInPandas(
+    return _sorted(known, key).mapInPandas(
         flag, f"{key} {types[key]}, {at} bigint, {tie} {types[tie]}, flag boolean"
     )
 
 
 def _settle(blocks: DataFrame, key: str, walk_block: Walk) -> DataFrame:
     """Start states of all blocks of the keys that have more than one."""
-    long_keys = blocks.where(F.col("block") > 0).select(key).distinct()
-    long = blocks.join(long_keys, key, "left_semi")
-    unknown = long.withColumn("start", F.lit(None).cast("bigint"))
+    hot_keys = blocks.where(F.col("block") > 0).select(key).distinct()
+    hot = blocks.join(hot_keys, key, "left_semi")
+    unknown = hot.withColumn("start", F.lit(None).cast("bigint"))
     ends = staged(_ends(unknown, key, walk_block), "ends")
-    used = ends.select(key, "block", F.lit(None).cast("bigint").alias("start"))
+    used = ends.select(key, "block", F.lit(None).cast("bigint").alias("used"))
     while True:
-        starts = staged(_starts(ends, key).select(key, "block", "start"), "starts")
+        starts = staged(
+            scan.before(
+                ends,
+                [key],
+                ["block"],
+                {"start": (F.col("end"), scan.LAST)},
+                F.floor(F.col("block") / scan.FANOUT),
+            ).select(key, "block", "start"),
+            "starts",
+        )
         moved = staged(
-            starts.join(used.withColumnRenamed("start", "used"), [key, "block"])
+            starts.join(used, [key, "block"])
             .where(~F.col("start").eqNullSafe(F.col("used")))
             .select(key, "block", "start"),
             "moved",
         )
         if moved.isEmpty():
             return starts
-        again = _ends(long.join(moved, [key, "block"]), key, walk_block)
-        ends = staged(
-            ends.join(moved, [key, "block"], "left_anti").unionByName(again), "ends"
-        )
-        used = starts
+        again = _ends(hot.join(moved, [key, "block"]), key, walk_block)
+        kept = ends.join(moved, [key, "block"], "left_anti")
+        ends = staged(kept.unionByName(again), "ends")
+        used = starts.withColumnRenamed("start", "used")

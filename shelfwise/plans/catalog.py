@@ -21,7 +21,7 @@ from shelfwise.operators import (
     validate,
 )
 from shelfwise.plans import derived, pipeline
-from shelfwise.runtime import work_dir
+from shelfwise.runtime import spread, staged, work_dir
 from shelfwise.schemas import ORIGIN_COLUMNS, PRODUCT_COLUMNS
 from shelfwise.site import DEFAULT_SITE
 from shelfwise.sources import landing, sinks
@@ -42,7 +42,12 @@ def query(run: Query) -> Query:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.table(spark, sf_dir, "pages")
+    return spread(derived.table(spark, sf_dir, "pages"))
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages as a crawl leaves them: a table of files."""
+    return spread(staged(derived.listing_pages(spark, sf_dir), "landed"))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def _plain_times(df: DataFrame) -> DataFrame:
 
 @query
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+    return derived.table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
 
 
 @query
@@ -226,7 +231,7 @@ def anchor_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards.extract_products(derived.listing_pages(spark, sf_dir))
+    return cards.extract_products(_landed(spark, sf_dir))
 
 
 @query
@@ -420,15 +425,13 @@ def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def enrich_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pipeline.found_products(derived.listing_pages(spark, sf_dir), MAX_PAGES)
+    found = pipeline.found_products(_landed(spark, sf_dir), MAX_PAGES)
     final = pipeline.final_products(found, derived.detail_pages(spark, sf_dir))
     return final.select("keyword", "page_no", "item_number", "title", "url", "price", "upc")
 
 
 def _run(spark: SparkSession, sf_dir: str) -> pipeline.Run:
-    return pipeline.run(
-        derived.listing_pages(spark, sf_dir), derived.detail_pages(spark, sf_dir), MAX_PAGES
-    )
+    return pipeline.run(_landed(spark, sf_dir), derived.detail_pages(spark, sf_dir), MAX_PAGES)
 
 
 def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:

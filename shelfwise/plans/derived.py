@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.operators import scan
+from shelfwise.runtime import spread
 from shelfwise.schemas import PRODUCT_COLUMNS
 from shelfwise.site import DEFAULT_SITE, SiteProfile
 
@@ -117,20 +118,21 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("keyword", "page_no")
         .agg(F.array_sort(F.collect_list(F.struct("k", "card"))).alias("cards"))
     )
-    # One row per brand: the aggregate is combined before the shuffle, the join side is tiny.
-    last = numbered.groupBy("keyword").agg(F.max("page_no").alias("last_page"))
+    # A page has a next one if that page exists; joined on the key the pages are grouped by.
+    followed = numbered.select("keyword", (F.col("page_no") - 1).alias("page_no")).distinct()
+    pages = pages.join(followed.withColumn("followed", F.lit(True)), ["keyword", "page_no"], "left")
     nav = F.format_string(
         '<nav><a aria-label="next page" href="/s?q=%s&page=%d">Next</a></nav>',
         F.replace("keyword", F.lit("#"), F.lit("%23")),
         F.col("page_no") + 1,
     )
-    return pages.join(last, "keyword").select(
+    return pages.select(
         "keyword",
         "page_no",
         F.concat(
             F.lit("<html><body>"),
             F.array_join(F.col("cards.card"), ""),
-            F.when(F.col("page_no") < F.col("last_page"), nav).otherwise(""),
+            F.when(F.col("followed"), nav).otherwise(""),
             F.lit("</body></html>"),
         ).alias("html"),
     )
@@ -167,7 +169,7 @@ def detail_pages(
     spark: SparkSession, sf_dir: str, site: SiteProfile = DEFAULT_SITE
 ) -> DataFrame:
     """Product pages: the UPC stands in one of six places, the price in one of two."""
-    rows = parts(spark, sf_dir).where(~_every(7)).withColumn(
+    rows = spread(parts(spark, sf_dir).where(~_every(7))).withColumn(
         "code", (F.col("k") + 100_000_000_000).cast("string")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import cards, dedup, details, paging, summary, validate
 from shelfwise.operators.paging import DEFAULT_MAX_PAGES
-from shelfwise.runtime import staged
+from shelfwise.runtime import spread, staged
 from shelfwise.schemas import ORIGIN_COLUMNS, PRODUCT_COLUMNS
 from shelfwise.site import DEFAULT_SITE, SiteProfile
 
@@ -38,7 +38,7 @@ def found_products(
     """
     near = pages.where(F.col("page_no").between(1, max_pages))
     flagged = paging.with_next_page(near, site.base_url).drop("next_url")
-    linked = staged(cards.linked_pages(flagged, site), "links")
+    linked = spread(staged(cards.linked_pages(flagged, site), "links"))
     kept = paging.page_prefix(linked, max_pages).drop("has_more")
     return staged(cards.products_of(kept, site), "found")
 

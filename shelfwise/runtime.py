@@ -19,6 +19,8 @@ def session(app: str = "shelfwise", master: str | None = None, **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Extraction costs far more per byte than a usual query: small partitions are worth keeping.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
@@ -52,3 +54,13 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scanned: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer partitions than there are cores.
+
+    For rules that cost much per row on a small table. A table of many files or row groups is
+    returned as it is, without a shuffle.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned if scanned.rdd.getNumPartitions() >= cores else scanned.repartition(cores)
