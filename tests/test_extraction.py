@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.functions import markup, text
+from shelfwise.functions import markup, price, text
 from shelfwise.operators import cards, details, paging
 
 
@@ -218,3 +218,9 @@ def test_next_page(spark):
 )
 def test_page_number(spark, html, number):
     assert one(spark, html, paging.page_number) == number
+
+
+@pytest.mark.parametrize("shown, amount", [("$1,234.50", "1234.50"), ("$,", None), ("", None), ("$9", "9.00")])
+def test_price_amount(spark, shown, amount):
+    found = one(spark, shown, price.price_amount)
+    assert (None if found is None else str(found)) == amount
