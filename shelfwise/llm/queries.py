@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfwise.llm import decontam, jaccard, lines, mixing, quality
+from shelfwise.llm import decontam, html, jaccard, lines, lm, mixing, pii, quality, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+    "op3_lm_scoring": lm.op3_lm_scoring,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op6_html_extraction": html.op6_html_extraction,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_pii_surrogates": pii.op8_pii_surrogates,
+    "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op7_source_mixing": mixing.OP7_SQL}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.OP7_SQL, "op9_warc": warc.OP9_SQL}
