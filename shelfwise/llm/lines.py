@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,20 +37,40 @@ def normal_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, rows
 
 
-def simhash(words: rolling.Words, n_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines with a word, their 64-bit SimHash over words, 128-bit hash of their word sequence)."""
+def _majority(hashes: np.ndarray, edges: np.ndarray, counts: np.ndarray, kind: type) -> np.ndarray:
+    """Per segment, the bits that most of its hashes have. kind must hold the largest count."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, edges, axis=0, dtype=kind)
+    return np.packbits(ones > (counts // 2)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def line_keys(words: rolling.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(lines with a word, 128-bit hash of their word sequence)."""
     if not len(words.hash):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
     edges = np.flatnonzero(np.diff(words.row, prepend=-1))
     counts = np.diff(edges, append=len(words.hash))
-    bits = np.unpackbits(words.hash.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
-    sim = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     place = (np.arange(len(words.hash)) - np.repeat(edges, counts)).astype(np.uint64)
     first = rolling.mix(words.hash + place * rolling.BASE)
     second = rolling.mix(words.hash ^ rolling.mix(place + np.uint64(977)))
     key = np.stack([np.add.reduceat(first, edges), np.add.reduceat(second, edges)], axis=1)
-    return words.row[edges], sim, key
+    return words.row[edges], key
+
+
+def simhash(words: rolling.Words) -> np.ndarray:
+    """64-bit SimHash over the words of each line that has one."""
+    if not len(words.hash):
+        return np.zeros(0, np.uint64)
+    edges = np.flatnonzero(np.diff(words.row, prepend=-1))
+    counts = np.diff(edges, append=len(words.hash))
+    if counts.max() < 256:
+        return _majority(words.hash, edges, counts, np.uint8)
+    out = np.empty(len(edges), np.uint64)
+    for chosen, kind in ((counts < 256, np.uint8), (counts >= 256, np.int32)):
+        sizes = counts[chosen]
+        if len(sizes):
+            out[chosen] = _majority(words.hash[np.repeat(chosen, counts)], np.cumsum(sizes) - sizes, sizes, kind)
+    return out
 
 
 def _lines(with_text: bool):
@@ -58,7 +78,8 @@ def _lines(with_text: bool):
         for batch in batches:
             for part in rolling.pieces(batch, "text"):
                 flat, rows = normal_lines(part.column("text"))
-                filled, sim, key = simhash(rolling.plain_words(flat), len(flat))
+                words = rolling.plain_words(flat)
+                filled, key = line_keys(words)
                 keys = pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(16), len(key), [None, pa.py_buffer(np.ascontiguousarray(key))]
                 ).cast(pa.binary())
@@ -71,7 +92,7 @@ def _lines(with_text: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys,
-                        pa.array(sim.view(np.int64)),
+                        pa.array(simhash(words).view(np.int64)),
                         part.column("doc_key").take(pa.array(row)),
                         part.column("doc_id").take(pa.array(row)),
                         pa.array(filled - firsts[row], pa.int32()),
@@ -162,6 +183,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges(kept_key, kept)
 
 
+def _common(most: int, equal: Callable[[int], bool]) -> int:
+    """Largest k up to `most` with equal(k), which holds for all smaller ones."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if equal(middle) else (low, middle - 1)
+    return low
+
+
 def edit_similar(a: str, b: str, least: float) -> bool:
     """Whether 1 - Levenshtein distance / longer length >= least (bit-parallel, one step per character)."""
     if a == b:
@@ -169,8 +199,15 @@ def edit_similar(a: str, b: str, least: float) -> bool:
     if len(a) < len(b):
         a, b = b, a
     most = (1 - least) * len(a) + 1e-9
-    if len(a) - len(b) > most or not b:
+    if len(a) - len(b) > most:
         return False
+    # What both begin and end with adds no distance.
+    same = _common(len(b), lambda k: a[:k] == b[:k])
+    a, b = a[same:], b[same:]
+    same = _common(len(b), lambda k: a[len(a) - k :] == b[len(b) - k :])
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if not b:
+        return len(a) <= most
     where: dict[str, int] = {}
     for i, c in enumerate(b):
         where[c] = where.get(c, 0) | 1 << i
