@@ -212,7 +212,7 @@ def pacing_wait(
     carried = scan.before(
         offsets, ["endpoint"], ["chunk"], {"earlier_top": (F.col("shifted"), scan.MAX)}, wide
     ).select("endpoint", "chunk", "offset", "earlier_top")
-    joined = local.join(carried, ["endpoint", "chunk"])
+    joined = scan.join_null_safe(local, carried, ["endpoint", "chunk"])
     shift = F.col("offset") * F.col("spacing")
     number = F.col("offset") + F.col("n")
     full_at = F.greatest("earlier_top", F.col("top") - shift) + number * F.col("spacing")

@@ -3,7 +3,7 @@
 A plain window puts all rows of a key into one task. Here the rows of a key are cut into chunks
 along the order; windows run inside a chunk, one summary row per chunk is scanned (again in
 chunks), and the carry of all earlier chunks is joined back on (key, chunk). Results are exact.
-Keys and the chunk expression must not be null, and the chunk must not decrease along the order.
+Null keys are a key of their own, and a null chunk comes first. The chunk must not decrease along the order.
 """
 
 from __future__ import annotations
@@ -40,6 +40,13 @@ LAST = Carry(
 )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on columns of the same name; null keys meet null keys. Keys come once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def before(
     rows: DataFrame,
     keys: list[str],
@@ -82,7 +89,7 @@ def before(
         fanout=fanout,
         _level=_level + 1,
     ).select(*keys, at, *[f"_{name}_carry" for name in values])
-    joined = local.join(carried, [*keys, at])
+    joined = join_null_safe(local, carried, [*keys, at])
     return joined.withColumns(
         {
             name: how.join(F.col(f"_{name}_carry"), F.col(f"_{name}{_level}"))

@@ -20,6 +20,7 @@ from shelfwise.operators import jobs, requests
 from shelfwise.schemas import TERMINAL_STATUSES
 from shelfwise.streaming.runner import drained_table
 
+# Of failures only: a timer needs a watermark, and a failure that comes later than this is not routed.
 LATENESS = "10 minutes"
 
 
@@ -71,12 +72,13 @@ class ProgressChanges(StatefulProcessor):
 
 
 def _stateful(
-    stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, purpose: str
+    stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, purpose: str, lateness: str | None = None
 ) -> DataFrame:
-    out = (
-        stream.withWatermark("ts", LATENESS)
-        .groupBy(key)
-        .transformWithStateInPandas(processor, schema, "append", "eventTime")
+    """lateness: for processors with timers. Without it there is no watermark and no row is too late: rows are
+    walked in order of time inside a batch, and in order of arrival from batch to batch."""
+    rows = stream.withWatermark("ts", lateness) if lateness else stream
+    out = rows.groupBy(key).transformWithStateInPandas(
+        processor, schema, "append", "eventTime" if lateness else "none"
     )
     return drained_table(out, "append", purpose).drop("batch_id")
 
@@ -140,6 +142,7 @@ def retries(
     events: DataFrame,
     max_retries: int = jobs.MAX_RETRIES,
     delays: tuple[int, ...] = jobs.RETRY_DELAYS,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     return _stateful(
         events.where(F.col("status") == "failed").select("job_id", "event_id", "ts"),
@@ -147,6 +150,7 @@ def retries(
         RetryRouting(max_retries, delays),
         "job_id bigint, event_id bigint, attempt int, next_retry_at timestamp, status string",
         "retries",
+        lateness,
     )
 
 

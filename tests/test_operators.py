@@ -19,6 +19,7 @@ from shelfwise.operators import (
     validate,
 )
 from shelfwise.schemas import PRODUCT_COLUMNS
+from shelfwise.streaming import state
 
 
 @pytest.fixture(scope="module")
@@ -256,3 +257,36 @@ def test_distinct_links_keep_the_first_place(spark):
     assert sorted((r.id, r.pos, r.href) for r in found) == [
         (i, pos, href) for i in (1, 2) for pos, href in ((0, "/p/a"), (1, "/p/b"), (3, "/p/c"), (5, "/p/d"))
     ]
+
+
+def test_scans_keep_rows_with_null_keys_and_times(spark):
+    rows = [("a", 1, 5), ("a", 2, 6), (None, 1, 7), (None, 90, 8), ("a", None, 9), (None, None, 1)]
+    df = spark.createDataFrame(rows, "key string, t bigint, v bigint")
+    earlier = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select("key", "t", F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("s"))
+    chunked = scan.before(df, ["key"], ["t"], {"s": (F.col("v"), scan.SUM)}, F.floor(F.col("t") / 10))
+    assert sorted(chunked.select("key", "t", "s").collect(), key=repr) == sorted(plain.collect(), key=repr)
+
+
+def test_pacing_wait_keeps_requests_without_a_time(spark):
+    log = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "a", 6)], "event_id bigint, endpoint string, s bigint")
+    log = log.withColumn("ts", F.timestamp_seconds("s"))
+    done = {r.event_id: r.admitted_at for r in requests.pacing_wait(log, {"a": (1.0, 2.0)}, 7).collect()}
+    assert set(done) == {1, 2, 3} and done[2] is None and done[1] and done[3]
+
+
+def test_streams_lose_no_row_that_comes_late(spark, sf_dir, tmp_path):
+    """Three files out of the order of time, one per batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").coalesce(1)
+    cuts = events.approxQuantile("event_id", [1 / 3, 2 / 3], 0)
+    part = sum((F.col("event_id") > c).cast("int") for c in cuts)
+    for place, number in enumerate((2, 0, 1)):
+        events.where(part == number).write.parquet(str(tmp_path / "in" / f"part={place}"))
+    schema = events.schema
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        .parquet(str(tmp_path / "in"))
+        .select("event_id", F.col("event_type").alias("endpoint"), F.col("ts").cast("timestamp").alias("ts"))
+    )
+    walked = state.pacing_deny(stream, 0.01, 3)
+    assert sorted(r.event_id for r in walked.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
