@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import rolling
@@ -22,11 +22,16 @@ SIMILARITY = 0.8
 # 64 bits in BLOCKS blocks: at most MAX_BITS of them differ, so BLOCKS - MAX_BITS agree. A key is such a
 # choice of blocks, about 26 bits.
 BLOCKS = 5
-PART_LINES = 512
+# Size of the parts of a large group that are compared pair by pair in one task.
+PART_LINES, PART_BYTES = 4096, 16_000_000
 MANY = 2048
 
 EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
 CHOICES = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
+MASKS = [
+    int(np.uint64(sum(((1 << int(EDGES[b + 1] - EDGES[b])) - 1) << int(EDGES[b]) for b in chosen)).view(np.int64))
+    for chosen in CHOICES
+]
 
 
 def normal_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -96,23 +101,17 @@ def _lines(with_text: bool):
                         part.column("doc_key").take(pa.array(row)),
                         part.column("doc_id").take(pa.array(row)),
                         pa.array(filled - firsts[row], pa.int32()),
+                        pc.binary_length(flat).take(pa.array(filled)).cast(pa.int32()),
                     ],
-                    ["line", "sim", "doc_key", "doc_id", "at"],
+                    ["line", "sim", "doc_key", "doc_id", "at", "n_bytes"],
                 )
 
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sim) for every choice of blocks."""
-    for batch in batches:
-        sim = batch.column("sim").to_numpy(zero_copy_only=False).view(np.uint64)
-        for number, chosen in enumerate(CHOICES):
-            mask = np.uint64(sum(((1 << int(EDGES[b + 1] - EDGES[b])) - 1) << int(EDGES[b]) for b in chosen))
-            key = rolling.mix((sim & mask) + rolling.mix(np.full(1, number, np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))], ["key", "sim"]
-            )
+def block_choice(number: Column, sim: Column) -> Column:
+    """The bits of sim in the chosen blocks."""
+    return sim.bitwiseAND(F.get(F.array(*[F.lit(m) for m in MASKS]), number.cast("int")))
 
 
 class Forest:
@@ -156,14 +155,14 @@ def _close_all(sims: np.ndarray, forest: Forest, members: np.ndarray) -> None:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: spanning edges (a, b) of close SimHashes, per key. One key's hashes, 8 bytes
-    each, are held at a time."""
-    kept_key, kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows come sorted by number and chosen bits: spanning edges (a, b) of close SimHashes, per key. One key's
+    hashes, 8 bytes each, are held at a time."""
+    masks = np.array(MASKS, np.int64)
+    kept_number, kept = np.zeros(0, np.int8), np.zeros(0, np.int64)
 
-    def edges(key: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    def edges(sim: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
         a, b = [], []
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(sim)]])
         for i in np.flatnonzero(ends - starts > 1):
             sims = np.unique(sim[starts[i] : ends[i]]).view(np.uint64)
             forest = Forest(len(sims))
@@ -174,13 +173,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b.append(int(sims[root].view(np.int64)))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def borders(number: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((np.diff(number) != 0) | (np.diff(sim & masks[number]) != 0)) + 1
+
     for batch in batches:
-        key = np.concatenate([kept_key, batch.column("key").to_numpy()])
+        number = np.concatenate([kept_number, batch.column("number").to_numpy()])
         sim = np.concatenate([kept, batch.column("sim").to_numpy()])
-        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        yield edges(key[:last], sim[:last])
-        kept_key, kept = key[last:], sim[last:]
-    yield edges(kept_key, kept)
+        cuts = borders(number, sim)
+        last = int(cuts[-1]) if len(cuts) else 0
+        yield edges(sim[:last], cuts[:-1])
+        kept_number, kept = number[last:], sim[last:]
+    yield edges(kept, borders(kept_number, kept))
 
 
 def _common(most: int, equal: Callable[[int], bool]) -> int:
@@ -270,26 +273,35 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     id_type = ids.schema["doc_id"].dataType.simpleString()
     lines = staged(
         ids.select("doc_id", "doc_key", "text").mapInArrow(
-            _lines(False), f"line binary, sim long, doc_key binary, doc_id {id_type}, at int"
+            _lines(False), f"line binary, sim long, doc_key binary, doc_id {id_type}, at int, n_bytes int"
         ),
         "lines",
     )
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "doc_key")
     once = staged(
-        lines.groupBy("line").agg(F.first("sim").alias("sim"), F.min(place).alias("first"), F.count("*").alias("n")),
+        lines.groupBy("line").agg(
+            F.first("sim").alias("sim"), F.min(place).alias("first"), F.count("*").alias("n"),
+            F.max("n_bytes").alias("n_bytes"),
+        ),
         "distinct-lines",
     )
-    keys = once.select("sim").distinct().mapInArrow(_keys, "key long, sim long")
-    stars = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long")
+    numbers = F.array(*[F.lit(i).cast("byte") for i in range(len(CHOICES))])
+    keys = once.select("sim").distinct().select(F.explode(numbers).alias("number"), "sim")
+    chosen = block_choice(F.col("number"), F.col("sim"))
+    # The chosen bits are computed again on either side of the shuffle rather than sent.
+    stars = (
+        keys.repartition(F.xxhash64("number", chosen)).sortWithinPartitions("number", chosen)
+        .mapInArrow(_stars, "a long, b long")
+    )
     groups = components(stars).select(F.col("node").alias("sim"), F.col("root").alias("group"))
-    grouped = once.select("line", "sim").join(groups, "sim", "left").withColumn("group", F.coalesce("group", "sim"))
+    grouped = once.select("line", "sim", "n_bytes").join(groups, "sim", "left").withColumn("group", F.coalesce("group", "sim"))
     sizes = (
         grouped.groupBy("group")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
         .where("n > 1")
-        .select("group", F.ceil(F.col("n") / PART_LINES).alias("parts"))
+        .select("group", F.greatest(F.ceil(F.col("n") / PART_LINES), F.ceil(F.col("bytes") / PART_BYTES)).alias("parts"))
     )
-    wanted = staged(grouped.join(sizes, "group"), "wanted-lines")
+    wanted = staged(grouped.drop("n_bytes").join(sizes, "group"), "wanted-lines")
     texts = (
         ids.select("text")
         .mapInArrow(_lines(True), "line binary, text string")
