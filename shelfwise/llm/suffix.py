@@ -356,7 +356,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).withColumn("tie", tie)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     family = IndexFamily(spark, min(MOST_BUCKETS, max(8, int(volume // BUCKET_BYTES))))
-    found = [family.add(batch) for batch in batches_of(rows, batches)]
+    again = rows.groupBy("doc_id", "tie").count().where("count > 1")
+    once = rows if again.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    found = [family.add(batch) for batch in batches_of(once, batches)]
     family.drop()
     scanned = found[0]
     for df in found[1:]:
