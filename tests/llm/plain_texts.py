@@ -4,4 +4,4 @@ import random
 
 
 def sentence(rng: random.Random, n: int, words: int = 400) -> str:
-    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+    return " ".join("w" + chr(97 + k // 26) + chr(97 + k % 26) for k in (rng.randrange(words) for _ in range(n)))
