@@ -22,8 +22,8 @@ SIMILARITY = 0.8
 # 64 bits in BLOCKS blocks: at most MAX_BITS of them differ, so BLOCKS - MAX_BITS agree. A key is such a
 # choice of blocks, about 26 bits.
 BLOCKS = 5
-# Size of the parts of a large group that are compared pair by pair in one task.
-PART_LINES, PART_BYTES = 4096, 16_000_000
+# Size of the parts of a large set of lines; a task compares at most two parts.
+PART_LINES, PART_BYTES = 512, 2_000_000
 MANY = 2048
 
 EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
@@ -155,23 +155,29 @@ def _close_all(sims: np.ndarray, forest: Forest, members: np.ndarray) -> None:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by number and chosen bits: spanning edges (a, b) of close SimHashes, per key. One key's
-    hashes, 8 bytes each, are held at a time."""
+    """Rows come sorted by number and chosen bits: per key, its sets of close SimHashes as (a, b, home), with b the
+    smallest hash of the set of a and home a hash of all members, the same for equal sets of other keys. One
+    key's hashes, 8 bytes each, are held at a time."""
     masks = np.array(MASKS, np.int64)
     kept_number, kept = np.zeros(0, np.int8), np.zeros(0, np.int64)
 
     def edges(sim: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
+        a, b, home = [], [], []
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(sim)]])
         for i in np.flatnonzero(ends - starts > 1):
             sims = np.unique(sim[starts[i] : ends[i]]).view(np.uint64)
             forest = Forest(len(sims))
             close(sims, forest, np.arange(len(sims)))
-            for x in range(len(sims)):
-                if (root := forest.find(x)) != x:
-                    a.append(int(sims[x].view(np.int64)))
-                    b.append(int(sims[root].view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            roots = np.array([forest.find(x) for x in range(len(sims))])
+            sets = np.zeros(len(sims), np.uint64)
+            np.add.at(sets, roots, rolling.mix(sims))
+            near = np.flatnonzero(np.bincount(roots, minlength=len(sims))[roots] > 1)
+            a.append(sims[near])
+            b.append(sims[roots[near]])
+            home.append(sets[roots[near]])
+        none = [np.zeros(0, np.uint64)]
+        columns = [pa.array(np.concatenate(none + x).view(np.int64)) for x in (a, b, home)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "home"])
 
     def borders(number: np.ndarray, sim: np.ndarray) -> np.ndarray:
         return np.flatnonzero((np.diff(number) != 0) | (np.diff(sim & masks[number]) != 0)) + 1
@@ -234,27 +240,142 @@ def edit_similar(a: str, b: str, least: float) -> bool:
     return distance <= most
 
 
+def _linked(forest: Forest, lines: list[bytes]) -> pa.Table:
+    """Edges from members to the smallest of their set."""
+    roots = [forest.find(i) for i in range(len(lines))]
+    far = [i for i, root in enumerate(roots) if root != i]
+    return pa.table(
+        {"a": pa.array([lines[i] for i in far], pa.binary()), "b": pa.array([lines[roots[i]] for i in far], pa.binary())}
+    )
+
+
 def _verify(similarity: float):
+    """All pairs of part 0 and another part; those inside part 0 belong to the task of the first other part."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("line")
         lines, texts = table.column("line").to_pylist(), table.column("text").to_pylist()
         sims = table.column("sim").to_numpy().view(np.uint64)
         part = table.column("part").to_numpy()
-        across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        apart = table.column("other")[0].as_py() > 1
         forest = Forest(len(lines))
         for i in range(len(lines) - 1):
             near = np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= MAX_BITS
-            if across:
-                near &= part[i + 1 :] != part[i]
+            if apart and part[i] == 0:
+                near &= part[i + 1 :] != 0
             for j in np.flatnonzero(near) + i + 1:
                 if forest.find(i) != forest.find(j) and edit_similar(texts[i], texts[j], similarity):
                     forest.join(i, j)
-        roots = [lines[forest.find(i)] for i in range(len(lines))]
-        return pa.table({"a": pa.array(lines, pa.binary()), "b": pa.array(roots, pa.binary())})
+        return _linked(forest, lines)
 
     return run
 
 
+def _verify_rest(similarity: float):
+    """Lines of the rest against the lines of a part, unless both have one class already."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("line")
+        lines, texts = table.column("line").to_pylist(), table.column("text").to_pylist()
+        sims = table.column("sim").to_numpy().view(np.uint64)
+        root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(~asks)
+        forest = Forest(len(lines))
+        for i in np.flatnonzero(asks):
+            near = (np.bitwise_count(sims[others] ^ sims[i]) <= MAX_BITS) & (root[others] != root[i])
+            for j in others[near]:
+                if forest.find(i) != forest.find(j) and edit_similar(texts[i], texts[j], similarity):
+                    forest.join(i, j)
+        return _linked(forest, lines)
+
+    return run
+
+
+def _parts(n: Column, n_bytes: Column) -> Column:
+    return F.greatest(F.ceil(n / PART_LINES), F.ceil(n_bytes / PART_BYTES), F.lit(1))
+
+
+def _homes(once: DataFrame) -> DataFrame:
+    """(line, sim, home, parts): the sets of lines in which every pair of close SimHashes stands together.
+
+    A connected group of SimHashes that fits one part is a set as a whole. A larger one, which may be a long
+    chain, is compared by the sets of its keys instead.
+    """
+    numbers = F.array(*[F.lit(i).cast("byte") for i in range(len(CHOICES))])
+    keys = once.select("sim").distinct().select(F.explode(numbers).alias("number"), "sim")
+    chosen = block_choice(F.col("number"), F.col("sim"))
+    # The chosen bits are computed again on either side of the shuffle rather than sent.
+    stars = staged(
+        keys.repartition(F.xxhash64("number", chosen)).sortWithinPartitions("number", chosen)
+        .mapInArrow(_stars, "a long, b long, home long").distinct(),
+        "stars",
+    )
+    groups = components(stars.select("a", "b")).select(F.col("node").alias("sim"), F.col("root").alias("group"))
+    grouped = once.select("line", "sim", "n_bytes").join(groups, "sim", "left").withColumn("group", F.coalesce("group", "sim"))
+    sizes = (
+        grouped.groupBy("group")
+        .agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+        .where("n > 1")
+        .select("group", _parts(F.col("n"), F.col("bytes")).alias("parts"))
+    )
+    wanted = staged(grouped.join(sizes, "group"), "wanted-lines")
+    small = wanted.where("parts = 1").select("line", "sim", F.col("group").alias("home"), F.col("parts"))
+    large = (
+        wanted.where("parts > 1")
+        .join(stars.select(F.col("a").alias("sim"), "home"), "sim", "left")
+        .select("line", "sim", F.coalesce("home", "sim").alias("home"), "n_bytes")
+    )
+    sizes = large.groupBy("home").agg(_parts(F.count("*"), F.sum("n_bytes")).alias("parts"))
+    return staged(small.unionByName(large.join(sizes, "home").select("line", "sim", "home", "parts")), "homes")
+
+
+def line_classes(once: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(line, root) of all lines that are linked to another one.
+
+    Each part of a set is compared with itself and with part 0, so rows grow with the set. Then only the lines
+    outside the largest class found so far are compared with the other parts: pairs inside one class
+    are connected already.
+    """
+    homes = _homes(once)
+    read = staged(
+        texts.join(homes.select("line"), "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")), "line-texts"
+    )
+    part = F.pmod(F.xxhash64("line"), F.col("parts"))
+    others = F.when((F.col("part") == 0) & (F.col("parts") > 1), F.sequence(F.lit(1).cast("long"), F.col("parts") - 1))
+    parted = homes.withColumn("part", part)
+    tasks = parted.withColumn("other", F.explode(F.coalesce(others, F.array("part")))).join(read, "line")
+    first = components(
+        tasks.select("home", "other", "part", "line", "sim", "text")
+        .groupBy("home", "other")
+        .applyInArrow(_verify(similarity), "a binary, b binary")
+    ).select(F.col("node").alias("line"), "root")
+
+    members = staged(
+        parted.where("parts > 2").join(first, "line", "left").withColumn("root", F.coalesce("root", "line")), "large-sets"
+    )
+    main = members.groupBy("home", "root").agg(F.count("*").alias("n")).groupBy("home").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rest = members.join(main, "home").where(F.col("root") != F.col("main"))
+    if rest.isEmpty():
+        return first
+    rests = rest.groupBy("home").agg(F.ceil(F.count("*") / PART_LINES).alias("rests"))
+    asking = rest.join(rests, "home").select(
+        "home", F.pmod(F.xxhash64("line", F.lit(1)), F.col("rests")).alias("at"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts") - 1)).alias("other"),
+        "part", "line", "sim", "root", F.lit(True).alias("asks"),
+    ).where(F.col("other") != F.col("part"))
+    asked = members.where("part > 0").join(rests, "home").select(
+        "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("at"),
+        F.col("part").alias("other"), "part", "line", "sim", "root", F.lit(False).alias("asks"),
+    )
+    more = (
+        asking.unionByName(asked).drop("part").join(read, "line")
+        .groupBy("home", "at", "other").applyInArrow(_verify_rest(similarity), "a binary, b binary")
+    )
+    known = first.select(F.col("line").alias("a"), F.col("root").alias("b"))
+    return components(known.unionByName(more)).select(F.col("node").alias("line"), "root")
+
+
 def document_key():
     """One key for all rows with the same doc_id and text: such repeated rows count as one document."""
     return F.unhex(
@@ -285,42 +406,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
         ),
         "distinct-lines",
     )
-    numbers = F.array(*[F.lit(i).cast("byte") for i in range(len(CHOICES))])
-    keys = once.select("sim").distinct().select(F.explode(numbers).alias("number"), "sim")
-    chosen = block_choice(F.col("number"), F.col("sim"))
-    # The chosen bits are computed again on either side of the shuffle rather than sent.
-    stars = (
-        keys.repartition(F.xxhash64("number", chosen)).sortWithinPartitions("number", chosen)
-        .mapInArrow(_stars, "a long, b long")
-    )
-    groups = components(stars).select(F.col("node").alias("sim"), F.col("root").alias("group"))
-    grouped = once.select("line", "sim", "n_bytes").join(groups, "sim", "left").withColumn("group", F.coalesce("group", "sim"))
-    sizes = (
-        grouped.groupBy("group")
-        .agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-        .where("n > 1")
-        .select("group", F.greatest(F.ceil(F.col("n") / PART_LINES), F.ceil(F.col("bytes") / PART_BYTES)).alias("parts"))
-    )
-    wanted = staged(grouped.drop("n_bytes").join(sizes, "group"), "wanted-lines")
-    texts = (
-        ids.select("text")
-        .mapInArrow(_lines(True), "line binary, text string")
-        .join(wanted, "line", "left_semi")
-        .groupBy("line")
-        .agg(F.min("text").alias("text"))
-    )
-    tasks = (
-        wanted.join(texts, "line")
-        .withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(
-            "group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
-            "part", "line", "sim", "text",
-        )
+    texts = ids.select("text").mapInArrow(_lines(True), "line binary, text string")
+    classes = line_classes(once, texts, similarity)
+    # Lines that stand once and have no other of their class take no part in what follows.
+    rooted = (
+        once.select("line", "first", "n").join(classes, "line", "left")
+        .where((F.col("n") > 1) | F.col("root").isNotNull())
+        .withColumn("root", F.coalesce("root", "line"))
     )
-    verified = tasks.groupBy("group", "low", "high").applyInArrow(_verify(similarity), "a binary, b binary")
-    classes = components(verified).select(F.col("node").alias("line"), "root")
-    rooted = once.join(classes, "line", "left").withColumn("root", F.coalesce("root", "line"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("total")).where("total > 1")
     stays = rooted.join(firsts, "root").select("line", "stays")
     repeated = lines.join(stays, "line").where(

@@ -119,6 +119,17 @@ def test_large_groups_are_verified_in_parts(documents, monkeypatch):
     assert {(r.doc_id, at) for r in found for at in r.removed} == plain_removed(docs)
 
 
+def test_lines_outside_the_largest_class_are_compared_with_all_parts(documents, monkeypatch):
+    """Other orders of the same words have equal SimHashes but are no near-copies."""
+    monkeypatch.setattr(lines, "PART_LINES", 2)
+    words = "the quick brown fox jumps over that lazy dog while nobody looks".split()
+    orders = [words, words[::-1], words[6:] + words[:6], words[::2] + words[1::2], words[1::2] + words[::2]]
+    docs = [(10 * i + k, " ".join(order) + " the" * k) for i, order in enumerate(orders) for k in range(5 - i)]
+    found = lines.line_report(documents(docs)).collect()
+    removed = {(r.doc_id, at) for r in found for at in r.removed}
+    assert removed and removed == plain_removed(docs)
+
+
 def test_texts_lose_repeated_lines_and_nothing_else(documents, docs):
     df = documents(docs)
     kept = lines.dedup_lines(df)
