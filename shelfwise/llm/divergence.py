@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.runtime import staged
 
-CHUNK_BREAK = r"[\x20\x09-\x0D]+"
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
@@ -22,155 +22,214 @@ LEAST_DOCS = 10
 TOP = 10
 
 # Documents are numbered inside blocks of at most so many bytes of text (one longer text is a block alone).
-BLOCK_BYTES = 16 << 20
-BLOCK_DOCS = 1 << 16
+BLOCK_BYTES = 32 << 20
+DOC_BITS = 16
 # Blocks of 2 ** 6 tasks meet where the documents of a term are counted: that bounds the rows of a frequent term.
 NEAR = 32 + 6
 # So many groups are small enough to be sent to every executor; more are joined by a shuffle.
 SENT_GROUPS = 100_000
+# Slots in which groups are numbered.
+SLOTS = 64
 # Rows of one language that one task compares, and cells of the matrix it holds for them.
 ROWS = 200_000
 CELLS = 1 << 22
+# Counts below this stay in longs when they are scaled.
+SMALL = 9 * 10**9
 
 
-def _varint(value: int, out: bytearray) -> None:
-    while value > 127:
-        out.append(value & 127 | 128)
-        value >>= 7
-    out.append(value)
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
 
 
-def _postings(block: list[tuple[int, bytes]]) -> dict[bytes, bytearray]:
-    """chunk to its documents: number and group of each document that has it, and how often.
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of consecutive runs of these lengths."""
+    return np.arange(lengths.sum()) - np.repeat(_starts(lengths), lengths)
 
-    Documents are in the order of their groups. An entry is the distance to the last document of the chunk, with
-    one bit for "another group follows" and one for "more than once": about two bytes for most.
-    """
-    found: dict[bytes, bytearray] = {}
-    last: dict[bytes, int] = {}
-    groups = [group for group, _ in block]
-    for doc, (group, text) in enumerate(block):
-        counts: dict[bytes, int] = {}
-        for chunk in text.split():
-            counts[chunk] = counts.get(chunk, 0) + 1
-        for chunk, n in counts.items():
-            before = last.get(chunk, -1)
-            if before < 0:
-                out = found[chunk] = bytearray()
-                other = True
-            else:
-                out, other = found[chunk], groups[before] != group
-            last[chunk] = doc
-            _varint((doc - before) << 2 | other << 1 | (n > 1), out)
-            if other:
-                _varint(group, out)
-            if n > 1:
-                _varint(n, out)
-    return found
-
-
-def _entries(payload: bytes) -> Iterator[tuple[int, int, int]]:
-    """(document, group, times) of a payload of `_postings`."""
-    numbers, value, shift = [], 0, 0
-    for byte in payload:
-        value |= (byte & 127) << shift
-        if byte > 127:
-            shift += 7
-        else:
-            numbers.append(value)
-            value = shift = 0
-    at, doc, group = 0, -1, 0
-    while at < len(numbers):
-        head = numbers[at]
-        at += 1
-        doc += head >> 2
-        if head & 2:
-            group = numbers[at]
-            at += 1
-        n = 1
-        if head & 1:
-            n = numbers[at]
-            at += 1
-        yield doc, group, n
 
+def _to_varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the numbers, seven bits each, and where each number starts."""
+    size = np.ones(len(numbers), dtype=np.int64)
+    for bits in range(7, 64, 7):
+        size += numbers >= (1 << bits)
+    starts = _starts(size)
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    for b in range(int(size.max(initial=0))):
+        more = size > b
+        out[starts[more] + b] = (numbers[more] >> 7 * b) & 127 | (size[more] > b + 1) << 7
+    return out, starts
 
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    block: list[tuple[int, bytes]] = []
-    size = 0
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        # Neighbouring chunks share their beginnings, which shuffles compress.
-        ordered = sorted(_postings(sorted(block, key=lambda row: row[0])).items())
-        for at in range(0, len(ordered), 50_000):
-            some = ordered[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number] * len(some), pa.int64()),
-                    pa.array([chunk for chunk, _ in some], pa.binary()).cast(pa.string()),
-                    pa.array([bytes(payload) for _, payload in some], pa.binary()),
-                ],
-                ["block", "chunk", "payload"],
-            )
+def _from_varints(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    size = ends - starts + 1
+    numbers = np.zeros(len(ends), dtype=np.int64)
+    for b in range(int(size.max(initial=0))):
+        more = size > b
+        numbers[more] |= (raw[starts[more] + b] & 127).astype(np.int64) << 7 * b
+    return numbers, starts
+
+
+def _postings(row: np.ndarray, group: np.ndarray, doc: np.ndarray, n: np.ndarray, rows: int) -> pa.BinaryArray:
+    """One value per row from entries in the order (row, group, doc).
+
+    A value holds numbers: how many groups, the groups, the documents of each, the distances between
+    documents, and, unless all are 1, the times of each.
+    """
+    entries = np.bincount(row, minlength=rows)
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    opens = first | np.concatenate([[True], group[1:] != group[:-1]])
+    groups = np.bincount(row[opens], minlength=rows)
+    many = np.zeros(rows, dtype=bool)
+    many[row[n > 1]] = True
+    base = _starts(1 + 2 * groups + entries + np.where(many, entries, 0))
+    numbers = np.zeros(int((1 + 2 * groups + entries + np.where(many, entries, 0)).sum()), dtype=np.int64)
+    numbers[base] = groups << 1 | many
+    at = np.repeat(base + 1, groups) + _within(groups)
+    numbers[at] = group[opens]
+    numbers[at + np.repeat(groups, groups)] = np.diff(np.append(np.flatnonzero(opens), len(row)))
+    at = np.repeat(base + 1 + 2 * groups, entries) + _within(entries)
+    numbers[at] = np.where(first, doc, np.diff(doc, prepend=0))
+    some = many[row]
+    numbers[(at + np.repeat(entries, entries))[some]] = n[some]
+    raw, starts = _to_varints(numbers)
+    offsets = np.append(starts[base], len(raw)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _entries(payload: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, doc, n) of all entries of these values."""
+    offsets = np.frombuffer(payload.buffers()[1], dtype=np.int32)[payload.offset : payload.offset + len(payload) + 1]
+    raw = np.frombuffer(payload.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    numbers, starts = _from_varints(raw)
+    base = np.searchsorted(starts, offsets[:-1] - offsets[0])
+    groups, many = numbers[base] >> 1, numbers[base] & 1 == 1
+    at = np.repeat(base + 1, groups) + _within(groups)
+    group, run = numbers[at], numbers[at + np.repeat(groups, groups)]
+    rows = np.arange(len(base))
+    entries = np.bincount(np.repeat(rows, groups), weights=run, minlength=len(base)).astype(np.int64)
+    at = np.repeat(base + 1 + 2 * groups, entries) + _within(entries)
+    steps = numbers[at].cumsum()
+    before = np.concatenate([[0], steps])[_starts(entries)]
+    n = np.ones(len(at), dtype=np.int64)
+    some = np.repeat(many, entries)
+    n[some] = numbers[(at + np.repeat(entries, entries))[some]]
+    return np.repeat(rows, entries), np.repeat(group, run), steps - np.repeat(before, entries), n
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StringArray, np.ndarray]]:
+    """(number, texts, groups) of the blocks of a task; documents are in the order of their groups."""
+    number, held, size, docs = TaskContext.get().partitionId() << 32, [], 0, 0
+
+    def block() -> tuple[int, pa.StringArray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        texts, groups = table["text"].combine_chunks(), table["group_no"].to_numpy()
+        order = np.argsort(groups, kind="stable")
+        return number, texts.take(pa.array(order)), groups[order]
 
     for batch in batches:
-        for group, text in zip(batch["group_no"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if block and (size + len(text) > BLOCK_BYTES or len(block) == BLOCK_DOCS):
-                yield from rows()
-                number, block, size = number + 1, [], 0
-            block.append((group, text))
-            size += len(text)
-    if block:
-        yield from rows()
+        lengths = np.concatenate([[0], np.cumsum(pc.binary_length(batch["text"]).to_numpy())])
+        low = 0
+        while low < batch.num_rows:
+            # As many rows as still fit, or one row that is too long for any block.
+            fit = int(np.searchsorted(lengths, lengths[low] + BLOCK_BYTES - size, side="right")) - 1
+            high = min(fit, low + (1 << DOC_BITS) - docs, batch.num_rows)
+            if high <= low and held:
+                yield block()
+                number, held, size, docs = number + 1, [], 0, 0
+                continue
+            high = max(high, low + 1)
+            held.append(batch.slice(low, high - low))
+            size, docs, low = size + int(lengths[high] - lengths[low]), docs + high - low, high
+    if held:
+        yield block()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct chunks of each block."""
+    for _, texts, _ in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pc.unique(pc.ascii_split_whitespace(texts).flatten())], ["chunk"])
 
 
-def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (term, block) to (group_no, term, docs, n), documents of several chunks counted once."""
-    term, block, docs, totals, out = None, None, {}, {}, ([], [], [], [])
-
-    def end_block() -> None:
-        for group, n in docs.values():
-            total = totals.get(group)
-            if total is None:
-                totals[group] = [1, n]
-            else:
-                total[0] += 1
-                total[1] += n
-        docs.clear()
-
-    def end_term() -> None:
-        end_block()
-        for group, (n_docs, n) in totals.items():
-            for column, value in zip(out, (group, term, n_docs, n), strict=True):
-                column.append(value)
-        totals.clear()
-
-    def batch_of() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-        made = pa.RecordBatch.from_arrays(
-            [pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)], ["group_no", "term", "docs", "n"]
+def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block and chunk with the documents that have it."""
+    for number, texts, groups in _blocks(batches):
+        words = pc.ascii_split_whitespace(texts)
+        lengths = words.value_lengths().to_numpy()
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        # Neighbouring chunks share their beginnings, which shuffles compress.
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order), dtype=order.dtype)
+        keys = place[coded.indices.to_numpy()].astype(np.int64) << DOC_BITS
+        keys |= np.repeat(np.arange(len(lengths)), lengths)
+        keys, n = np.unique(keys, return_counts=True)
+        row, doc = keys >> DOC_BITS, keys & (1 << DOC_BITS) - 1
+        chunk, payload = coded.dictionary.take(pa.array(order)), _postings(row, groups[doc], doc, n, len(order))
+        whole = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(order), number)), chunk, payload], ["block", "chunk", "payload"]
         )
-        for column in out:
-            column.clear()
-        return made
+        for low in range(0, len(order), 50_000):
+            yield whole.slice(low, 50_000)
+
+
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Where a row differs from the one before, in any column."""
+    changed = np.zeros(len(columns[0]), dtype=bool)
+    changed[:1] = True
+    for column in columns:
+        changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0))).to_numpy(zero_copy_only=False)
+    return changed
+
+
+def _count_some(batch: pa.RecordBatch) -> pa.RecordBatch:
+    new_term = _changes(batch["term"])
+    pair = np.cumsum(new_term | _changes(batch["block"])) - 1
+    term = np.cumsum(new_term) - 1
+    row, group, doc, n = _entries(batch["payload"])
+    keys = pair[row] << DOC_BITS | doc
+    if pair[-1] + 1 < batch.num_rows:
+        # Documents that have the term in several chunks.
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        n, row, group = np.add.reduceat(n[order], first), row[order][first], group[order][first]
+    names, group = np.unique(group, return_inverse=True)
+    keys, at = np.unique(term[row] * len(names) + group, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(names[keys % len(names)]),
+            batch["term"].take(pa.array(np.flatnonzero(new_term)[keys // len(names)])),
+            pa.array(np.diff(np.append(first, len(at)))),
+            pa.array(np.add.reduceat(n[order], first)),
+        ],
+        ["group_no", "term", "docs", "n"],
+    )
+
+
+def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (term, block) to (group_no, term, docs, n); a term may come in several rows of a group."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        for at, now, payload in zip(*(batch[c].to_pylist() for c in ("block", "term", "payload")), strict=True):
-            if now != term:
-                if term is not None:
-                    end_term()
-                term, block = now, at
-            elif at != block:
-                end_block()
-                block = at
-            for doc, group, n in _entries(payload):
-                have = docs.get(doc)
-                docs[doc] = (group, n if have is None else have[1] + n)
-        if len(out[0]) > 50_000:
-            yield batch_of()
-    if term is not None:
-        end_term()
-    yield batch_of()
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        # What belongs to the last block of the last term waits: more rows of it may follow.
+        starts = np.flatnonzero(_changes(batch["term"], batch["block"]))
+        if len(starts) > 1:
+            whole = joined()
+            kept = batch.num_rows - int(starts[-1])
+            yield _count_some(whole.slice(0, whole.num_rows - kept))
+            held = [whole.slice(whole.num_rows - kept)]
+    if held:
+        yield _count_some(joined())
 
 
 def terms_of(chunk: Column) -> Column:
@@ -179,9 +238,14 @@ def terms_of(chunk: Column) -> Column:
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (count + 2) / (total + 2 * terms)), exact for counts beyond 2 ** 53; 0 without terms."""
-    wide = [x.cast("decimal(24,0)") for x in (count + 2, total + 2 * terms)]
-    return F.when(terms > 0, F.floor(F.call_function("div", wide[0] * F.lit(SCALE), wide[1])) + 1).otherwise(0).cast("long")
+    """1 + floor(SCALE * (count + 2) / (total + 2 * terms)), exact for any count; 0 without terms."""
+
+    def divided(kind: str) -> Column:
+        over, under = (x.cast(kind) for x in (count + 2, total + 2 * terms))
+        return F.call_function("div", over * F.lit(SCALE), under)
+
+    exact = F.when(count < SMALL, divided("long")).otherwise(divided("decimal(24,0)"))
+    return F.when(terms > 0, exact + 1).otherwise(0).cast("long")
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -189,20 +253,22 @@ def _divergence(p: Column, q: Column) -> Column:
 
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """Numbered (lang, source) groups, and whether they are few enough to be sent to all executors."""
-    groups = staged(
-        docs.select("lang", "source").distinct().withColumn("group_no", F.monotonically_increasing_id()), "groups"
-    )
+    """(lang, source) groups with small numbers, and whether they are few enough to be sent to all executors."""
+    slot = F.pmod(F.xxhash64("lang", "source"), F.lit(SLOTS))
+    in_slot = F.row_number().over(Window.partitionBy("slot").orderBy("lang", "source"))
+    number = ((in_slot - 1) * SLOTS + F.col("slot")).cast("long").alias("group_no")
+    groups = docs.select("lang", "source").distinct().withColumn("slot", slot).select("lang", "source", number)
+    groups = staged(groups, "groups")
     return groups, groups.count() <= SENT_GROUPS
 
 
 def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n, lang_n, first) of the kept terms, and (lang, source) of all groups.
 
-    1. Each task turns blocks of documents into (block, chunk) rows with the documents of the chunk.
+    1. Each task turns blocks of documents into one row per chunk, with the documents that have it.
     2. The distinct chunks of all documents are tokenized, each once.
-    3. Their terms are joined back to the rows of (1): both sides are plain shuffles, which Spark can split
-       where one chunk is in most blocks.
+    3. Their terms are joined back to the rows of (1). A chunk has one row per block, of some two bytes a document,
+       however often it occurs.
     4. Rows of a term meet by (neighbouring blocks, term): documents that have it in several chunks count once, and
        what leaves is one row per group. Sums of these are the result.
     lang_n is n over all sources of the language, first marks one row per (lang, term).
@@ -211,13 +277,13 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFram
     whole = docs.select(text, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     groups, few = _groups(whole)
     sent = F.broadcast(groups) if few else groups
-    numbered = whole.join(sent, ["lang", "source"]).select("group_no", F.col("text").cast("binary").alias("text"))
+    numbered = whole.join(sent, ["lang", "source"]).select("group_no", "text")
     if not few:
         # Behind a shuffle a repeated task could number its documents differently.
         numbered = staged(numbered, "numbered")
     counts = numbered.mapInArrow(_count_chunks, "block long, chunk string, payload binary")
-    chunks = whole.select(F.explode(F.split("text", CHUNK_BREAK)).alias("chunk")).distinct()
-    dictionary = staged(chunks.select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term")), "terms")
+    chunks = numbered.mapInArrow(_chunks, "chunk string").distinct()
+    dictionary = chunks.select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term"))
     by_term = (
         counts.join(dictionary, "chunk")
         .select("block", "term", "payload")

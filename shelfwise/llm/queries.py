@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shelfwise.llm import decontam, divergence, html, jaccard, lines, lm, mixing, pii, quality, suffix, warc
+from shelfwise.llm import decontam, divergence, html, jaccard, lines, lm, mixing, pii, quality, repair, suffix, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -20,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": pii.op8_pii_surrogates,
     "op9_warc": warc.op9_warc,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_exact_top_k": topk.op13_exact_top_k,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op7_source_mixing": mixing.OP7_SQL,
     "op9_warc": warc.OP9_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_exact_top_k": topk.OP13_SQL,
 }

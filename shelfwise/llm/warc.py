@@ -11,19 +11,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.runtime import work_dir
+from shelfwise.runtime import staged, work_dir
 
 VERSION = b"WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
-SEPARATOR = RECORD_END + "WARC/1.1\r\n"
+# Records are cut where the next one starts. This text holds no beginning of itself, so a reader finds it also where
+# one of its buffers ends inside (with RECORD_END in front it would not).
+SEPARATOR = "WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
-FILE_BYTES = 64_000_000
 
 RECORD = (
-    "record_id string, type string, uri string, refers_to string, digest string, copies int, segment int, "
+    "record_id string, type string, uri string, refers_to string, digest string, segment int, "
     "origin string, total long, block binary"
 )
 
@@ -70,25 +71,27 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + lines.encode() + b"\r\n" + block
 
 
+def _page_record(page_id: object, row: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+
+
 def records(row: dict, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The records of a page: a revisit, a response, or a response and its continuations."""
-    payload = row["payload"]
-    identity = f"<urn:page:{'' if row['page_id'] is None else row['page_id']}:{row['row']}>"
+    identity = _page_record(row["page_id"], row["row"])
     uri = quote(row["url"] or "", safe="%/:=&?~#+!$,;'@()*[]")
     common = [
         ("WARC-Record-ID", identity),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", uri),
-        ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)),
+        ("WARC-Payload-Digest", "sha1:" + b32encode(bytes.fromhex(row["digest"])).decode()),
         ("Content-Type", "application/http; msgtype=response"),
-        ("X-Copies", row["copies"]),
     ]
-    if row["first_id"] is not None:
-        refers = ("WARC-Refers-To", f"<urn:page:{row['first_id']}:{row['first_row']}>")
+    if row["payload"] is None:
+        refers = ("WARC-Refers-To", _page_record(row["first_id"], row["first_row"]))
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         yield _record([("WARC-Type", "revisit"), *common, refers, profile], HTTP)
         return
-    block = HTTP + chunked(payload, chunk_bytes)
+    block = HTTP + chunked(row["payload"], chunk_bytes)
     if len(block) <= segment_bytes:
         yield _record([("WARC-Type", "response"), *common], block)
         return
@@ -118,52 +121,64 @@ def _to_records(segment_bytes: int, chunk_bytes: int):
     return run
 
 
+def _row_of(digest: str, url: str, copy: Column) -> Column:
+    """What tells the records of a page_id apart."""
+    return F.concat_ws("-", F.md5(F.concat_ws(":", digest, F.coalesce(F.col(url), F.lit("-")))), copy.cast("string"))
+
+
 def with_first(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Each different row once (page_id, url, payload, row, copies), with the first page of equal payload.
+    """A row per page to write: (page_id, url, digest, payload, row, first_id, first_row).
 
-    first_id and first_row are null for the page that is written in full: the one with the smallest page_id
-    among equal payloads of at least `least` bytes, and every shorter one. Rows with a null page_id are never
-    referred to.
+    Of the rows with an equal payload of at least `least` bytes one has it: that of the smallest (page_id, url), nulls
+    last, one of them where the row is repeated. The others have a null payload and name it. Shorter rows
+    all have their payload. Whole payloads go through one shuffle, after each task has kept one per digest; the rest are
+    short rows, so a payload or a row that fills a third of the table is no hot spot.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(
-        F.col("page_id").alias("page_id"), F.col("url").alias("url"), payload.alias("payload")
-    ).withColumn("key", F.sha1("payload"))
-    row = F.md5(F.concat_ws(":", F.col("key"), F.coalesce("url", F.lit("-"))))
-    once = (
-        rows.groupBy("page_id", "url", "key")
-        .agg(F.count("*").cast("int").alias("copies"), F.first("payload").alias("payload"))
-        .withColumn("row", row)
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    long = F.length("payload") >= least
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    responses = (
+        rows.where(long)
+        .groupBy("digest")
+        .agg(F.min_by(F.struct("page_id", "url", "payload"), order).alias("first"))
+        .select("first.page_id", "first.url", "digest", "first.payload", F.lit(0).alias("copy"))
     )
     firsts = (
-        rows.where(F.length("payload") >= least)
-        .withColumn("row", row)
-        .groupBy("key")
-        .agg(
-            F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"),
-            F.count("*").alias("n"),
-        )
+        rows.where(long)
+        .groupBy("digest")
+        .agg(F.min(order).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-    )
-    other = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
-    return once.join(firsts, "key", "left").select(
-        "page_id", "url", "payload", "row", "copies",
-        F.when(other, F.col("first.page_id").cast("string")).alias("first_id"),
-        F.when(other, F.col("first.row")).alias("first_row"),
+        .select(
+            "digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"),
+            _row_of("digest", "first.url", F.lit(0)).alias("first_row"),
+        )
     )
+    counted = rows.where(long).groupBy("page_id", "url", "digest").agg(F.count("*").cast("int").alias("copies"))
+    chosen = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    revisits = counted.join(firsts, "digest").select(
+        "page_id", "url", "digest", "first_id", "first_row",
+        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), chosen.alias("chosen"),
+    ).where("copy > 0 or not chosen").drop("chosen")
+    short = rows.where(~long).groupBy("page_id", "url", "digest").agg(
+        F.count("*").cast("int").alias("copies"), F.first("payload").alias("payload")
+    )
+    short = short.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    both = responses.unionByName(short) if least > 0 else responses
+    return (
+        both.unionByName(revisits, allowMissingColumns=True)
+        .withColumn("row", _row_of("digest", "url", F.col("copy")))
+        .select("page_id", "url", "digest", "payload", "row", "first_id", "first_row")
+    )
 
 
 def write(
     pages: DataFrame, path: str, least: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES
 ) -> None:
-    """Write `pages` (page_id, url, html) as gzip files of WARC records, about FILE_BYTES of records each."""
-    volume = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    """Write `pages` (page_id, url, html) as gzip files of WARC records, one for each partition of payloads."""
     made = with_first(pages, least).mapInArrow(_to_records(segment_bytes, chunk_bytes), "record binary")
-    (
-        made.select(F.col("record").cast("string").alias("value"))
-        .repartition(max(2, int(volume // FILE_BYTES)))
-        .write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
-    )
+    lines = made.select(F.col("record").cast("string").alias("value"))
+    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +202,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "uri": h.get("warc-target-uri"),
                         "refers_to": h.get("warc-refers-to"),
                         "digest": h.get("warc-payload-digest"),
-                        "copies": number("x-copies") or 1,
                         "segment": number("warc-segment-number"),
                         "origin": h.get("warc-segment-origin-id") or h.get("warc-record-id"),
                         "total": number("warc-segment-total-length"),
                         "block": block,
                     }
                 )
-            kinds = {"copies": pa.int32(), "segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}
+            kinds = {"segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}
             names = [c.split()[0] for c in RECORD.split(", ")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[n] for r in out], kinds.get(n, pa.string())) for n in names], names
@@ -224,7 +238,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Logical records of the archives at path: record_id, type, uri, refers_to, digest, copies, payload, intact.
+    """Logical records of the archives at path: record_id, type, uri, refers_to, digest, payload, intact.
 
     Records are cut at record borders by the reader, so a file is never held whole; plain files are also read
     in parallel. Segments are grouped by the record that they continue and put in order of their numbers; a
@@ -233,7 +247,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("value"))
     parsed = raw.where(F.length("value") > 4).mapInArrow(_parse, RECORD)
-    fields = ("record_id", "type", "uri", "refers_to", "digest", "copies")
+    fields = ("record_id", "type", "uri", "refers_to", "digest")
     single = parsed.where("segment is null").select(*fields, F.array("block").alias("blocks"), "total")
     head = F.struct(*fields)
     joined = (
@@ -257,7 +271,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
     return single.union(segmented).mapInArrow(
         _decode,
-        "record_id string, type string, uri string, refers_to string, digest string, copies int, payload binary, intact boolean",
+        "record_id string, type string, uri string, refers_to string, digest string, payload binary, intact boolean",
     )
 
 
@@ -269,33 +283,36 @@ def round_trip(pages: DataFrame, path: str, least: int = 0, **sizes) -> DataFram
     """Write `pages` (page_id, url, html) to path, read the archives, and give a row per page:
     page_id, payload_bytes, payload_digest, record_type, refers_to, intact.
 
-    Null html is an empty payload; urls are written percent-encoded, a null one as empty. Rows with a null
-    page_id come back with a null page_id and refer to a page of equal payload if one has an id. Repeated rows
-    are written once with their number and come back as often. An empty table gives no rows.
+    Null html is an empty payload; urls are written percent-encoded, a null one as empty. Null page_ids come last
+    in the choice of the response and come back as null. A repeated row has a record of its own, a revisit. An
+    empty table gives no rows.
     """
     write(pages, path, least, **sizes)
-    found = read(pages.sparkSession, path)
+    # The archives are read once; what is kept of a record is short.
+    found = staged(
+        read(pages.sparkSession, path).select(
+            "record_id", "type", "refers_to", "digest", "intact", F.length("payload").cast("long").alias("bytes")
+        ),
+        "records",
+    )
     id_type = pages.schema["page_id"].dataType
     full = found.where("type = 'response'").select(
-        F.col("record_id").alias("full_id"), F.length("payload").cast("long").alias("full_bytes"), F.col("intact").alias("full_intact")
+        F.col("record_id").alias("full_id"), F.col("bytes").alias("full_bytes"), F.col("intact").alias("full_intact")
     )
     revisit = F.col("type") == "revisit"
-    joined = found.select(
-        "record_id", "type", "refers_to", "digest", "copies", "intact",
-        F.length("payload").cast("long").alias("own_bytes"),
-    ).join(full, found["refers_to"] == full["full_id"], "left")
+    joined = found.join(full, found["refers_to"] == full["full_id"], "left")
     return joined.select(
         F.nullif(page_of("record_id"), F.lit("")).cast(id_type).alias("page_id"),
-        F.when(revisit, F.col("full_bytes")).otherwise(F.col("own_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("full_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
         F.col("type").alias("record_type"),
-        F.when(revisit, page_of("refers_to").cast(id_type)).alias("refers_to"),
+        F.when(revisit, F.nullif(page_of("refers_to"), F.lit("")).cast(id_type)).alias("refers_to"),
         (F.col("intact") & F.when(revisit, F.coalesce("full_intact", F.lit(False))).otherwise(True)).alias("intact"),
-        F.explode(F.sequence(F.lit(1), "copies")).alias("__copy"),
-    ).drop("__copy")
+    )
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of `pages` through archives in a work folder."""
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), work_dir(spark, "warc"))
 
 
