@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -262,16 +261,16 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, bool]:
     return groups, groups.count() <= SENT_GROUPS
 
 
-def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n, lang_n, first) of the kept terms, and (lang, source) of all groups.
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, bool]:
+    """(lang, term, n, by_source) of the kept terms, (lang, source) of all groups, and whether those are few.
 
     1. Each task turns blocks of documents into one row per chunk, with the documents that have it.
     2. The distinct chunks of all documents are tokenized, each once.
     3. Their terms are joined back to the rows of (1). A chunk has one row per block, of some two bytes a document,
-       however often it occurs.
+       however often it occurs. The rows are shuffled once, for (2) and for (3).
     4. Rows of a term meet by (neighbouring blocks, term): documents that have it in several chunks count once, and
        what leaves is one row per group. Sums of these are the result.
-    lang_n is n over all sources of the language, first marks one row per (lang, term).
+    by_source holds (source, n) of every source that has the term.
     """
     text = F.coalesce("text", F.lit("")).alias("text")
     whole = docs.select(text, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
@@ -281,8 +280,10 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFram
     if not few:
         # Behind a shuffle a repeated task could number its documents differently.
         numbered = staged(numbered, "numbered")
-    counts = numbered.mapInArrow(_count_chunks, "block long, chunk string, payload binary")
-    chunks = numbered.mapInArrow(_chunks, "chunk string").distinct()
+    counts = numbered.mapInArrow(_count_chunks, "block long, chunk string, payload binary").repartition("chunk")
+    # All columns are read here too, so that Spark finds the same shuffle on both sides of the join.
+    chunks = counts.groupBy("chunk").agg(F.max("block").alias("block"), F.max(F.octet_length("payload")).alias("size"))
+    chunks = chunks.where("size > 0 and block >= 0")
     dictionary = chunks.select("chunk", F.explode(terms_of(F.col("chunk"))).alias("term"))
     by_term = (
         counts.join(dictionary, "chunk")
@@ -291,44 +292,86 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFram
         .sortWithinPartitions("term", "block")
         .mapInArrow(_count_documents, "group_no long, term string, docs long, n long")
     )
-    of_term = Window.partitionBy("lang", "term")
     kept = (
         by_term.join(sent, "group_no")
         .repartition("lang", "term")
-        .groupBy("lang", "source", "term")
+        .groupBy("lang", "term", "source")
         .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-        .withColumn("lang_docs", F.sum("docs").over(of_term))
-        .where(F.col("lang_docs") >= least_docs)
-        .select(
-            "lang", "source", "term", "n",
-            F.sum("n").over(of_term).alias("lang_n"),
-            (F.col("source") == F.min("source").over(of_term)).alias("first"),
-        )
-    )
-    return staged(kept, "kept"), groups.select("lang", "source")
-
-
-def _pair_sums(rows: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-    """Sums of the divergence over the terms of `rows`, for each pair of sources of one language."""
-    names = sources.sort_values("source").reset_index(drop=True)
-    width, total = len(names), np.zeros((len(names), len(names)), dtype=np.int64)
-    column = pd.Series(names.index, index=names["source"])
-    numbers, _ = pd.factorize(rows["term"])
-    ordered = np.argsort(numbers, kind="stable")
-    line, at, p = numbers[ordered], column[rows["source"]].to_numpy()[ordered], rows["p"].to_numpy()[ordered]
-    height = max(1, CELLS // max(width, 1))
-    for low in range(0, (line[-1] + 1) if len(line) else 0, height):
-        some = slice(*np.searchsorted(line, [low, low + height]))
-        matrix = np.tile(names["absent"].to_numpy(), (line[some][-1] - low + 1, 1))
-        matrix[line[some] - low, at[some]] = p[some]
-        for a in range(width - 1):
-            left, right = matrix[:, a : a + 1], matrix[:, a + 1 :]
-            total[a, a + 1 :] += ((left - right) ** 2 // (left + right)).sum(axis=0)
-    a, b = np.triu_indices(width, 1)
-    name = names["source"].to_numpy()
-    return pd.DataFrame(
-        {"lang": names["lang"].iloc[0] if width else None, "a": name[a], "b": name[b], "value": total[a, b]}
+        .groupBy("lang", "term")
+        .agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("by_source"))
+        .where(F.col("docs") >= least_docs)
+        .select("lang", "term", "n", "by_source")
+    )
+    return staged(kept, "kept"), groups.select("lang", "source"), few
+
+
+class _Sums:
+    """Sums of the divergence over terms, for each pair of sources of one language."""
+
+    def __init__(self, sources: list[tuple[str, int]], terms: int) -> None:
+        self.names = [name for name, _ in sources]
+        self.place = {name: at for at, name in enumerate(self.names)}
+        self.under = [total + 2 * terms for _, total in sources]
+        self.absent = np.array([1 + SCALE * 2 // under if under else 0 for under in self.under], dtype=np.int64)
+        self.total = np.zeros((len(sources), len(sources)), dtype=np.int64)
+
+    def add(self, line: np.ndarray, source: list[str], n: np.ndarray) -> None:
+        """Counts n of (line, source), where lines 0, 1, ... are terms, in order."""
+        at = np.fromiter(map(self.place.__getitem__, source), dtype=np.int64, count=len(source))
+        over = n + 2 if n.max(initial=0) < SMALL else n.astype(object) + 2
+        under = np.array(self.under, dtype=np.int64)[at]
+        p = (1 + over * SCALE // under).astype(np.int64)
+        height = max(1, CELLS // len(self.names))
+        for low in range(0, int(line[-1]) + 1 if len(line) else 0, height):
+            some = slice(*np.searchsorted(line, [low, low + height]))
+            matrix = np.tile(self.absent, (line[some][-1] - low + 1, 1))
+            matrix[line[some] - low, at[some]] = p[some]
+            for a in range(len(self.names) - 1):
+                left, right = matrix[:, a : a + 1], matrix[:, a + 1 :]
+                self.total[a, a + 1 :] += ((left - right) ** 2 // (left + right)).sum(axis=0)
+
+    def rows(self, lang: str) -> list[tuple]:
+        pairs = zip(*(x.tolist() for x in np.triu_indices(len(self.names), 1)), strict=True)
+        return [(lang, self.names[a], self.names[b], int(self.total[a, b])) for a, b in pairs]
+
+
+PAIR = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
+PAIR_ROW = "lang string, a string, b string, value long"
+
+
+def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(PAIR)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAIR, strict=True)], schema=PAIR)
+
+
+def _sum_pairs(batches: Iterator[pa.RecordBatch], sizes: dict[str, tuple[list, int]]) -> Iterator[pa.RecordBatch]:
+    """Sums over the terms of a task, one row per pair of sources."""
+    sums: dict[str, _Sums] = {}
+    for batch in batches:
+        lists = batch["by_source"]
+        lang, length = batch["lang"], lists.value_lengths().to_numpy()
+        source, n = (lists.flatten().field(i) for i in (0, 1))
+        row = np.repeat(np.arange(len(lang)), length)
+        for one in pc.unique(lang).to_pylist():
+            mine = pc.equal(lang, one).to_numpy(zero_copy_only=False)
+            here = mine[row]
+            line = np.cumsum(mine)[row[here]] - 1
+            where = pa.array(np.flatnonzero(here))
+            sums.setdefault(one, _Sums(*sizes[one])).add(line, source.take(where).to_pylist(), n.take(where).to_numpy())
+    yield _pair_batch([row for lang, one in sums.items() for row in one.rows(lang)])
+
+
+def _sum_slice(rows: pa.Table, sources: pa.Table) -> pa.Table:
+    """The same for one slice of the terms of a language."""
+    if not sources.num_rows or not rows.num_rows:
+        return pa.Table.from_batches([], PAIR)
+    found = _Sums(
+        list(zip(sources["source"].to_pylist(), sources["total"].to_pylist(), strict=True)), sources["terms"][0].as_py()
     )
+    numbers = pc.rank(rows["term"], tiebreaker="dense").to_numpy() - 1
+    order = np.argsort(numbers, kind="stable")
+    found.add(numbers[order].astype(np.int64), rows["source"].take(pa.array(order)).to_pylist(), rows["n"].to_numpy()[order])
+    return pa.Table.from_batches([_pair_batch(found.rows(sources["lang"][0].as_py()))])
 
 
 def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -339,54 +382,57 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     Needs text, lang and source; null counts as ''. Rows are documents, also repeated ones; other columns
     are not read. A language without kept terms has pairs of value 0. An empty table gives no rows.
     """
-    kept, groups = term_counts(docs, least_docs)
-    of_source = kept.groupBy("lang", "source").agg(
-        F.sum("n").alias("n"), F.sum(F.col("first").cast("long")).alias("v"), F.count("*").alias("rows")
-    )
-    of_lang = Window.partitionBy("lang")
+    kept, groups, few = term_counts(docs, least_docs)
+    each = kept.select("lang", "term", F.col("n").alias("lang_n"), F.inline("by_source"))
+    of_source = each.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
+    of_lang = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count("*").alias("terms"))
     sizes = staged(
         groups.join(of_source, ["lang", "source"], "left")
-        .na.fill(0, ["n", "v", "rows"])
-        .select(
-            "lang", "source", F.col("n").alias("total"), F.sum("n").over(of_lang).alias("lang_total"),
-            F.sum("v").over(of_lang).alias("terms"),
-            (F.floor(F.sum("rows").over(of_lang) / ROWS) + 1).cast("int").alias("parts"),
-        )
-        .withColumn("absent", _share(F.lit(0), F.col("total"), F.col("terms"))),
+        .join(of_lang, "lang", "left")
+        .na.fill(0, ["total", "rows", "lang_total", "terms"])
+        .withColumn("parts", (F.floor(F.sum("rows").over(Window.partitionBy("lang")) / ROWS) + 1).cast("int")),
         "sizes",
-    )
-    shares = kept.join(sizes, ["lang", "source"]).select(
-        "lang", "source", "term", "parts",
-        _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
-        _share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
-    )
-
-    parted = shares.withColumn("slice", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int"))
-    # New names for the columns: both sides of the cogroup come from `sizes`.
-    every = sizes.select(
-        *[F.col(c).alias(c) for c in ("lang", "source", "absent")],
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"),
-    )
-    sums = (
-        parted.groupBy("lang", "slice")
-        .cogroup(every.groupBy("lang", "slice"))
-        .applyInPandas(_pair_sums, "lang string, a string, b string, value long")
-        .groupBy("lang", "a", "b")
-        .agg(F.sum("value").alias("value"))
     )
+    if few:
+        sent: dict[str, tuple[list, int]] = {}
+        for row in sizes.select("lang", "source", "total", "terms").collect():
+            sent.setdefault(row.lang, ([], row.terms))[0].append((row.source, row.total))
+        sums = kept.select("lang", "by_source").mapInArrow(lambda batches: _sum_pairs(batches, sent), PAIR_ROW)
+    else:
+        parts = sizes.select("lang", "parts").distinct()
+        sliced = each.join(parts, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int"))
+        every = sizes.select(
+            *[F.col(c).alias(c) for c in ("lang", "source", "total", "terms")],
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"),
+        )
+        sums = (
+            sliced.select("lang", "slice", "source", "term", "n")
+            .groupBy("lang", "slice")
+            .cogroup(every.groupBy("lang", "slice"))
+            .applyInArrow(_sum_slice, PAIR_ROW)
+        )
+    # Languages without kept terms have pairs too.
+    other = groups.select(F.col("lang").alias("lang"), F.col("source").alias("item"))
+    summed = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     two = [F.struct(F.col(x).alias("source"), F.col(y).alias("item")) for x, y in ("ab", "ba")]
-    both = F.explode(F.array(*two))
-    pairs = sums.select("lang", both.alias("x"), "value").select(
-        "lang", "x.source", F.lit("pair").alias("part"), "x.item", "value"
-    )
+    both = summed.select("lang", "value", F.inline(F.array(*two)))
     ordered = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pairs.withColumn("rank", F.row_number().over(ordered))
+    pairs = (
+        groups.join(other, "lang")
+        .where("source <> item")
+        .join(both, ["lang", "source", "item"], "left")
+        .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+        .withColumn("rank", F.row_number().over(ordered))
+    )
     terms = (
-        shares.where("p > q")
+        each.join(sizes, ["lang", "source"])
         .select(
             "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
-            _divergence(F.col("p"), F.col("q")).alias("value"),
+            _share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
+            _share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
         )
+        .where("p > q")
+        .select("lang", "source", "part", "item", _divergence(F.col("p"), F.col("q")).alias("value"))
         .withColumn("rank", F.row_number().over(ordered))
         .where(F.col("rank") <= top)
     )
