@@ -21,7 +21,7 @@ LEAST_DOCS = 10
 TOP = 10
 
 # Documents are numbered inside blocks of at most so many bytes of text (one longer text is a block alone).
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 DOC_BITS = 16
 # Blocks of 2 ** 6 tasks meet where the documents of a term are counted: that bounds the rows of a frequent term.
 NEAR = 32 + 6
@@ -122,6 +122,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StringA
 
     def block() -> tuple[int, pa.StringArray, np.ndarray]:
         table = pa.Table.from_batches(held)
+        held.clear()
         texts, groups = table["text"].combine_chunks(), table["group_no"].to_numpy()
         order = np.argsort(groups, kind="stable")
         return number, texts.take(pa.array(order)), groups[order]
@@ -135,7 +136,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StringA
             high = min(fit, low + (1 << DOC_BITS) - docs, batch.num_rows)
             if high <= low and held:
                 yield block()
-                number, held, size, docs = number + 1, [], 0, 0
+                number, size, docs = number + 1, 0, 0
                 continue
             high = max(high, low + 1)
             held.append(batch.slice(low, high - low))
@@ -164,11 +165,14 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         place[order] = np.arange(len(order), dtype=order.dtype)
         keys = place[coded.indices.to_numpy()].astype(np.int64) << DOC_BITS
         keys |= np.repeat(np.arange(len(lengths)), lengths)
+        chunks = coded.dictionary.take(pa.array(order))
+        del texts, words, coded
         keys, n = np.unique(keys, return_counts=True)
         row, doc = keys >> DOC_BITS, keys & (1 << DOC_BITS) - 1
-        chunk, payload = coded.dictionary.take(pa.array(order)), _postings(row, groups[doc], doc, n, len(order))
+        payload = _postings(row, groups[doc], doc, n, len(order))
+        del keys, row, doc, n
         whole = pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(order), number)), chunk, payload], ["block", "chunk", "payload"]
+            [pa.array(np.full(len(order), number)), chunks, payload], ["block", "chunk", "payload"]
         )
         for low in range(0, len(order), 50_000):
             yield whole.slice(low, 50_000)
