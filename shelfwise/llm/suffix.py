@@ -82,7 +82,7 @@ def _as_rows(part: pa.RecordBatch, found: dict[str, np.ndarray], chosen: np.ndar
     rows = pa.array(found["row"][chosen])
     return {
         "anchor": pa.array(found["anchor"][chosen].view(np.int64)),
-        "content": pa.array((found["content"][chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+        "content": pa.array(found["content"][chosen].view(np.int64)),
         "doc_id": part.column("doc_id").take(rows),
         "tie": part.column("tie").take(rows),
         "start": pa.array(found["start"][chosen], pa.int32()),
@@ -301,7 +301,7 @@ class IndexFamily:
         self._merge()
         id_type = docs.schema["doc_id"].dataType.simpleString()
         entries = docs.select("doc_id", "tie", "text").mapInArrow(
-            _entries, f"anchor long, content int, doc_id {id_type}, tie short, start int, n int, lead byte"
+            _entries, f"anchor long, content long, doc_id {id_type}, tie long, start int, n int, lead byte"
         )
         name = self._write(entries.withColumn("batch", F.lit(self.batches)).select(ENTRY))
         merged = self.spark.table(name).withColumn("fresh", F.lit(True))
@@ -311,7 +311,7 @@ class IndexFamily:
             found = staged(
                 merged.repartition(self.buckets, "anchor").sortWithinPartitions("anchor").mapInArrow(
                     _merge_scan,
-                    f"anchor long, batch int, doc_id {id_type}, tie short, start int, n int, lead byte, what byte",
+                    f"anchor long, batch int, doc_id {id_type}, tie long, start int, n int, lead byte, what byte",
                 ),
                 "scan",
             )
@@ -348,11 +348,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     A byte goes if it lies in LENGTH equal bytes that also start earlier, in a smaller doc_id or before in the
     same text. kept: the other bytes, which may cut a character. Null texts are empty; a null doc_id comes
-    last. Rows that repeat doc_id and text are one document; texts of one doc_id come in the order of a 16-bit
-    hash. Windows are compared by 64-bit hashes beside that of their anchor. Empty tables give no rows.
+    last. Rows that repeat doc_id and text are one document; texts of one doc_id come in the order of a 64-bit
+    hash, and are told apart by it. Runs and windows are compared by 64-bit hashes beside that of their anchor. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    tie = (F.xxhash64("text") % 32768).cast("short")
+    tie = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).withColumn("tie", tie)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     family = IndexFamily(spark, min(MOST_BUCKETS, max(8, int(volume // BUCKET_BYTES))))
@@ -374,11 +374,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     contexts = _by_document(wanted, rows).mapInArrow(
         _contexts,
         "anchor long, batch int, start int, n int, lead byte, what byte, "
-        f"doc_id {id_type}, tie short, context binary",
+        f"doc_id {id_type}, tie long, context binary",
     )
     parts = staged(
         contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-            _compare, f"doc_id {id_type}, tie short, start int, n int"
+            _compare, f"doc_id {id_type}, tie long, start int, n int"
         ),
         "parts",
     )
@@ -390,4 +390,5 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of `documents` without repeated passages."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from plain_texts import sentence
 
@@ -55,6 +56,25 @@ def test_query(spark, sf_dir, tables):
     assert sorted(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in result) == sorted(plain_removal(rows))
 
 
+def test_different_texts_around_one_phrase_lose_nothing(spark):
+    """All windows share an anchor and nothing else: equality of many contexts must not rest on few bits."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    phrases = ["".join(rng.choices(letters, k=suffix.GRAM)) for _ in range(4000)]
+    data = [np.frombuffer(x.encode(), np.uint8) for x in phrases]
+    smallest = min(range(len(data)), key=lambda i: int(suffix.rolling.Prefix(data[i]).windows(np.array([0]), np.array([suffix.GRAM]))[0]))
+    around = suffix.LENGTH - suffix.GRAM
+    rows = [(i, "".join(rng.choices(letters, k=around // 2)) + phrases[smallest] + "".join(rng.choices(letters, k=around // 2))) for i in range(150_000)]
+    result = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert result.where("n_removed > 0").count() == 0
+
+
+def test_texts_of_one_doc_id_are_told_apart(documents):
+    rng = random.Random(6)
+    rows = [(i // 300, sentence(rng, 25)) for i in range(900)]
+    assert sorted(found(documents(rows))) == sorted((i, len(t), 0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+
+
 def test_repeated_rows_are_one_document_and_an_empty_table_gives_none(documents):
     text = sentence(random.Random(1), 80)
     one = plain_removal([(1, text)])
