@@ -63,26 +63,33 @@ def _outer_sections(html: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["kept"])
 
 
-_PAIR = (
-    rf"(?is)<dt(?=[\s>]){markup.ATTRS}>((?:(?!</dt|<d[dt][\s>]|</dl).)*+)"
-    rf"(?=(?:(?!</dl).)*?<dd(?=[\s>]){markup.ATTRS}>(.*?)(?:</dd|<d[dt][\s>]|</dl|\z))"
-)
+_TERM = rf"(?is)<dt(?=[\s>]){markup.ATTRS}>((?:(?!</dt|<dt[\s>]).)*+)"
+_DEFINITION = rf"(?is)^<dd(?=[\s>]){markup.ATTRS}>(.*?)(?:</dd|<dt[\s>]|</dl|\z)"
 
 
 def definition_pairs(html: Column) -> Column:
-    """Each term with the next definition of the same list, as (pos, term, definition) texts."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(_PAIR), F.lit(1)).alias("term"),
-        F.regexp_extract_all(html, F.lit(_PAIR), F.lit(2)).alias("definition"),
-    )
-    return F.transform(
-        pairs,
-        lambda p, i: F.struct(
-            i.alias("pos"),
-            markup.raw_text(p["term"]).alias("term"),
-            markup.tight_text(p["definition"]).alias("definition"),
-        ),
+    """Each term with the next definition of the same list, as (pos, term, definition) texts.
+
+    The page is cut once, before each definition. The terms of a piece belong to the definition that starts the next
+    one, but for those in front of a list's end. So each piece is read once, however many terms there are.
+    """
+    pieces = F.split(html, r"(?i)(?=<dd[\s>])")
+
+    def of_piece(piece: Column, i: Column) -> Column:
+        definition = F.regexp_extract(F.get(pieces, i + 1), _DEFINITION, 1)
+        here = F.regexp_replace(piece, r"(?is)^.*</dl", "")
+        return F.transform(
+            F.regexp_extract_all(here, F.lit(_TERM), F.lit(1)),
+            lambda term: F.struct(
+                markup.raw_text(term).alias("term"), markup.tight_text(definition).alias("definition")
+            ),
+        )
+
+    last = F.size(pieces) - 1
+    found = F.flatten(
+        F.transform(pieces, lambda piece, i: F.when(i < last, of_piece(piece, i)).otherwise(F.array()))
     )
+    return F.transform(found, lambda p, i: F.struct(i.alias("pos"), p["term"], p["definition"]))
 
 
 def _first(values: Column) -> Column:
@@ -240,13 +247,16 @@ def extract_details(details: DataFrame) -> DataFrame:
     return with_detail_price(with_upc(read)).drop("markup", "page_text")
 
 
-def one_per_url(extracted: DataFrame) -> DataFrame:
-    """One row per page URL when a page has landed more than once; combined before the shuffle."""
-    values = [c for c in extracted.columns if c != "clean_url"]
-    return (
-        extracted.groupBy("clean_url").agg(F.max(F.struct(*values)).alias("best"))
-        .select("clean_url", "best.*")
-    )
+def newest_per_url(extracted: DataFrame) -> DataFrame:
+    """One row per page URL: of the page that landed last (`landed_at`) where a page landed more than once.
+
+    Pages are reduced after extraction, when their rows are short; each task keeps one row per URL before the
+    shuffle. Without `landed_at`, and where two landed at once, the greatest values decide.
+    """
+    values = [c for c in extracted.columns if c not in ("clean_url", "landed_at")]
+    landed = [F.col("landed_at")] if "landed_at" in extracted.columns else []
+    newest = F.max_by(F.struct(*values), F.struct(*landed, *values))
+    return extracted.groupBy("clean_url").agg(newest.alias("best")).select("clean_url", "best.*")
 
 
 def enrich(products: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -257,7 +267,7 @@ def enrich(products: DataFrame, extracted: DataFrame) -> DataFrame:
     skewed, which the adaptive skew join splits.
     """
     joined = products.withColumnRenamed("upc", "card_upc").join(
-        one_per_url(extracted), F.col("url") == F.col("clean_url"), "left"
+        newest_per_url(extracted), F.col("url") == F.col("clean_url"), "left"
     )
     filled = joined.withColumn("upc", text.first_non_empty(F.col("upc"))).withColumn(
         "price", text.first_non_empty(F.col("price"), F.col("detail_price"))

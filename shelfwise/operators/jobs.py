@@ -62,7 +62,6 @@ def progress_changes(events: DataFrame) -> DataFrame:
         ["job_id"],
         ["ts", "event_id"],
         {"previous": (F.col("progress"), scan.LAST)},
-        scan.time_chunk(F.col("ts")),
     )
     return seen.where(~F.col("progress").eqNullSafe(F.col("previous")))
 
@@ -77,9 +76,7 @@ def retry_delay(attempt: Column, delays: tuple[int, ...] = RETRY_DELAYS) -> Colu
 def number_failures(events: DataFrame) -> DataFrame:
     """Failures with their attempt number within the job."""
     failed = events.where(F.col("status") == "failed")
-    return scan.with_row_index(
-        failed, ["job_id"], ["ts", "event_id"], scan.time_chunk(F.col("ts")), "attempt"
-    ).withColumn("attempt", F.col("attempt") + 1)
+    return scan.with_row_index(failed, ["job_id"], ["ts", "event_id"], name="attempt").withColumn("attempt", F.col("attempt") + 1)
 
 
 def retry_routing(
@@ -123,28 +120,10 @@ def remove_dead_letters(letters: DataFrame, job_ids: DataFrame) -> DataFrame:
 def job_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Newest artefact whose name holds the job's keyword or category, in any case.
 
-    'Contains' as an equi join: a file name is short, so all its substrings are listed once and
-    joined by value. Only true matches leave the join, and a
-    common keyword costs no more than its matches. Jobs are reduced to their distinct search terms
-    first, and the newest file is kept per term before it goes back to the jobs.
+    'Contains' as an equi join: substrings of a file name, of the lengths that occur among the search terms, are
+    joined to the distinct terms by value. Only true matches leave the join, and the newest file is kept per
+    term before it goes back to the jobs. An empty term is in every name.
     """
-    names = files.select("filename", "modified", F.lower("filename").alias("lowered"))
-    size = F.length("lowered")
-    parts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda start: F.transform(
-                F.sequence(F.lit(1), size - start + 1),
-                lambda length: F.substring(F.col("lowered"), start, length),
-            ),
-        )
-    )
-    newest = (
-        names.where(size > 0)
-        .select("filename", "modified", F.explode(F.array_distinct(parts)).alias("term"))
-        .groupBy("term")
-        .agg(F.max(F.struct("modified", "filename")).alias("newest"))
-    )
     category = F.col("category") if "category" in jobs.columns else F.lit("unknown")
     searched = jobs.select(
         "job_id",
@@ -157,6 +136,27 @@ def job_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
             )
         ).alias("term"),
     )
+    terms = searched.select("term").distinct()
+    # One row: the lengths of terms that can be found at all, at most as many as the longest name has characters.
+    longest = files.agg(F.max(F.length("filename")).alias("longest"))
+    lengths = (
+        terms.select(F.length("term").alias("length")).distinct().join(F.broadcast(longest))
+        .where(F.col("length") <= F.col("longest"))
+        .agg(F.collect_set("length").alias("lengths"))
+    )
+    names = files.select("filename", "modified", F.lower("filename").alias("lowered")).join(F.broadcast(lengths))
+    size = F.length("lowered")
+    cut = names.select("filename", "modified", "lowered", F.explode("lengths").alias("length")).where(
+        F.col("length") <= size
+    )
+    starts = F.sequence(F.lit(1), F.when(F.col("length") == 0, 1).otherwise(size - F.col("length") + 1))
+    parts = cut.select("filename", "modified", "lowered", "length", F.explode(starts).alias("start"))
+    newest = (
+        parts.select("filename", "modified", F.substring("lowered", F.col("start"), F.col("length")).alias("term"))
+        .join(terms, "term")
+        .groupBy("term")
+        .agg(F.max(F.struct("modified", "filename")).alias("newest"))
+    )
     return (
         searched.join(newest, "term")
         .groupBy("job_id")
@@ -165,9 +165,13 @@ def job_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def job_products(jobs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Products of completed jobs; `stored` carries the artefact's `output_name`."""
+def job_products(jobs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The stored artefact of each completed job with its number of products.
+
+    `catalogue` has one row per stored artefact (`landing.read_catalogue`). The products themselves stay where
+    they are: many jobs can ask for one artefact, and each reads it by its output_name.
+    """
     wanted = completed_jobs(jobs).select(
         "job_id", text.output_name(F.col("keyword"), "json").alias("output_name")
     )
-    return wanted.join(stored, "output_name")
+    return wanted.join(catalogue, "output_name")

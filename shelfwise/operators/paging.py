@@ -9,6 +9,7 @@ from shelfwise.functions import markup, text
 from shelfwise.operators import scan
 from shelfwise.site import DEFAULT_SITE
 
+# Pages of a request without a number, and the most a request may ask for.
 DEFAULT_MAX_PAGES, MAX_PAGES_LIMIT = 5, 20
 
 # What marks a link to the next page, in order.
@@ -122,45 +123,58 @@ def highest_page_link(pages: DataFrame, base_url: str = DEFAULT_SITE.base_url) -
     ).drop("links")
 
 
-def _lowest_bit(bits: Column) -> Column:
-    """Position of the lowest set bit; null for zero."""
-    return F.when(bits != 0, F.bit_count(bits.bitwiseAND(-bits) - 1).cast("int"))
-
-
-def last_pages(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """Per keyword the last page that counts; needs `page_no` and `has_more`.
+def last_pages(pages: DataFrame, max_pages: int | None = DEFAULT_MAX_PAGES) -> DataFrame:
+    """Per keyword the last page that counts, 0 for none; needs `page_no` and `has_more`.
 
     Paging stops after the first page without a next link, before the first missing page, and at
-    `max_pages`. A keyword's pages are folded into two bit sets, which combine before the shuffle,
-    so a keyword with very many landed rows costs no more than any other.
+    `max_pages`, if that is given. Each page tells of itself and of the page before it that it has
+    a follower; a page that ends is one without a follower or without a next link. So gaps are
+    found by one aggregate on (keyword, page): no task sees all pages of a keyword, and neither
+    the pages of a keyword nor repeated landings of a page are limited.
     """
-    if not 1 <= max_pages <= MAX_PAGES_LIMIT:
-        raise ValueError(f"max_pages must be between 1 and {MAX_PAGES_LIMIT}")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("page_no"))
-    seen = (
-        pages.where(F.col("page_no").between(1, max_pages))
-        .select("keyword", bit.alias("here"), F.when(~F.col("has_more"), bit).alias("ends"))
-        .groupBy("keyword")
-        .agg(F.bit_or("here").alias("here"), F.coalesce(F.bit_or("ends"), F.lit(0)).alias("ends"))
-    )
-    missing = _lowest_bit(F.bitwise_not(F.col("here").bitwiseOR(F.lit(1).cast("bigint"))))
-    return seen.select(
+    if max_pages is not None and max_pages < 1:
+        raise ValueError("max_pages must be at least 1")
+    page, first = F.col("page_no").cast("bigint"), F.lit(True)
+    told = pages.where((page >= 1) if max_pages is None else page.between(1, max_pages)).select(
         "keyword",
-        F.least(missing - 1, _lowest_bit(F.col("ends")), F.lit(max_pages)).alias("last_page"),
+        F.explode(
+            F.array(
+                F.struct(page.alias("page"), first.alias("here"), (~F.col("has_more")).alias("stops")),
+                F.struct((page - 1).alias("page"), F.lit(False).alias("here"), F.lit(False).alias("stops")),
+            )
+        ).alias("told"),
+    )
+    by_page = told.groupBy("keyword", "told.page").agg(
+        F.bool_or("told.here").alias("here"),
+        F.bool_or(F.coalesce("told.stops", F.lit(False))).alias("stops"),
+        F.bool_and("told.here").alias("unfollowed"),
+    )
+    ends = by_page.where("here").groupBy("keyword").agg(
+        F.min("page").alias("first"),
+        F.min(F.when(F.col("stops") | F.col("unfollowed"), F.col("page"))).alias("end"),
+    )
+    landed = pages.select("keyword").distinct()
+    last = F.when(F.col("first") == 1, F.col("end")).otherwise(0)
+    return scan.join_null_safe(landed, ends, ["keyword"], "left").select(
+        "keyword", F.coalesce(last, F.lit(0)).cast("int").alias("last_page")
     )
 
 
-def page_prefix(pages: DataFrame, max_pages: int = DEFAULT_MAX_PAGES) -> DataFrame:
-    """The pages that count, with `last_page`.
+def counted_pages(pages: DataFrame, ends: DataFrame) -> DataFrame:
+    """The pages up to the `last_page` of their keyword, given by `ends`.
 
-    Joined on keyword and page: the few pages that count are listed per keyword, so the pages of a
+    Joined on keyword and page: the pages that count are listed per keyword, so the pages of a
     hot keyword are not brought together.
     """
-    counted = last_pages(pages, max_pages).where(F.col("last_page") >= 1)
-    listed = counted.select(
+    listed = ends.where(F.col("last_page") >= 1).select(
         "keyword", "last_page", F.explode(F.sequence(F.lit(1), "last_page")).alias("page_no")
     )
-    return pages.join(listed, ["keyword", "page_no"])
+    return scan.join_null_safe(pages, listed, ["keyword", "page_no"])
+
+
+def page_prefix(pages: DataFrame, max_pages: int | None = DEFAULT_MAX_PAGES) -> DataFrame:
+    """The pages that count, with `last_page`."""
+    return counted_pages(pages, last_pages(pages, max_pages))
 
 
 def running_total(products: DataFrame) -> DataFrame:
@@ -171,7 +185,6 @@ def running_total(products: DataFrame) -> DataFrame:
         ["keyword"],
         ["page_no"],
         {"earlier": (F.col("found"), scan.SUM)},
-        F.floor(F.col("page_no") / scan.FANOUT),
     )
     return totals.select(
         "keyword", "page_no", "found", (F.col("earlier") + F.col("found")).alias("running_total")

@@ -49,9 +49,7 @@ def backoff_delay(
 
 def number_attempts(log: DataFrame) -> DataFrame:
     """Attempt number within the request, for logs that do not carry it."""
-    return scan.with_row_index(
-        log, ["request_id"], ["ts", "event_id"], scan.time_chunk(F.col("ts")), "attempt"
-    ).withColumn("attempt", (F.col("attempt") + 1).cast("int"))
+    return scan.with_row_index(log, ["request_id"], ["ts", "event_id"], name="attempt").withColumn("attempt", (F.col("attempt") + 1).cast("int"))
 
 
 def attempt_outcome(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -92,7 +90,7 @@ def cache_asof(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Each request with the newest stored result of its key that is younger than the TTL.
 
     A result is stored at each successful attempt. The as-of lookup is an ordered scan, so a key
-    with very many requests is spread over chunks instead of being paired with all its entries.
+    with very many requests is spread over parts instead of being paired with all its entries.
     """
     stored = F.when(F.col("status_code") == 200, F.col("at"))
     seen = scan.before(
@@ -100,7 +98,6 @@ def cache_asof(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
         ["key"],
         ["at", "event_id"],
         {"stored_at": (stored, scan.LAST)},
-        F.floor(F.col("at") / (ttl_seconds * MICROS)),
     )
     alive = F.col("at") < F.col("stored_at") + ttl_seconds * MICROS
     return seen.select(
@@ -111,23 +108,42 @@ def cache_asof(log: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     )
 
 
-def walk_cache(times: np.ndarray, expires: int | None, ttl: int) -> tuple[np.ndarray, int]:
-    """Misses among sorted times when an entry lives for the TTL and is never refreshed."""
-    miss = np.zeros(len(times), dtype=bool)
+def walk_cache(
+    times: np.ndarray, expires: int | None, ttl: int, ok: np.ndarray | None = None
+) -> tuple[np.ndarray, int]:
+    """Misses among sorted times when an entry lives for the TTL and is never refreshed.
+
+    A miss stores an entry if it is `ok`; after another one the next request misses too.
+    """
+    n = len(times)
+    stores = _next_ok(n, ok)
+    miss = np.zeros(n, dtype=bool)
     at = 0 if expires is None else int(np.searchsorted(times, expires, side="left"))
-    while at < len(times):
-        miss[at] = True
-        expires = int(times[at]) + ttl
+    expires = int(times[0]) if expires is None else expires
+    while at < n:
+        stored = int(stores[at])
+        miss[at : stored + 1] = True
+        if stored == n:
+            break
+        expires = int(times[stored]) + ttl
         at = int(np.searchsorted(times, expires, side="left"))
     return miss, expires
 
 
+def _next_ok(n: int, ok: np.ndarray | None) -> np.ndarray:
+    """For each row the first row from there on that is ok; n if there is none."""
+    place = np.arange(n)
+    if ok is None:
+        return place
+    return np.minimum.accumulate(np.where(ok, place, n)[::-1])[::-1]
+
+
 def walk_bucket(
-    times: np.ndarray, full_at: int | None, spacing: int, burst: int
+    times: np.ndarray, full_at: int | None, spacing: int, burst: int, ok: np.ndarray | None = None
 ) -> tuple[np.ndarray, int]:
     """Requests a token bucket lets through when one without a token is dropped.
 
-    `full_at` is the time at which the bucket would be full again; one token takes `spacing`.
+    `full_at` is the time at which the bucket would be full again; one token takes `spacing`. `ok` plays no part.
     """
     allowed = np.zeros(len(times), dtype=bool)
     full_at = int(times[0]) if full_at is None else full_at
@@ -138,13 +154,97 @@ def walk_bucket(
     return allowed, full_at
 
 
+def cache_map(times: np.ndarray, ttl: int, ok: np.ndarray | None = None) -> stateful.StateMap:
+    """All end states of `walk_cache` for starts up to the TTL after the first time.
+
+    A start that expires between two requests is renewed by the next one that is ok, and each renewal leads to the first
+    request at or after its end. The chains are followed for all requests at once by doubling the steps. Where nothing is
+    stored, the start stays: it is over by then.
+    """
+    n = len(times)
+    place = np.arange(n)
+    stores = _next_ok(n, ok)
+    stored = np.minimum(stores, n - 1)
+    after = np.searchsorted(times, times[stored] + ttl, side="left")
+    # The last request from which a chain still stores; a chain ends there, or goes on from `after`.
+    goes_on = (stores < n) & (after < n)
+    goes_on &= np.append(stores, n)[np.minimum(after, n)] < n
+    last = np.where(goes_on, np.minimum(after, n - 1), place)
+    while (last[last] != last).any():
+        last = last[last]
+    nothing = stores[last] == n
+    ends = times[stored[last]] + ttl
+    top = int(times[0]) + ttl
+    inside = int(np.searchsorted(times, top, side="right"))
+    edges = np.append(times[:inside], top)
+    values = np.where(nothing, 0, ends)[:inside]
+    moves = nothing[:inside]
+    if inside < n:
+        values, moves = np.append(values, 0 if nothing[inside] else ends[inside]), np.append(moves, nothing[inside])
+    else:
+        values, moves = np.append(values, 0), np.append(moves, True)
+    kept = np.append((np.diff(values) != 0) | (moves[1:] != moves[:-1]), True)
+    kept[0] = True
+    return stateful.StateMap(edges[kept], moves[kept], values[kept])
+
+
+def bucket_map(times: np.ndarray, spacing: int, burst: int, ok: np.ndarray | None = None) -> stateful.StateMap:
+    """All end states of `walk_bucket` for starts up to `burst` after the first time.
+
+    All starts are walked at once, as pieces: a request moves the starts that it lets through by `spacing`, and gives all
+    that have found the bucket full one state. Pieces that have been moved equally far are one piece again, so
+    there stay about as many as tokens fit into the bucket, however many requests there are.
+    """
+    first, room = int(times[0]), burst - spacing
+    pieces = [(first, False, first), (first + burst, True, 0)]
+    for now in times.tolist():
+        walked: list[tuple[int, bool, int]] = []
+
+        def add(edge: int, moves: bool, value: int) -> None:
+            if walked and walked[-1][1] == moves and walked[-1][2] == value:
+                walked.pop()
+            walked.append((edge, moves, value))
+
+        low = first - 1
+        for edge, moves, value in pieces:
+            if not moves:
+                add(edge, False, max(value, now) + spacing if value - now <= room else value)
+            else:
+                full, through = now - value, now + room - value
+                if full > low:
+                    add(min(edge, full), False, now + spacing)
+                if min(edge, through) > max(low, full):
+                    add(min(edge, through), True, value + spacing)
+                if edge > max(low, through):
+                    add(edge, True, value)
+            low = edge
+        pieces = walked
+    return stateful.StateMap(*(np.array(column) for column in zip(*pieces, strict=True)))
+
+
+def cache_rule(ttl_seconds: int) -> stateful.Rule:
+    ttl = ttl_seconds * MICROS
+    return stateful.Rule(partial(walk_cache, ttl=ttl), partial(cache_map, ttl=ttl))
+
+
+def bucket_rule(rate: float, capacity: int) -> stateful.Rule:
+    spacing = round(MICROS / rate)
+    sizes = {"spacing": spacing, "burst": spacing * capacity}
+    return stateful.Rule(partial(walk_bucket, **sizes), partial(bucket_map, **sizes))
+
+
 def cache_hits(
-    log: DataFrame, ttl_seconds: int = TTL_SECONDS, rows_per_block: int = stateful.ROWS_PER_BLOCK
+    log: DataFrame,
+    ttl_seconds: int = TTL_SECONDS,
+    rows_per_block: int = stateful.ROWS_PER_BLOCK,
+    ok: Column | None = None,
 ) -> DataFrame:
-    """Hit or miss per request when the first request stores the result for the TTL."""
-    walk = partial(walk_cache, ttl=ttl_seconds * MICROS)
-    rows = keyed(log).select("event_id", "key", "at")
-    walked = stateful.walk(rows, "key", "at", "event_id", walk, rows_per_block)
+    """Hit or miss per request when a request that finds nothing runs, and a run that is `ok` is stored for the TTL.
+
+    Without `ok` every run is stored. A request without a time has no answer.
+    """
+    rows = keyed(log)
+    walked = stateful.walk(rows, "key", "at", "event_id", cache_rule(ttl_seconds), rows_per_block, ok)
     return walked.select("event_id", "key", (~F.col("flag")).alias("hit"))
 
 
@@ -152,10 +252,8 @@ def pacing_deny(
     log: DataFrame, rate: float, capacity: int, rows_per_block: int = stateful.ROWS_PER_BLOCK
 ) -> DataFrame:
     """Allowed or dropped per request, one bucket per endpoint."""
-    spacing = round(MICROS / rate)
-    walk = partial(walk_bucket, spacing=spacing, burst=spacing * capacity)
     rows = log.select("event_id", "endpoint", F.unix_micros("ts").alias("at"))
-    walked = stateful.walk(rows, "endpoint", "at", "event_id", walk, rows_per_block)
+    walked = stateful.walk(rows, "endpoint", "at", "event_id", bucket_rule(rate, capacity), rows_per_block)
     return walked.select("event_id", "endpoint", F.col("flag").alias("allowed"))
 
 
@@ -170,55 +268,43 @@ def _limit_columns(limits: dict[str, tuple[float, float]]) -> tuple[Column, Colu
     return spacing.cast("bigint"), capacity.cast("bigint")
 
 
-def pacing_wait(
-    log: DataFrame,
-    limits: dict[str, tuple[float, float]] | None = None,
-    chunk_seconds: int = 3600,
-) -> DataFrame:
+def pacing_wait(log: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Earliest time at which each request may go, first come first served per endpoint.
 
     With one token per `spacing`, the bucket is full again after request n at
     `max over k <= n of (t_k - k * spacing) + (n + 1) * spacing`, so the wait is one running
-    maximum. It is computed inside time chunks; the count and the maximum of earlier chunks are
-    scanned over one summary row per chunk, because an endpoint is a hot key by nature.
+    maximum. It is computed inside parts of about equal size, and the count and the maximum of earlier
+    parts are scanned over one summary row per part, because an endpoint is a hot key by nature.
 
     `limits` maps endpoints to (rate, capacity); other endpoints get the default limit. It is a
     handful of constants and becomes part of the expression, so the log is not joined to anything.
     """
     spacing, capacity = _limit_columns(RATE_LIMITS if limits is None else limits)
-    rows = log.select(
-        "event_id",
-        "endpoint",
-        "ts",
-        F.unix_micros("ts").alias("at"),
-        spacing.alias("spacing"),
-        capacity.alias("capacity"),
-    )
-    chunked = rows.withColumn("chunk", scan.time_chunk(F.col("ts"), chunk_seconds).cast("bigint"))
-    inside = Window.partitionBy("endpoint", "chunk").orderBy("at", "event_id")
-    local = chunked.withColumn("n", F.row_number().over(inside).cast("bigint")).withColumn(
-        "lead", F.col("at") - F.col("n") * F.col("spacing")
+    rows = log.select("event_id", "endpoint", "ts", F.unix_micros("ts").alias("at"))
+    inside = Window.partitionBy("endpoint", scan.PART).orderBy("at", "event_id")
+    local = (
+        scan.parted(rows, ["endpoint"], ["at", "event_id"])
+        .withColumns({"spacing": spacing, "capacity": capacity})
+        .withColumn("n", F.row_number().over(inside).cast("bigint"))
+        .withColumn("lead", F.col("at") - F.col("n") * F.col("spacing"))
+        .withColumn("top", F.max("lead").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     )
-    local = local.withColumn(
-        "top", F.max("lead").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = Window.partitionBy("endpoint").orderBy(scan.PART).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        local.groupBy("endpoint", scan.PART)
+        .agg(F.count("*").alias("rows"), F.max("lead").alias("lead"), F.max("spacing").alias("space"))
+        .withColumn("shifted", F.col("lead") - F.coalesce(F.sum("rows").over(ahead), F.lit(0)) * F.col("space"))
     )
-    totals = local.groupBy("endpoint", "chunk").agg(
-        F.count("*").alias("rows"), F.max("lead").alias("lead"), F.max("spacing").alias("spacing")
+    carries = scan.carried(
+        totals, ["endpoint"], {"offset": (F.col("rows"), scan.SUM), "earlier_top": (F.col("shifted"), scan.MAX)}
     )
-    wide = F.floor(F.col("chunk") / scan.FANOUT)
-    offsets = scan.before(
-        totals, ["endpoint"], ["chunk"], {"offset": (F.col("rows"), scan.SUM)}, wide
-    ).withColumn("shifted", F.col("lead") - F.col("offset") * F.col("spacing"))
-    carried = scan.before(
-        offsets, ["endpoint"], ["chunk"], {"earlier_top": (F.col("shifted"), scan.MAX)}, wide
-    ).select("endpoint", "chunk", "offset", "earlier_top")
-    joined = scan.join_null_safe(local, carried, ["endpoint", "chunk"])
-    shift = F.col("offset") * F.col("spacing")
-    number = F.col("offset") + F.col("n")
-    full_at = F.greatest("earlier_top", F.col("top") - shift) + number * F.col("spacing")
-    admitted = F.greatest(
-        F.col("at"), full_at - (F.col("capacity") - 1) * F.col("spacing")
+    joined = scan.join_null_safe(local, carries, ["endpoint", scan.PART], "left")
+    offset = F.coalesce("offset", F.lit(0))
+    full_at = (
+        F.greatest("earlier_top", F.col("top") - offset * F.col("spacing"))
+        + (offset + F.col("n")) * F.col("spacing")
     )
+    admitted = F.greatest(F.col("at"), full_at - (F.col("capacity") - 1) * F.col("spacing"))
     return joined.select(
         "event_id",
         "endpoint",

@@ -1,9 +1,12 @@
 """Ordered scans that survive hot keys.
 
-A plain window puts all rows of a key into one task. Here the rows of a key are cut into chunks
-along the order; windows run inside a chunk, one summary row per chunk is scanned (again in
-chunks), and the carry of all earlier chunks is joined back on (key, chunk). Results are exact.
-Null keys are a key of their own, and a null chunk comes first. The chunk must not decrease along the order.
+A plain window puts all rows of a key into one task. Here rows are dealt by ranges of (key, order),
+so every part has about as many rows, whatever the keys and the clock do: a key with a third of all
+rows, and a key whose rows all have one time, fill many parts. Windows run inside the parts of a key;
+then one summary row for each part of a key is scanned, and the carry of the earlier parts is joined
+back. Only a key that crosses a border between two parts has a carry, so there are fewer carries
+than parts, and they are sent to all tasks. Results are exact. Null keys are a key of their own, and a null
+order comes first.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Summary rows of one key that are scanned together.
-FANOUT = 1024
+from shelfwise.runtime import staged
+
+PART = "_part"
 
 
 @dataclass(frozen=True)
@@ -40,11 +44,40 @@ LAST = Carry(
 )
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on columns of the same name; null keys meet null keys. Keys come once."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name; null keys meet null keys. Keys come once."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def parted(rows: DataFrame, keys: list[str], order: list[str], rows_per_part: int | None = None) -> DataFrame:
+    """Rows with the number of their part; parts are ranges of (keys, order) of about equal size.
+
+    rows_per_part: about so many rows in each; without it parts are sized by Spark.
+
+    The ranges are found by reading the rows once more, and are written, since a repeated task could find others.
+    Stage rows that are costly to make.
+    """
+    number = [] if rows_per_part is None else [1 + rows.count() // rows_per_part]
+    ranged = rows.repartitionByRange(*number, *keys, *order).withColumn(PART, F.spark_partition_id())
+    return staged(ranged, "parts")
+
+
+def carried(
+    totals: DataFrame, keys: list[str], values: dict[str, tuple[Column, Carry]], few: bool = True
+) -> DataFrame:
+    """(keys, part) with the values carried over the earlier parts of the key; first parts are left out.
+
+    few: parts come from `parted`, so that fewer rows than parts are left.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    scanned = totals.withColumns(
+        {name: how.scan(value).over(earlier) for name, (value, how) in values.items()}
+        | {"_first": F.min(PART).over(Window.partitionBy(*keys))}
+    )
+    left = scanned.where(F.col(PART) > F.col("_first")).select(*keys, PART, *values)
+    return F.broadcast(left) if few else left
 
 
 def before(
@@ -53,58 +86,41 @@ def before(
     order: list[str],
     values: dict[str, tuple[Column, Carry]],
     chunk: Column | None = None,
-    fanout: int = FANOUT,
-    _level: int = 0,
 ) -> DataFrame:
-    """Adds, under each name, the value carried over all strictly earlier rows of the key."""
-    at = f"_chunk{_level}"
-    rows = rows.withColumn(at, F.lit(0).cast("bigint") if chunk is None else chunk.cast("bigint"))
+    """Adds, under each name, the value carried over all strictly earlier rows of the key.
+
+    chunk: a number that does not decrease along the order, instead of parts of equal size; it saves
+    the sorting by ranges where rows are known to be spread evenly over it.
+    """
+    few = chunk is None
+    rows = parted(rows, keys, order) if few else rows.withColumn(PART, F.coalesce(chunk.cast("bigint"), F.lit(-(2**62))))
     earlier = (
-        Window.partitionBy(*keys, at)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = rows.withColumns(
-        {f"_{name}{_level}": how.scan(value).over(earlier) for name, (value, how) in values.items()}
+        {f"_{name}_here": how.scan(value).over(earlier) for name, (value, how) in values.items()}
     )
-    if chunk is None:
-        result = local.withColumns({n: F.col(f"_{n}{_level}") for n in values}).drop(at)
-        result = result.withColumns(
-            {n: how.join(F.lit(None), F.col(n)) for n, (_, how) in values.items() if how is SUM}
-        )
-        return result.drop(*[f"_{n}{_level}" for n in values])
-    totals = rows.groupBy(*keys, at).agg(
+    totals = rows.groupBy(*keys, PART).agg(
         *[
             how.total(value, F.struct(*order)).alias(f"_{name}_total")
             for name, (value, how) in values.items()
         ]
     )
-    outer = f"_chunk{_level + 1}"
-    carried = before(
-        totals,
-        keys,
-        [at],
-        {f"_{name}_carry": (F.col(f"_{name}_total"), how) for name, (_, how) in values.items()},
-        chunk=None if _level else F.floor(F.col(at) / fanout),
-        fanout=fanout,
-        _level=_level + 1,
-    ).select(*keys, at, *[f"_{name}_carry" for name in values])
-    joined = join_null_safe(local, carried, [*keys, at])
+    carries = carried(
+        totals, keys, {f"_{name}_carry": (F.col(f"_{name}_total"), how) for name, (_, how) in values.items()}, few
+    )
+    joined = join_null_safe(local, carries, [*keys, PART], "left")
     return joined.withColumns(
-        {
-            name: how.join(F.col(f"_{name}_carry"), F.col(f"_{name}{_level}"))
-            for name, (_, how) in values.items()
-        }
-    ).drop(at, outer, *[f"_{n}{_level}" for n in values], *[f"_{n}_carry" for n in values])
+        {name: how.join(F.col(f"_{name}_carry"), F.col(f"_{name}_here")) for name, (_, how) in values.items()}
+    ).drop(PART, *[f"_{name}_{kind}" for name in values for kind in ("here", "carry")])
 
 
 def with_row_index(
-    rows: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "row_index"
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    chunk: Column | None = None,
+    name: str = "row_index",
 ) -> DataFrame:
     """Zero-based position of each row within its key."""
     return before(rows, keys, order, {name: (F.lit(1).cast("bigint"), SUM)}, chunk)
-
-
-def time_chunk(ts: Column, seconds: int = 3600) -> Column:
-    """Chunk of a timestamp: whole periods since the epoch."""
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import markup, text
-from shelfwise.operators import validate
+from shelfwise.operators import scan, validate
 from shelfwise.operators.paging import DEFAULT_MAX_PAGES, MAX_PAGES_LIMIT
 
+# Messages and the longest keyword.
 NO_PRODUCTS = "No valid products found"
 BAD_KEYWORD = "Invalid keyword"
 MAX_KEYWORD_LENGTH = 100
@@ -27,15 +28,15 @@ def valid_requests(requests: DataFrame) -> DataFrame:
 
 
 def run_summary(
-    found: DataFrame, final: DataFrame, rules: validate.Rules = validate.DEFAULT_RULES
+    found: DataFrame, final: DataFrame, ends: DataFrame, rules: validate.Rules = validate.DEFAULT_RULES
 ) -> DataFrame:
-    """One row per keyword from all rows of its page prefix (with `last_page`) and its final rows.
+    """One row per keyword of `ends` (keyword, last_page) from all rows of its pages and its final rows.
 
-    Every aggregate combines before the shuffle, so a keyword with very many rows is no hot spot.
+    A keyword whose pages hold no product, or that has no page that counts, is a result too. Every
+    aggregate combines before the shuffle, so a keyword with very many rows is no hot spot.
     """
     ok = F.size(validate.validation_errors(rules)) == 0
-    raw = found.select("keyword", "last_page", ok.alias("ok")).groupBy("keyword").agg(
-        F.max("last_page").alias("pages_scraped"),
+    raw = found.select("keyword", ok.alias("ok")).groupBy("keyword").agg(
         F.count("*").alias("total_found"),
         F.count_if("ok").alias("raw_valid"),
     )
@@ -43,9 +44,10 @@ def run_summary(
         F.count("*").alias("valid_products"),
         F.sum(validate.filled_fields()).alias("filled"),
     )
-    summary = raw.join(kept, "keyword", "left").withColumn(
-        "valid_products", F.coalesce("valid_products", F.lit(0))
-    )
+    summary = ends.select("keyword", F.col("last_page").alias("pages_scraped"))
+    for counted in (raw, kept):
+        summary = scan.join_null_safe(summary, counted, ["keyword"], "left")
+    summary = summary.na.fill(0, ["total_found", "raw_valid", "valid_products"])
     success = F.col("valid_products") > 0
     return summary.select(
         "keyword",
@@ -56,7 +58,8 @@ def run_summary(
         validate.score(F.col("valid_products"), F.col("valid_products"), F.col("filled")).alias(
             "quality_score"
         ),
-        (F.col("raw_valid") / F.col("total_found")).alias("valid_rate"),
+        (F.col("total_found") - F.col("raw_valid")).alias("invalid_products"),
+        F.coalesce(F.col("raw_valid") / F.nullif("total_found", F.lit(0)), F.lit(0.0)).alias("valid_rate"),
         F.when(success, text.output_name(F.col("keyword"), "csv")).alias("filename"),
         F.when(success, text.output_name(F.col("keyword"), "json")).alias("json_filename"),
         F.when(~success, NO_PRODUCTS).alias("error"),

@@ -32,7 +32,7 @@ DEFAULT_RULES = Rules()
 
 
 def validation_errors(rules: Rules = DEFAULT_RULES) -> Column:
-    """Error texts of a product row, in rule order; empty for a valid row."""
+    """Error texts of a product row, in rule order; empty for a valid row. The texts are fixed values."""
     title, url, item = F.col("title"), F.col("url"), F.col("item_number")
     checks = [
         (is_blank(F.col(c)), F.lit(f"Missing required field: {PRODUCT_FIELDS[c]}"))
@@ -63,10 +63,10 @@ def valid_products(products: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFra
 
 
 def invalid_products(
-    products: DataFrame, order: list[str], chunk: Column, rules: Rules = DEFAULT_RULES
+    products: DataFrame, order: list[str], rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
     """Invalid rows with their position in the input of their keyword and their errors."""
-    checked = scan.with_row_index(with_errors(products, rules), ["keyword"], order, chunk, "index")
+    checked = scan.with_row_index(with_errors(products, rules), ["keyword"], order, name="index")
     return checked.where(F.size("errors") > 0)
 
 

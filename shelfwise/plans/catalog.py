@@ -33,7 +33,6 @@ QUERIES: dict[str, Query] = {}
 
 # Pacing used by the queries: one request per 1,200 s, bursts of 5, for every endpoint.
 PACING = (1 / 1200, 5)
-MAX_PAGES = 3
 
 
 def query(run: Query) -> Query:
@@ -138,21 +137,57 @@ def _brand_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir).withColumn("keyword", brand)
 
 
+def _stored_run(spark: SparkSession, sf_dir: str) -> str:
+    """Artefacts of two runs: the second one has only some keywords, and fewer products of them."""
+    path = work_dir(spark, "artefacts")
+    products = derived.products(spark, sf_dir)
+    sinks.write_run(products, path, "run-1")
+    sinks.write_run(products.where(F.col("keyword").endswith("1") & (F.col("pos") % 2 == 0)), path, "run-2")
+    return path
+
+
 @query
 def job_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_dir(spark, "job-products")
-    sinks.write_products_json(derived.products(spark, sf_dir), path)
-    found = jobs.job_products(_brand_jobs(spark, sf_dir), landing.read_products_json(spark, path))
-    return found.select("job_id", "output_name", "title", "url", "item_number", "price")
+    """Completed jobs with the artefact that holds their products."""
+    catalogue = landing.read_catalogue(spark, _stored_run(spark, sf_dir))
+    found = jobs.job_products(_brand_jobs(spark, sf_dir), catalogue)
+    return found.select("job_id", "output_name", "products", "run_id")
 
 
 @query
 def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = work_dir(spark, "artefacts")
-    products = derived.products(spark, sf_dir)
-    sinks.write_products_csv(products, path)
-    sinks.write_products_json(products, path)
-    return landing.artefact_files(spark, path)
+    """Stored artefacts by the catalogue, each with what its files hold."""
+    path = _stored_run(spark, sf_dir)
+    files = landing.artefact_files(spark, path).groupBy("output_name").agg(
+        (F.count("*") > 0).alias("has_files"), (F.min("bytes") > 0).alias("has_bytes")
+    )
+    held = landing.read_products_csv(spark, f"{path}/csv").unionByName(landing.read_products_json(spark, f"{path}/json"))
+    counts = held.groupBy("output_name").agg(F.count("*").alias("held"))
+    listed = landing.read_catalogue(spark, path).drop("committed_at")
+    return listed.join(files, "output_name").join(counts, "output_name")
+
+
+@query
+def envelope_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched bodies that give no page: cut off, empty, without results, or null."""
+    k = F.col("page_id")
+    whole = F.to_json(F.struct(F.array(F.struct(F.col("html").alias("content"))).alias("results")))
+    body = (
+        F.when(k % 5 == 0, '{"results":[]}').when(k % 5 == 1, F.substring(whole, 1, 20)).when(k % 5 == 2, "")
+        .when(k % 35 == 3, F.lit(None).cast("string")).otherwise(whole)
+    )
+    rejected = landing.rejected_envelopes(_pages(spark, sf_dir).select("page_id", body.alias("body")))
+    return rejected.select("page_id", "reason")
+
+
+@query
+def dead_letter_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a dead-letter store that are no entry, counted by reason."""
+    path = _dead_letter_file(spark, sf_dir)
+    k = F.col("p_partkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit('{"job_id": "'), "p_name")).when(k % 3 == 1, '{"keyword": "x"}').otherwise("  ")
+    derived.table(spark, sf_dir, "part").select(line.alias("value")).write.mode("append").text(path)
+    return landing.rejected_counts(landing.rejected_dead_letters(spark, path))
 
 
 # Filters
@@ -193,9 +228,7 @@ def valid_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def invalid_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.products(spark, sf_dir)
-    chunk = F.floor(F.col("pos") / derived.KEYS_PER_CHUNK)
-    found = validate.invalid_products(rows, ["pos"], chunk)
+    found = validate.invalid_products(derived.products(spark, sf_dir), ["pos"])
     return found.select(
         "keyword", "index", "title", "url", "item_number", F.array_join("errors", "|").alias("errors")
     )
@@ -425,13 +458,15 @@ def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def enrich_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pipeline.found_products(_landed(spark, sf_dir), MAX_PAGES)
+    found = pipeline.found_products(_landed(spark, sf_dir), None)
     final = pipeline.final_products(found, derived.detail_pages(spark, sf_dir))
     return final.select("keyword", "page_no", "item_number", "title", "url", "price", "upc")
 
 
 def _run(spark: SparkSession, sf_dir: str) -> pipeline.Run:
-    return pipeline.run(_landed(spark, sf_dir), derived.detail_pages(spark, sf_dir), MAX_PAGES)
+    """All landed pages: pages without cards too, for keywords that find nothing."""
+    landed = _landed(spark, sf_dir).unionByName(derived.empty_pages(spark, sf_dir))
+    return pipeline.run(landed, derived.detail_pages(spark, sf_dir), None)
 
 
 def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,6 +497,31 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).summary()
 
 
+@query
+def run_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation part of a run's results: every error of every row."""
+    return _run(spark, sf_dir).errors()
+
+
+@query
+def run_invalid_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).invalid_products().select(
+        "keyword", "index", "title", "url", "item_number", F.array_join("errors", "|").alias("errors")
+    )
+
+
+@query
+def run_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reports of its jobs: started, each page, and the end."""
+    run = _run(spark, sf_dir)
+    asked = derived.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("job_id"))
+    none = derived.table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(
+        F.col("p_partkey").alias("job_id"), F.concat(F.lit("none "), "p_name").alias("keyword")
+    )
+    jobs_of_run = asked.withColumnRenamed("p_brand", "keyword").unionByName(none)
+    return run.job_events(jobs_of_run).select("job_id", "event_id", "status", "progress", "keyword", "error")
+
+
 @query
 def cache_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(requests.cache_asof(derived.request_log(spark, sf_dir)))
@@ -585,7 +645,15 @@ def page_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page 2 of some brands is missing, so their prefix ends before it."""
     pages = paging.with_next_page(derived.listing_pages(spark, sf_dir))
     landed = pages.where(~(F.col("keyword").endswith("3") & (F.col("page_no") == 2)))
-    return paging.page_prefix(landed, MAX_PAGES).select("keyword", "page_no", "last_page")
+    return paging.page_prefix(landed, None).select("keyword", "page_no", "last_page")
+
+
+@query
+def capped_page_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a page limit of its own per run, above what a request may ask for."""
+    pages = paging.with_next_page(derived.listing_pages(spark, sf_dir))
+    landed = pages.where(~(F.col("keyword").endswith("3") & (F.col("page_no") == 2)))
+    return paging.page_prefix(landed, derived.PAGE_LIMIT).select("keyword", "page_no", "last_page")
 
 
 @query
@@ -613,9 +681,10 @@ def retry_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ordered_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position of every distinct link in the order of discovery."""
-    found = links.distinct_links(derived.listing_pages(spark, sf_dir))
-    chunk = F.floor(F.col("page_no") / 64)
-    return scan.with_row_index(found, ["keyword"], ["page_no", "pos"], chunk, "nth").select(
+    found = staged(
+        links.distinct_links(derived.listing_pages(spark, sf_dir)).select("keyword", "page_no", "pos", "href"), "found"
+    )
+    return scan.with_row_index(found, ["keyword"], ["page_no", "pos"], name="nth").select(
         "keyword", "nth", "href"
     )
 
@@ -634,7 +703,8 @@ def union_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.cache_hits(derived.request_log(spark, sf_dir))
+    """Only successful runs are stored."""
+    return requests.cache_hits(derived.request_log(spark, sf_dir), ok=F.col("status_code") == 200)
 
 
 @query
@@ -667,15 +737,19 @@ def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(stream_state.live_jobs(_job_stream(spark, sf_dir)))
 
 
+# The given events fill one batch of any order, and none is forgotten while they last.
+IN_ONE_RUN = {"lateness": "10 minutes", "retention": 20 * 366 * 86_400}
+
+
 @query
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_state.progress(_job_stream(spark, sf_dir))
+    return stream_state.progress(_job_stream(spark, sf_dir), **IN_ONE_RUN)
 
 
 @query
 def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing decisions; rows for retries that have come due depend on where the stream ends."""
-    routed = stream_state.retries(_job_stream(spark, sf_dir)).where(F.col("status") != "due")
+    routed = stream_state.retries(_job_stream(spark, sf_dir), **IN_ONE_RUN).where(F.col("status") != "due")
     return _plain_times(routed).select("job_id", "event_id", "attempt", "next_retry_at", "status")
 
 
@@ -685,7 +759,8 @@ def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_state.cache_hits(_request_stream(spark, sf_dir))
+    log = _request_stream(spark, sf_dir)
+    return stream_state.cache_hits(log.withColumn("ok", F.col("status_code") == 200))
 
 
 @query

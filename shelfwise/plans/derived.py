@@ -18,6 +18,8 @@ CARDS_PER_PAGE = 24
 # Part keys that share one chunk of the page numbering.
 KEYS_PER_CHUNK = 4096
 DUPLICATE_OFFSET = 10**12
+# A page limit above the 20 pages that a request may ask for.
+PAGE_LIMIT = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,6 +140,15 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def empty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that say that nothing was found: the first, or only the second, of keywords that are no brand."""
+    return parts(spark, sf_dir).where(_every(100)).select(
+        F.concat(F.lit("none "), F.col("name")).alias("keyword"),
+        F.when(_every(200), 1).otherwise(2).alias("page_no"),
+        F.lit("<html><body><p>Nothing was found.</p></body></html>").alias("html"),
+    ).distinct()
+
+
 _FILLER = (
     "This text says nothing about the item and is here to make the page long enough to count as a "
     "page with content."

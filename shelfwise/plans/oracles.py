@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from shelfwise.operators.jobs import DEAD_LETTER_ERROR
 from shelfwise.operators.summary import NO_PRODUCTS
+from shelfwise.plans.derived import PAGE_LIMIT
 from shelfwise.schemas import PRODUCT_COLUMNS
 from shelfwise.site import DEFAULT_SITE as SITE
 
-MAX_PAGES = 3
-
 _PART = """
 p AS (
   SELECT p_partkey AS k, p_name AS name, p_brand AS keyword, printf('%.2f', p_retailprice) AS money,
@@ -123,9 +122,9 @@ classed AS (
                  WHEN NOT raised AND status_code IN (429, 500, 502, 503, 504) THEN 'retry'
                  ELSE 'success' END AS kind FROM r)"""
 
-# Results of a run over pages 1..3 of every keyword; brands always have all their pages.
+# Results of a run over all pages of every keyword; brands always have all their pages.
 _RUN = f"""{_LINKS},
-found AS (SELECT * FROM d WHERE page_no <= {MAX_PAGES}),
+found AS (SELECT * FROM d),
 kept AS (
   SELECT *, k % 7 <> 0 AND k % 29 <> 0 AS has_page FROM found WHERE length(item) >= 8
   QUALIFY row_number() OVER (PARTITION BY keyword, item ORDER BY page_no, pos) = 1),
@@ -134,19 +133,36 @@ final AS (
          CASE WHEN has_page THEN CAST(k + 100000000000 AS VARCHAR) ELSE '' END AS upc
   FROM kept),
 raw AS (
-  SELECT keyword, CAST(max(least(last_page, {MAX_PAGES})) AS INTEGER) AS pages_scraped,
-         count(*) AS total_found, count(*) FILTER (WHERE length(item) >= 8) AS raw_valid
-  FROM found JOIN last_pages USING (keyword) GROUP BY keyword),
+  SELECT keyword, count(*) AS total_found, count(*) FILTER (WHERE length(item) >= 8) AS raw_valid
+  FROM found GROUP BY keyword),
+ends AS (
+  SELECT keyword, last_page FROM last_pages
+  UNION ALL SELECT 'none ' || p_name, max(CASE WHEN p_partkey % 200 = 0 THEN 1 ELSE 0 END)
+  FROM part WHERE p_partkey % 100 = 0 GROUP BY p_name),
 done AS (
   SELECT keyword, count(*) AS valid_products,
          sum(9 + CASE WHEN k % 4 <> 3 THEN 1 ELSE 0 END + CASE WHEN price <> '' THEN 1 ELSE 0 END
              + CASE WHEN upc <> '' THEN 1 ELSE 0 END) AS filled
   FROM final GROUP BY keyword),
 runs AS (
-  SELECT keyword, coalesce(valid_products, 0) AS valid_products, pages_scraped, total_found, raw_valid, filled,
-         coalesce(valid_products, 0) > 0 AS success FROM raw LEFT JOIN done USING (keyword))"""
+  SELECT keyword, coalesce(valid_products, 0) AS valid_products, CAST(last_page AS INTEGER) AS pages_scraped,
+         coalesce(total_found, 0) AS total_found, coalesce(raw_valid, 0) AS raw_valid, filled,
+         coalesce(valid_products, 0) > 0 AS success
+  FROM ends LEFT JOIN raw USING (keyword) LEFT JOIN done USING (keyword))"""
 
+# Cards of a run break rules by their item number only.
+_RUN_ERRORS = """wrong AS (
+  SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY page_no, pos) - 1 AS nth, list_filter([
+    CASE WHEN item = '' THEN 'Missing required field: Item Number' END,
+    CASE WHEN item <> '' AND length(item) < 8 THEN 'Invalid TCIN format: ' || item END], lambda x: x IS NOT NULL) AS errors
+  FROM found)"""
 _STEM = "replace(lower(keyword), '#', '') || '_PRODUCTS'"
+# Two runs: the second one replaces the artefacts of some keywords.
+_CATALOGUE = """again AS (SELECT * FROM pr WHERE keyword LIKE '%1' AND pos % 2 = 0),
+c AS (SELECT keyword, replace(lower(keyword), '#', '') || '_PRODUCTS.' || format AS output_name, format, count(*) AS products, run_id
+  FROM (SELECT keyword, 'run-2' AS run_id FROM again
+    UNION ALL SELECT keyword, 'run-1' FROM pr WHERE keyword NOT IN (SELECT keyword FROM again)), (VALUES ('csv'), ('json')) AS f(format)
+  GROUP BY ALL)"""
 _ASKED = """asked AS (SELECT p_brand AS keyword FROM part
   UNION ALL SELECT 'none ' || p_name FROM part WHERE p_partkey % 100 = 0)"""
 
@@ -250,7 +266,12 @@ SELECT keyword, page_no, page_no < last_page OR coalesce(dup, false) AS has_more
 FROM (SELECT DISTINCT keyword, page_no FROM q) JOIN last_pages USING (keyword) LEFT JOIN dups USING (keyword, page_no)""",
     "page_prefix": f"""
 WITH {_LINKS}, ends AS (
-  SELECT keyword, CAST(CASE WHEN keyword LIKE '%3' AND last_page >= 2 THEN 1 ELSE least(last_page, {MAX_PAGES}) END AS INTEGER) AS last_page
+  SELECT keyword, CAST(CASE WHEN keyword LIKE '%3' AND last_page >= 2 THEN 1 ELSE last_page END AS INTEGER) AS last_page
+  FROM last_pages)
+SELECT DISTINCT keyword, page_no, ends.last_page FROM q JOIN ends USING (keyword) WHERE page_no <= ends.last_page""",
+    "capped_page_prefix": f"""
+WITH {_LINKS}, ends AS (
+  SELECT keyword, CAST(CASE WHEN keyword LIKE '%3' AND last_page >= 2 THEN 1 ELSE least(last_page, {PAGE_LIMIT}) END AS INTEGER) AS last_page
   FROM last_pages)
 SELECT DISTINCT keyword, page_no, ends.last_page FROM q JOIN ends USING (keyword) WHERE page_no <= ends.last_page""",
     "running_total": f"""
@@ -306,9 +327,16 @@ WITH {_RUN} SELECT keyword, page_no, item AS item_number, {_CARD_TITLE} AS title
     "run_summary": f"""
 WITH {_RUN} SELECT keyword, success, pages_scraped, total_found, valid_products,
   coalesce(round(0.7::DOUBLE + 0.3::DOUBLE * (filled::DOUBLE / (valid_products * 18)), 3), 0) AS quality_score,
-  raw_valid::DOUBLE / total_found AS valid_rate,
+  total_found - raw_valid AS invalid_products, coalesce(raw_valid::DOUBLE / nullif(total_found, 0), 0) AS valid_rate,
   CASE WHEN success THEN {_STEM} || '.csv' END AS filename, CASE WHEN success THEN {_STEM} || '.json' END AS json_filename,
   CASE WHEN NOT success THEN '{NO_PRODUCTS}' END AS error FROM runs""",
+    "run_errors": f"""
+WITH {_RUN}, {_RUN_ERRORS}
+SELECT keyword, page_no, pos, CAST(generate_subscripts(errors, 1) - 1 AS INTEGER) AS error_no, unnest(errors) AS error FROM wrong""",
+    "run_invalid_products": f"""
+WITH {_RUN}, {_RUN_ERRORS}
+SELECT keyword, nth AS index, {_CARD_TITLE} AS title, '{SITE.base_url}' || path AS url, item AS item_number,
+  array_to_string(errors, '|') AS errors FROM wrong WHERE len(errors) > 0""",
     "batch_results": f"""
 WITH {_RUN}, {_ASKED} SELECT keyword, coalesce(success, false) AS success, coalesce(valid_products, 0) AS valid_products,
   CASE WHEN coalesce(success, false) THEN NULL ELSE '{NO_PRODUCTS}' END AS error
@@ -343,9 +371,28 @@ SELECT CAST(job_id AS VARCHAR) AS job_id, keyword, '{DEAD_LETTER_ERROR}' AS erro
 WITH {_JOBS} SELECT CAST(job_id AS VARCHAR) AS job_id, keyword FROM letters
 WHERE job_id NOT IN (SELECT job_id FROM latest WHERE status = 'completed')""",
     "job_products": f"""
-WITH {_PRODUCTS}, {_JOBS.strip()}
-SELECT job_id, replace(lower(pr.keyword), '#', '') || '_PRODUCTS.json' AS output_name, title, url, item_number, price
-FROM latest JOIN pr ON pr.keyword = 'Brand#' || (job_id % 30) WHERE status = 'completed'""",
+WITH {_PRODUCTS}, {_JOBS.strip()}, {_CATALOGUE}
+SELECT job_id, c.output_name, products, run_id
+FROM latest JOIN c ON c.keyword = 'Brand#' || (job_id % 30) AND c.format = 'json' WHERE status = 'completed'""",
+    "artifact_listing": f"""
+WITH {_PRODUCTS}, {_CATALOGUE}
+SELECT output_name, format, products, run_id, true AS has_files, true AS has_bytes, products AS held FROM c""",
+    "envelope_rejects": """
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'no results' ELSE 'unreadable' END AS reason FROM pages
+WHERE page_id % 5 IN (0, 1, 2) OR page_id % 35 = 3""",
+    "dead_letter_rejects": """
+SELECT CASE p_partkey % 3 WHEN 0 THEN 'unreadable' ELSE 'no entry' END AS reason, count(*) AS rows
+FROM part WHERE p_partkey % 3 <> 2 GROUP BY 1""",
+    "run_job_events": f"""
+WITH {_RUN}, asked AS (
+  SELECT min(p_partkey) AS job_id, p_brand AS keyword FROM part GROUP BY p_brand
+  UNION ALL SELECT p_partkey, 'none ' || p_name FROM part WHERE p_partkey % 100 = 0),
+steps AS (SELECT job_id, keyword, success, pages_scraped, unnest(range(0, pages_scraped + 2)) AS event_id FROM asked JOIN runs USING (keyword))
+SELECT job_id, event_id, keyword,
+  CASE WHEN event_id <= pages_scraped THEN 'running' WHEN success THEN 'completed' ELSE 'failed' END AS status,
+  CAST(CASE WHEN event_id = 0 THEN 5 WHEN event_id > pages_scraped THEN CASE WHEN success THEN 100 ELSE 0 END
+    ELSE floor(event_id::DOUBLE / greatest(pages_scraped, 1) * 90) + 10 END AS INTEGER) AS progress,
+  CASE WHEN event_id > pages_scraped AND NOT success THEN '{NO_PRODUCTS}' END AS error FROM steps""",
     "products_per_job": f"""
 WITH {_PRODUCTS}, {_JOBS.strip()}, n AS (SELECT keyword, count(*) AS c FROM pr GROUP BY keyword)
 SELECT job_id, 'Brand#' || (job_id % 30) AS keyword, coalesce(c, 0) AS products_count
@@ -373,8 +420,8 @@ WITH {_REQUESTS}, w AS (SELECT *, max(CASE WHEN status_code = 200 THEN ts END) O
 SELECT event_id, key, coalesce(ts < s + INTERVAL 1 HOUR, false) AS hit, CASE WHEN ts < s + INTERVAL 1 HOUR THEN s END AS stored_at FROM w""",
     "cache_hits": f"""
 WITH RECURSIVE {_REQUESTS}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS i FROM r),
-walk AS (SELECT key, event_id, i, us AS stored, false AS hit FROM n WHERE i = 1
-  UNION ALL SELECT n.key, n.event_id, n.i, CASE WHEN n.us < w.stored + 3600000000 THEN w.stored ELSE n.us END, n.us < w.stored + 3600000000
+walk AS (SELECT key, event_id, i, CASE WHEN status_code = 200 THEN us ELSE us - 3600000000 END AS stored, false AS hit FROM n WHERE i = 1
+  UNION ALL SELECT n.key, n.event_id, n.i, CASE WHEN n.us >= w.stored + 3600000000 AND n.status_code = 200 THEN n.us ELSE w.stored END, n.us < w.stored + 3600000000
   FROM walk w JOIN n ON n.key = w.key AND n.i = w.i + 1)
 SELECT event_id, key, hit FROM walk""",
     "pacing_wait": f"""

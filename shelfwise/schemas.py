@@ -32,6 +32,16 @@ ORIGIN_COLUMNS = ["keyword", "page_no", "pos"]
 
 PRODUCT = T.StructType([T.StructField(c, T.StringType(), False) for c in PRODUCT_COLUMNS])
 
+# A product row with its origin.
+FOUND = T.StructType(
+    [
+        T.StructField("keyword", T.StringType()),
+        T.StructField("page_no", T.IntegerType()),
+        T.StructField("pos", T.IntegerType()),
+        *[T.StructField(c, T.StringType()) for c in PRODUCT_COLUMNS],
+    ]
+)
+
 # A product as stored in an artefact file (header names, text only).
 ARTEFACT = T.StructType([T.StructField(n, T.StringType()) for n in PRODUCT_FIELDS.values()])
 
@@ -52,7 +62,8 @@ ENVELOPE = T.StructType(
         T.StructField(
             "results",
             T.ArrayType(T.StructType([T.StructField("content", T.StringType())])),
-        )
+        ),
+        T.StructField("unreadable", T.StringType()),
     ]
 )
 
@@ -92,5 +103,17 @@ DEAD_LETTERS = T.StructType(
     ]
 )
 
+# Commits of artefacts, beside the artefacts.
+CATALOGUE_FOLDER = "catalogue"
+CATALOGUE = T.StructType(
+    [
+        T.StructField("output_name", T.StringType()),
+        T.StructField("format", T.StringType()),
+        T.StructField("products", T.LongType()),
+        T.StructField("committed_at", T.TimestampType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+
 JOB_STATUSES = ["pending", "running", "completed", "failed", "retrying", "dead_letter"]
 TERMINAL_STATUSES = ["completed", "failed", "dead_letter"]

@@ -1,39 +1,52 @@
-"""Job and request streams with state per key.
+"""Job and request streams with state per key, in the order of events.
 
-Within a micro-batch the rows of a key are put in event order; a batch is bounded by the trigger,
-so no group grows with the stream.
+Rows of a key wait in a buffer until the watermark has passed them, and until then each new row can change
+the answers of later ones: a batch puts out every answer that is new or has changed, and the newest one counts. So
+answers come at once and end up as if all rows had come in order. The event time is hidden from Spark
+behind the operator, which would drop rows behind the watermark; here they go to a side table instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from shelfwise import schemas
-from shelfwise.operators import jobs, requests
+from shelfwise.operators import jobs, requests, stateful
+from shelfwise.operators.requests import MICROS
 from shelfwise.schemas import TERMINAL_STATUSES
-from shelfwise.streaming.runner import drained_table
+from shelfwise.streaming.runner import drained_table, stored_table
 
-# Of failures only: a timer needs a watermark, and a failure that comes later than this is not routed.
+# How far out of order rows may come, and how long a key without new rows is remembered.
 LATENESS = "10 minutes"
+RETENTION_SECONDS = 30 * 86_400
+# Rows of one piece of a buffer.
+PIECE = 10_000
 
 
-def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", glob).parquet(path)
+def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    return (
+        spark.readStream.schema(schemas.EVENTS)
+        .option("pathGlobFilter", glob)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(path)
+    )
 
 
-def live_jobs(events: DataFrame) -> DataFrame:
+def live_jobs(events: DataFrame, out: str | None = None) -> DataFrame:
     """Job table kept up to date: each batch puts out the jobs it has changed."""
     last = F.max_by(
         F.struct("status", "progress", "keyword", "error", "ts"), F.struct("ts", "event_id")
     )
-    changed = drained_table(events.groupBy("job_id").agg(last.alias("last")), "update", "jobs")
+    changed = drained_table(events.groupBy("job_id").agg(last.alias("last")), "update", "jobs", out)
     newest = changed.groupBy("job_id").agg(F.max_by("last", "batch_id").alias("last"))
     return newest.select(
         "job_id",
@@ -45,151 +58,274 @@ def live_jobs(events: DataFrame) -> DataFrame:
     )
 
 
-def _in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, ignore_index=True)
+class Sequence(Protocol):
+    """A rule over the rows of a key in order: columns it reads and keeps, and its answers as numbers."""
 
+    reads: str
+    state: str
 
-class ProgressChanges(StatefulProcessor):
-    """Puts out an event when the progress of its job has changed, and the terminal one."""
+    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]: ...
 
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "progress int, closed boolean")
+    def forgotten(self, state: tuple, last: int) -> int:
+        """Time from which on the state says nothing any more; `last` is that of the last row."""
+        ...
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = _in_order(rows, ["ts", "event_id"])
-        previous, closed = self.last.get() if self.last.exists() else (None, False)
-        kept = []
-        for at, (status, progress) in enumerate(zip(events["status"], events["progress"])):
+
+@dataclass(frozen=True)
+class Walk:
+    """A sequential rule of requests; answers are its flags."""
+
+    rule: stateful.Rule
+    reads: str = "ok boolean"
+    state: str = "state bigint"
+
+    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]:
+        ok = rows["ok"].to_numpy(dtype=bool)
+        flags, end = self.rule.walk(rows["at"].to_numpy(), state[0] if state else None, ok=ok)
+        return flags.astype(int).tolist(), (int(end),)
+
+    def forgotten(self, state: tuple, last: int) -> int:
+        return state[0]
+
+
+@dataclass(frozen=True)
+class ProgressChanges:
+    """Answers 1 where the progress of a job has changed, and for its terminal event; a closed job answers 0.
+
+    A null progress is a value like any other.
+    """
+
+    retention: int
+    reads: str = "status string, progress int"
+    state: str = "known boolean, progress int, closed boolean"
+
+    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]:
+        known, before, closed = state or (False, None, False)
+        found = []
+        for status, progress in zip(rows["status"], rows["progress"], strict=True):
+            progress = None if pd.isna(progress) else int(progress)
             terminal = status in TERMINAL_STATUSES
-            if not closed and (terminal or progress != previous):
-                kept.append(at)
-            previous, closed = int(progress), closed or terminal
-        self.last.update((previous, closed))
-        yield events.loc[kept, ["job_id", "event_id", "status", "progress"]]
+            found.append(int(not closed and (terminal or not known or progress != before)))
+            known, before, closed = True, progress, closed or terminal
+        return found, (known, before, closed)
 
-    def close(self) -> None:
-        pass
+    def forgotten(self, state: tuple, last: int) -> int:
+        return last + self.retention
 
 
-def _stateful(
-    stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, purpose: str, lateness: str | None = None
-) -> DataFrame:
-    """lateness: for processors with timers. Without it there is no watermark and no row is too late: rows are
-    walked in order of time inside a batch, and in order of arrival from batch to batch."""
-    rows = stream.withWatermark("ts", lateness) if lateness else stream
-    out = rows.groupBy(key).transformWithStateInPandas(
-        processor, schema, "append", "eventTime" if lateness else "none"
-    )
-    return drained_table(out, "append", purpose).drop("batch_id")
+@dataclass(frozen=True)
+class Attempts:
+    """Answers the number of each failure within its job."""
 
+    retention: int
+    reads: str = ""
+    state: str = "attempts bigint"
 
-def progress(events: DataFrame) -> DataFrame:
-    return _stateful(
-        events,
-        "job_id",
-        ProgressChanges(),
-        "job_id bigint, event_id bigint, status string, progress int",
-        "progress",
-    )
+    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]:
+        before = state[0] if state else 0
+        return list(range(before + 1, before + len(rows) + 1)), (before + len(rows),)
 
+    def forgotten(self, state: tuple, last: int) -> int:
+        return last + self.retention
 
-class RetryRouting(StatefulProcessor):
-    """Routes each failure to a retry or to the dead letters; says when a retry has come due."""
 
-    def __init__(self, max_retries: int, delays: tuple[int, ...]):
-        self.max_retries, self.delays = max_retries, delays
+def _pieces(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    pieces = []
+    for low in range(0, len(rows), PIECE):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table.slice(low, PIECE))
+        pieces.append((sink.getvalue().to_pybytes(),))
+    return pieces
+
+
+class InOrder(StatefulProcessor):
+    """Applies a rule to the rows of a key in order of (at, event_id), whatever order they come in.
+
+    Holds the rule's state after all rows behind the watermark, and a buffer of the others with their answers. A
+    timer wakes the key when the watermark has passed its buffer, and when its state says nothing any more: then
+    the key leaves nothing behind.
+    """
+
+    def __init__(self, rule: Sequence, key: str, delays: tuple[int, ...] = (), most: int = 0):
+        self.rule, self.key, self.delays, self.most = rule, key, delays, most
+        self.names = ["at", "event_id", *(c.split()[0] for c in rule.reads.split(", ") if c)]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.failures = handle.getValueState("failures", "attempts int")
+        self.settled = handle.getValueState("settled", f"{self.rule.state}, last bigint")
+        self.buffer = handle.getListState("buffer", "piece binary")
+        self.wake = handle.getValueState("wake", "ms bigint")
+        if self.delays:
+            self.due = handle.getListState("due", "at bigint, event_id bigint, attempt bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failed = _in_order(rows, ["ts", "event_id"])
-        before = self.failures.get()[0] if self.failures.exists() else 0
-        attempts = before + 1 + np.arange(len(failed))
-        delay = np.array(self.delays)[np.minimum(attempts, len(self.delays)) - 1]
-        dead = attempts > self.max_retries
-        due = (failed["ts"] + pd.to_timedelta(delay, unit="s")).where(~dead)
-        self.failures.update((int(attempts[-1]),))
-        for at in due.dropna():
-            self.handle.registerTimer(int(at.timestamp() * 1000))
-        yield pd.DataFrame(
-            {
-                "job_id": failed["job_id"],
-                "event_id": failed["event_id"],
-                "attempt": attempts.astype("int32"),
-                "next_retry_at": due,
-                "status": np.where(dead, "dead_letter", "retrying"),
-            }
-        )
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new = pd.concat([piece[self.names] for piece in rows], ignore_index=True)
+        late = new["at"].isna() | (new["at"] < passed)
+        if late.any():
+            yield self._out(key, new[late].assign(answer=None), late=True)
+        yield from self._settle(key, passed, new[~late].assign(answer=None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(
-            {
-                "job_id": [key[0]],
-                "event_id": pd.array([None], dtype="Int64"),
-                "attempt": pd.array([None], dtype="Int32"),
-                "next_retry_at": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")],
-                "status": ["due"],
-            }
-        )
+        if self.wake.exists() and self.wake.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.wake.clear()
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000, None)
+
+    def _settle(self, key, passed: int, new: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        waiting = [pa.ipc.open_stream(piece).read_pandas() for (piece,) in self.buffer.get()] if self.buffer.exists() else []
+        waiting += [] if new is None or new.empty else [new]
+        *state, last = self.settled.get() if self.settled.exists() else (None, None)
+        state = tuple(state) if last is not None else None
+        kept = pd.DataFrame(columns=[*self.names, "answer"])
+        if waiting:
+            rows = pd.concat([w.astype({"answer": "float64"}) for w in waiting], ignore_index=True)
+            rows = rows.sort_values(["at", "event_id"], ignore_index=True)
+            rows["at"] = rows["at"].astype("int64")
+            answers, _ = self.rule.answers(rows, state)
+            changed = rows["answer"].to_numpy() != np.array(answers)
+            rows["answer"] = answers
+            if changed.any():
+                yield self._out(key, rows[changed])
+            done, kept = rows[rows["at"] < passed], rows[rows["at"] >= passed]
+            if len(done):
+                _, state = self.rule.answers(done, state)
+                last = int(done["at"].iloc[-1])
+                self.settled.update((*state, last))
+                self._plan(done)
+            if len(done) or new is not None:
+                self.buffer.put(_pieces(kept)) if len(kept) else self.buffer.clear()
+        times = [int(kept["at"].iloc[0])] if len(kept) else []
+        if state is not None and not times:
+            over = self.rule.forgotten(state, last)
+            if over <= passed:
+                self.settled.clear()
+            else:
+                times.append(over)
+        if self.delays and self.due.exists():
+            planned = list(self.due.get())
+            come = [one for one in planned if one[0] <= passed]
+            rest = [one for one in planned if one[0] > passed]
+            if come:
+                yield self._out(key, pd.DataFrame(come, columns=["at", "event_id", "answer"]), due=True)
+                self.due.put(rest) if rest else self.due.clear()
+            times += [one[0] for one in rest]
+        if times:
+            ms = min(times) // 1000 + 1
+            if not self.wake.exists() or self.wake.get()[0] > ms:
+                self.wake.update((ms,))
+                self.handle.registerTimer(ms)
+
+    def _plan(self, done: pd.DataFrame) -> None:
+        """Notes when the retries of failures that are certain will come due."""
+        if not self.delays:
+            return
+        certain = [
+            (int(at) + self.delays[min(n, len(self.delays)) - 1] * MICROS, int(event), int(n))
+            for at, event, n in zip(done["at"], done["event_id"], done["answer"])
+            if n <= self.most
+        ]
+        if certain:
+            self.due.appendList(certain)
+
+    def _out(self, key, rows: pd.DataFrame, late: bool = False, due: bool = False) -> pd.DataFrame:
+        out = rows.reindex(columns=[*self.names, "answer"]).assign(late=late, due=due)
+        out["answer"] = out["answer"].astype("Int64")
+        out.insert(0, self.key, key[0])
+        return out
 
     def close(self) -> None:
         pass
 
 
-def retries(
-    events: DataFrame,
-    max_retries: int = jobs.MAX_RETRIES,
-    delays: tuple[int, ...] = jobs.RETRY_DELAYS,
+def in_order(
+    stream: DataFrame,
+    key: str,
+    rule: Sequence,
+    purpose: str,
     lateness: str = LATENESS,
+    out: str | None = None,
+    **planned: object,
 ) -> DataFrame:
-    return _stateful(
-        events.where(F.col("status") == "failed").select("job_id", "event_id", "ts"),
-        "job_id",
-        RetryRouting(max_retries, delays),
-        "job_id bigint, event_id bigint, attempt int, next_retry_at timestamp, status string",
-        "retries",
-        lateness,
+    """Newest answer of each row of the stream that came in time: (key, at, event_id, columns read, answer, due).
+
+    Rows without a time, or behind the watermark, are in `late_rows(spark, out)`. With `out` the stream goes on from
+    where the last call for this folder has stopped.
+    """
+    rows = stream.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
+    processor = InOrder(rule, key, **planned)
+    kind = dict(stream.dtypes)[key]
+    reads = f"{rule.reads}, " if rule.reads else ""
+    answered = (
+        rows.select(key, *processor.names)
+        .groupBy(key)
+        .transformWithStateInPandas(
+            processor,
+            f"{key} {kind}, at bigint, event_id bigint, {reads}answer bigint, late boolean, due boolean",
+            "append",
+            "eventTime",
+        )
     )
+    stored = drained_table(answered, "append", purpose, out, ["late"])
+    return newest_answers(stored, key)
 
 
-class Walk(StatefulProcessor):
-    """Applies a sequential rule to the requests of a key, from the state the last batch left."""
+def newest_answers(stored: DataFrame, key: str) -> DataFrame:
+    values = [c for c in stored.columns if c not in (key, "event_id", "due", "batch_id", "late")]
+    newest = F.max_by(F.struct(*values), "batch_id").alias("newest")
+    return stored.where("not late").groupBy(key, "event_id", "due").agg(newest).select(key, "event_id", "due", "newest.*")
 
-    def __init__(self, rule: Callable, key: str):
-        self.rule, self.key = rule, key
 
-    def init(self, handle) -> None:
-        self.left = handle.getValueState("left", "state bigint")
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The side table of a stream with a folder of its own."""
+    return stored_table(spark, out).where(F.col("late").cast("boolean")).drop("late", "due", "answer")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        asked = _in_order(rows, ["at", "event_id"])
-        state = self.left.get()[0] if self.left.exists() else None
-        flags, state = self.rule(asked["at"].to_numpy(), state)
-        self.left.update((int(state),))
-        yield pd.DataFrame(
-            {"event_id": asked["event_id"], self.key: asked[self.key], "flag": flags}
-        )
 
-    def close(self) -> None:
-        pass
+def progress(events: DataFrame, lateness: str = LATENESS, retention: int = RETENTION_SECONDS, out: str | None = None) -> DataFrame:
+    """Events that changed the progress of their job, and terminal ones, up to the first terminal one."""
+    rows = events.select("job_id", "event_id", "ts", "status", "progress")
+    answered = in_order(rows, "job_id", ProgressChanges(retention * MICROS), "progress", lateness, out)
+    return answered.where("answer = 1").select("job_id", "event_id", "status", "progress")
 
 
-def cache_hits(log: DataFrame, ttl_seconds: int = requests.TTL_SECONDS) -> DataFrame:
-    """Hit or miss per request; the stored time is state, so hits do not refresh an entry."""
-    rule = partial(requests.walk_cache, ttl=ttl_seconds * requests.MICROS)
-    rows = requests.keyed(log).select("event_id", "key", "ts", "at")
-    schema = "event_id bigint, key string, flag boolean"
-    walked = _stateful(rows, "key", Walk(rule, "key"), schema, "cache")
-    return walked.select("event_id", "key", (~F.col("flag")).alias("hit"))
+def retries(
+    events: DataFrame,
+    max_retries: int = jobs.MAX_RETRIES,
+    delays: tuple[int, ...] = jobs.RETRY_DELAYS,
+    lateness: str = LATENESS,
+    retention: int = RETENTION_SECONDS,
+    out: str | None = None,
+) -> DataFrame:
+    """Each failure with its number and what becomes of it; a row of status `due` says that a retry has come due."""
+    failed = events.where(F.col("status") == "failed").select("job_id", "event_id", "ts")
+    answered = in_order(
+        failed, "job_id", Attempts(retention * MICROS), "retries", lateness, out, delays=delays, most=max_retries
+    )
+    dead = F.col("answer") > max_retries
+    at = F.timestamp_micros("at")
+    then = F.timestamp_add("SECOND", jobs.retry_delay(F.col("answer"), delays), at)
+    return answered.select(
+        "job_id",
+        "event_id",
+        F.col("answer").cast("int").alias("attempt"),
+        F.when(F.col("due"), at).when(~dead, then).alias("next_retry_at"),
+        F.when(F.col("due"), "due").when(dead, "dead_letter").otherwise("retrying").alias("status"),
+    )
+
+
+def cache_hits(
+    log: DataFrame, ttl_seconds: int = requests.TTL_SECONDS, lateness: str = LATENESS, out: str | None = None
+) -> DataFrame:
+    """Hit or miss per request; hits do not refresh an entry. Only runs that are `ok` (a column, if there is one) are stored."""
+    ok = F.coalesce("ok", F.lit(False)) if "ok" in log.columns else F.lit(True)
+    rows = requests.keyed(log).select("event_id", "key", "ts", ok.alias("ok"))
+    answered = in_order(rows, "key", Walk(requests.cache_rule(ttl_seconds)), "cache", lateness, out)
+    return answered.select("event_id", "key", (F.col("answer") == 0).alias("hit"))
 
 
-def pacing_deny(log: DataFrame, rate: float, capacity: int) -> DataFrame:
+def pacing_deny(log: DataFrame, rate: float, capacity: int, lateness: str = LATENESS, out: str | None = None) -> DataFrame:
     """Allowed or dropped per request, one bucket per endpoint."""
-    spacing = round(requests.MICROS / rate)
-    rule = partial(requests.walk_bucket, spacing=spacing, burst=spacing * capacity)
-    rows = log.select("event_id", "endpoint", "ts", F.unix_micros("ts").alias("at"))
-    schema = "event_id bigint, endpoint string, flag boolean"
-    walked = _stateful(rows, "endpoint", Walk(rule, "endpoint"), schema, "pacing")
-    return walked.select("event_id", "endpoint", F.col("flag").alias("allowed"))
+    rows = log.select("event_id", "endpoint", "ts", F.lit(True).alias("ok"))
+    answered = in_order(rows, "endpoint", Walk(requests.bucket_rule(rate, capacity)), "pacing", lateness, out)
+    return answered.select("event_id", "endpoint", (F.col("answer") == 1).alias("allowed"))

@@ -1,6 +1,7 @@
 """Operators against brute force on small, skewed fixtures."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import (
     dedup,
+    details,
     jobs,
     links,
     paging,
@@ -18,6 +20,7 @@ from shelfwise.operators import (
     summary,
     validate,
 )
+from shelfwise.plans import pipeline
 from shelfwise.schemas import PRODUCT_COLUMNS
 from shelfwise.streaming import state
 
@@ -34,8 +37,8 @@ def skewed(spark):
     return spark.createDataFrame(rows, "key string, t bigint, v bigint").repartition(8).cache()
 
 
-@pytest.mark.parametrize("width, fanout", [(1, 4), (50, 3), (10_000, 1024)])
-def test_chunked_scans_equal_plain_windows(skewed, width, fanout):
+@pytest.mark.parametrize("width", [None, 1, 50, 10_000])
+def test_chunked_scans_equal_plain_windows(skewed, width):
     earlier = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     values = {"s": (F.col("v"), scan.SUM), "m": (F.col("v"), scan.MAX), "l": (F.col("v"), scan.LAST)}
     plain = skewed.select(
@@ -44,7 +47,8 @@ def test_chunked_scans_equal_plain_windows(skewed, width, fanout):
         F.max("v").over(earlier).alias("m"),
         F.last("v", True).over(earlier).alias("l"),
     )
-    chunked = scan.before(skewed, ["key"], ["t"], values, F.floor(F.col("t") / width), fanout)
+    chunk = None if width is None else F.floor(F.col("t") / width)
+    chunked = scan.before(skewed, ["key"], ["t"], values, chunk)
     assert sorted(chunked.select(*plain.columns).collect(), key=repr) == sorted(plain.collect(), key=repr)
 
 
@@ -54,11 +58,29 @@ def test_row_index(skewed):
     assert sorted(indexed.select("key", "t", "n").collect()) == sorted(plain.collect())
 
 
-def cache_by_hand(times, ttl):
+def test_rows_of_one_key_and_one_time_fill_many_parts(spark):
+    """Neither the clock nor the key keeps rows together."""
+    rows = spark.range(4000).select(F.lit("hot").alias("key"), F.lit(7).alias("second"), F.col("id").alias("tie"))
+    parts = scan.parted(rows, ["key"], ["second", "tie"], 500).groupBy(scan.PART).count().collect()
+    assert len(parts) >= 7 and max(r["count"] for r in parts) < 1200
+    counted = scan.with_row_index(rows, ["key"], ["second", "tie"])
+    assert [r.row_index for r in counted.orderBy("tie").collect()] == list(range(4000))
+
+
+def test_carries_are_fewer_than_parts(spark):
+    """Only keys that cross a border are sent to all tasks."""
+    rows = spark.range(3000).select((F.col("id") % 700).alias("key"), "id")
+    parts = scan.parted(rows, ["key"], ["id"], 300)
+    totals = parts.groupBy("key", scan.PART).agg(F.count("*").alias("n"))
+    carries = scan.carried(totals, ["key"], {"before": (F.col("n"), scan.SUM)})
+    assert carries.count() < parts.select(scan.PART).distinct().count()
+
+
+def cache_by_hand(times, ttl, ok=None):
     expires, misses = None, []
-    for t in times:
+    for i, t in enumerate(times):
         misses.append(expires is None or t >= expires)
-        if misses[-1]:
+        if misses[-1] and (ok is None or ok[i]):
             expires = t + ttl
     return misses
 
@@ -77,18 +99,63 @@ def test_walks_equal_step_by_step_rules(seed):
     rng = np.random.default_rng(seed)
     times = np.sort(rng.integers(0, 4000, 800))
     assert requests.walk_cache(times, None, 97)[0].tolist() == cache_by_hand(times, 97)
+    ok = rng.random(800) < 0.2
+    assert requests.walk_cache(times, None, 97, ok)[0].tolist() == cache_by_hand(times, 97, ok)
     assert requests.walk_bucket(times, None, 8, 40)[0].tolist() == bucket_by_hand(times.tolist(), 1 / 8, 5)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_state_maps_give_the_end_of_every_walk(seed):
+    rng = np.random.default_rng(seed)
+    times = np.sort(rng.integers(0, [30, 300, 3000][seed % 3], 60)) + 1000
+    some, none = rng.random(60) < 0.3, np.zeros(60, dtype=bool)
+    for walk, state_map, reach in (
+        (partial(requests.walk_cache, ttl=97), partial(requests.cache_map, ttl=97), 97),
+        (partial(requests.walk_cache, ttl=97, ok=some), partial(requests.cache_map, ttl=97, ok=some), 97),
+        (partial(requests.walk_cache, ttl=97, ok=none), partial(requests.cache_map, ttl=97, ok=none), 97),
+        (partial(requests.walk_bucket, spacing=8, burst=40), partial(requests.bucket_map, spacing=8, burst=40), 40),
+    ):
+        found = state_map(times)
+        for start in (None, 0, *range(int(times[0]) - 3, int(times[0]) + reach + 1)):
+            assert found(start) == walk(times, start)[1], start
+        assert len(found.edges) <= 61
+
+
+def test_overloaded_bucket_has_few_pieces():
+    """Blocks of a key that never gets a rest: functions stay small, however many requests there are."""
+    times = np.arange(0, 20_000)
+    assert len(requests.bucket_map(times, 1_000, 5_000).edges) < 20
+
+
+def test_hot_overloaded_key_is_settled_in_one_pass(spark, monkeypatch):
+    """What is written does not depend on the number of blocks."""
+    from shelfwise.operators import stateful as module
+
+    rows = [("hot", t, t) for t in range(0, 6000, 2)] + [(None, t, t) for t in range(0, 3000, 40)]
+    table = spark.createDataFrame(rows, "key string, at bigint, id bigint").repartition(5)
+    rule = stateful.Rule(
+        partial(requests.walk_bucket, spacing=50, burst=250), partial(requests.bucket_map, spacing=50, burst=250)
+    )
+    written = []
+    plain = module.staged
+    monkeypatch.setattr(module, "staged", lambda df, purpose: (written.append(purpose), plain(df, purpose))[1])
+    monkeypatch.setattr(scan, "staged", lambda df, purpose: (written.append(purpose), plain(df, purpose))[1])
+    for per_block in (2000, 50):
+        walked = stateful.walk(table, "key", "at", "id", rule, per_block).toPandas()
+        for _, group in walked.sort_values("at").groupby("key", dropna=False):
+            expected = requests.walk_bucket(group["at"].to_numpy(), None, 50, 250)[0]
+            assert group["flag"].tolist() == expected.tolist()
+        assert len(walked) == len(rows)
+    assert written[: len(written) // 2] == written[len(written) // 2 :] == ["parts", "crossing", "maps", "starts"]
+
+
 @pytest.mark.parametrize("rows_per_block", [40, 1_000_000])
 def test_walk_over_blocks_equals_one_walk(spark, skewed, rows_per_block):
-    """Block size changes who computes what, never the result; 40 rows make the hot key settle."""
+    """Block size changes who computes what, never the result; 40 rows cut the hot key."""
     rows = skewed.select("key", F.col("t").alias("at"), F.col("t").alias("id"))
 
-    def walk(times, start):
-        return requests.walk_cache(times, start, 97)
-
-    walked = stateful.walk(rows, "key", "at", "id", walk, rows_per_block).toPandas()
+    rule = stateful.Rule(partial(requests.walk_cache, ttl=97), partial(requests.cache_map, ttl=97))
+    walked = stateful.walk(rows, "key", "at", "id", rule, rows_per_block).toPandas()
     for _, group in walked.sort_values("at").groupby("key"):
         assert group["flag"].tolist() == cache_by_hand(group["at"].tolist(), 97)
     assert len(walked) == 3000
@@ -101,7 +168,7 @@ def test_pacing_wait_never_goes_early_or_beyond_the_burst(spark):
         "ts", F.timestamp_micros("us")
     )
     limits = {"a": (0.5, 3.0), "b": (2.0, 5.0)}
-    done = requests.pacing_wait(log, limits, chunk_seconds=7).select(
+    done = requests.pacing_wait(log, limits).select(
         "event_id", "endpoint", F.unix_micros("admitted_at").alias("out"), "waited_micros"
     ).toPandas()
     assert (done["waited_micros"] >= 0).all()
@@ -222,10 +289,18 @@ def test_hot_identifier_is_reduced_before_the_shuffle(spark):
         ({1: True, 2: True, 3: True}, 2, 2),
         ({1: False}, 20, 1),
         ({n: True for n in range(1, 30)}, 20, 20),
+        ({n: True for n in range(1, 300)}, None, 299),
+        ({n: n != 250 for n in range(1, 300)}, None, 250),
+        ({n: True for n in range(1, 300) if n != 211}, 260, 210),
+        ({}, None, 0),
     ],
 )
 def test_page_prefix(spark, landed, max_pages, last):
-    pages = spark.createDataFrame([("k", n, m) for n, m in landed.items()] * 3, "keyword string, page_no int, has_more boolean")
+    rows = [(k, n, m) for n, m in landed.items() for k in ("k", None)] * 3 + [("other", 0, True), ("other", 2, True)]
+    both = spark.createDataFrame(rows, "keyword string, page_no int, has_more boolean")
+    ends = {r.keyword: r.last_page for r in paging.last_pages(both, max_pages).collect()}
+    assert ends == {"other": 0} | ({"k": last, None: last} if landed else {})
+    pages = both.where("keyword = 'k'")
     kept = paging.page_prefix(pages, max_pages).collect()
     assert sorted({r.page_no for r in kept}) == list(range(1, last + 1))
     assert len(kept) == 3 * last
@@ -233,7 +308,34 @@ def test_page_prefix(spark, landed, max_pages, last):
 
 def test_page_prefix_bounds(spark):
     with pytest.raises(ValueError):
-        paging.last_pages(spark.createDataFrame([], "keyword string, page_no int, has_more boolean"), 21)
+        paging.last_pages(spark.createDataFrame([], "keyword string, page_no int, has_more boolean"), 0)
+
+
+def test_run_results_of_keywords_without_products(spark):
+    """Pages without cards, a keyword whose first page is missing, and rows that break rules."""
+    card = '<a href="/p/tea/-/A-{0}"><h3>Green Tea</h3></a>'
+    pages = [
+        ("tea", 1, card.format("12345678") + card.format("12345")), ("none", 1, "<p>nothing</p>"), ("late", 2, card.format("87654321")),
+    ]
+    run = pipeline.run(spark.createDataFrame(pages, "keyword string, page_no int, html string"), max_pages=None)
+    found = {r.keyword: r for r in run.summary().collect()}
+    assert {k: (r.success, r.pages_scraped, r.total_found, r.valid_products, r.invalid_products, r.valid_rate, r.error) for k, r in found.items()} == {
+        "tea": (True, 1, 2, 1, 1, 0.5, None),
+        "none": (False, 1, 0, 0, 0, 0.0, summary.NO_PRODUCTS),
+        "late": (False, 0, 0, 0, 0, 0.0, summary.NO_PRODUCTS),
+    }
+    assert [(r["index"], r.errors) for r in run.invalid_products().collect()] == [(1, ["Invalid TCIN format: 12345"])]
+    assert [r.error for r in run.errors().collect()] == ["Invalid TCIN format: 12345"]
+
+
+def test_details_come_from_the_newest_page_that_a_product_asks_for(spark):
+    filler = "filler " * 30
+    rows = [("u", "UPC: 99999999", 1), ("u", "UPC: 11111111", 2), ("u", "short", 3), ("x", "UPC: 22222222", 1)]
+    pages = spark.createDataFrame(
+        [(u, h if h == "short" else filler + h, n) for u, h, n in rows], "clean_url string, html string, landed_at int"
+    )
+    found = details.newest_per_url(details.extract_details(pages)).select("clean_url", "upc").collect()
+    assert sorted(map(tuple, found)) == [("u", "11111111"), ("x", "22222222")]
 
 
 def test_requests_and_batch_results(spark):
@@ -271,22 +373,5 @@ def test_scans_keep_rows_with_null_keys_and_times(spark):
 def test_pacing_wait_keeps_requests_without_a_time(spark):
     log = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "a", 6)], "event_id bigint, endpoint string, s bigint")
     log = log.withColumn("ts", F.timestamp_seconds("s"))
-    done = {r.event_id: r.admitted_at for r in requests.pacing_wait(log, {"a": (1.0, 2.0)}, 7).collect()}
+    done = {r.event_id: r.admitted_at for r in requests.pacing_wait(log, {"a": (1.0, 2.0)}).collect()}
     assert set(done) == {1, 2, 3} and done[2] is None and done[1] and done[3]
-
-
-def test_streams_lose_no_row_that_comes_late(spark, sf_dir, tmp_path):
-    """Three files out of the order of time, one per batch."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").coalesce(1)
-    cuts = events.approxQuantile("event_id", [1 / 3, 2 / 3], 0)
-    part = sum((F.col("event_id") > c).cast("int") for c in cuts)
-    for place, number in enumerate((2, 0, 1)):
-        events.where(part == number).write.parquet(str(tmp_path / "in" / f"part={place}"))
-    schema = events.schema
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-        .parquet(str(tmp_path / "in"))
-        .select("event_id", F.col("event_type").alias("endpoint"), F.col("ts").cast("timestamp").alias("ts"))
-    )
-    walked = state.pacing_deny(stream, 0.01, 3)
-    assert sorted(r.event_id for r in walked.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
