@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import rolling
 from shelfwise.llm.jaccard import text_key
+from shelfwise.llm.names import spare
 from shelfwise.runtime import staged
 
 # Shortest tile in words, and the share of an item's words that tiles must cover.
@@ -21,51 +21,75 @@ COVERAGE = 0.6
 FILTER_BITS = 1 << 23
 
 
+class Windows:
+    """Rolling hashes of a sequence of word hashes, over windows without marked words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.marked = words, np.zeros(len(words), bool)
+        size = len(words) + 1
+        self.powers = np.ones(size, np.uint64)
+        np.multiply.accumulate(np.full(size - 1, rolling.BASE, np.uint64), out=self.powers[1:])
+        # Sum of words * BASE ** place: two windows are equal if these agree after a shift to one place.
+        self.sums = np.zeros(size, np.uint64)
+        np.cumsum(rolling.mix(words) * self.powers[:-1], out=self.sums[1:])
+
+    def free(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the windows of n unmarked words, by start."""
+        m = len(self.words) - n + 1
+        if m <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hidden = np.concatenate([[0], np.cumsum(self.marked)])
+        start = np.flatnonzero(hidden[n:] == hidden[:m])
+        top = len(self.powers) - 1
+        return start, (self.sums[start + n] - self.sums[start]) * self.powers[top - start]
+
+
 def tile(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (start in text, start in item, length).
 
-    Karp-Rabin hashes of `least` words give the seeds; seeds on one diagonal join to maximal matches; the
-    longest match whose words are all unmarked is marked again and again, ties by position. A match that
-    runs into marked words goes back with its unmarked rests.
+    The longest match of unmarked words is marked again and again, ties by position. Its length is found by
+    Karp-Rabin hashes: if no window of n words is common, none of more words is, so the length is searched by
+    halving; then all matches of that length are marked in one pass. Memory is linear in both sequences, also where a
+    word is repeated throughout.
     """
-
-    def hashes(words: np.ndarray) -> np.ndarray:
-        m = max(0, len(words) - least + 1)
-        out = np.zeros(m, np.uint64)
-        for k in range(least):
-            out = out * rolling.BASE + words[k : k + m]
-        return out
-
-    left, right = hashes(text), hashes(item)
-    order = np.argsort(right, kind="stable")
-    low = np.searchsorted(right[order], left, "left")
-    count = np.searchsorted(right[order], left, "right") - low
-    i = np.repeat(np.arange(len(left)), count)
-    j = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-    # Along a diagonal i - j is fixed; a gap in i ends a match.
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    new = np.ones(len(i), bool)
-    new[1:] = (np.diff(i) != 1) | (np.diff(i - j) != 0)
-    starts = np.flatnonzero(new)
-    lengths = np.diff(starts, append=len(i)) + least - 1
-    heap = [(-int(n), int(i[s]), int(j[s])) for s, n in zip(starts, lengths, strict=True)]
-    heapify(heap)
-    in_text, in_item = np.zeros(len(text), bool), np.zeros(len(item), bool)
-    tiles = []
-    while heap:
-        n, a, b = heappop(heap)
-        n = -n
-        marked = in_text[a : a + n] | in_item[b : b + n]
-        if not marked.any():
-            if (text[a : a + n] == item[b : b + n]).all():
-                in_text[a : a + n] = in_item[b : b + n] = True
-                tiles.append((a, b, n))
-            continue
-        free = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]]).astype(np.int8)))
-        for start, end in zip(free[::2], free[1::2], strict=True):
-            if end - start >= least:
-                heappush(heap, (-int(end - start), a + int(start), b + int(end - (end - start))))
+    size = max(len(text), len(item))
+    left, right = Windows(text), Windows(item)
+    # One base of places for both, so that their hashes can be compared.
+    powers = left.powers if len(text) == size else right.powers
+    left.powers = right.powers = powers
+    tiles: list[tuple[int, int, int]] = []
+
+    def common(n: int) -> bool:
+        (_, a), (_, b) = left.free(n), right.free(n)
+        return bool(len(a) and len(b) and np.isin(b, a).any())
+
+    most = min(len(text), len(item))
+    while most >= least and common(least):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        (starts, a), (places, b) = left.free(low), right.free(low)
+        order = np.argsort(b, kind="stable")
+        known, first = np.unique(b[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        at = np.searchsorted(known, a)
+        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == a)
+        pointer = first.copy()
+        last = -1
+        for i, group in zip(starts[hit].tolist(), at[hit].tolist(), strict=True):
+            if i <= last:
+                continue
+            # Marks only grow: a place that has been passed stays passed.
+            for p in range(pointer[group], ends[group]):
+                j = int(places[order[p]])
+                if not right.marked[j : j + low].any() and (text[i : i + low] == item[j : j + low]).all():
+                    left.marked[i : i + low] = right.marked[j : j + low] = True
+                    tiles.append((i, j, low))
+                    last = i + low - 1
+                    break
+                pointer[group] = p + 1
+        most = low - 1
     return tiles
 
 
@@ -254,11 +278,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` whose text holds no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, **options).select(F.col("text_key").alias("__key")).distinct()
-    return docs.withColumn("__key", text_key()).join(found, "__key", "left_anti").select(docs.columns)
+    (key,) = spare(docs, "leak_key")
+    found = leaks(docs, benchmark, **options).select(F.col("text_key").alias(key)).distinct()
+    return docs.withColumn(key, text_key()).join(found, key, "left_anti").select(docs.columns)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of `documents` against all items of `benchmark`."""
     return contaminated(
         spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import rolling
 from shelfwise.llm.graph import components
+from shelfwise.llm.names import spare
 from shelfwise.runtime import staged
 
 NGRAM = 5
@@ -277,13 +278,20 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Texts without words all stay. Of rows that repeat the kept doc_id and text, one stays.
     """
-    classes = text_classes(docs, **options).select(
-        F.col("node").alias("__node"), F.col("first_id").alias("__first"), F.col("chosen").alias("__chosen")
+    node, first, chosen = spare(docs, "copy_node", "copy_first", "copy_chosen")
+    # Only texts with copies or in a class of several are looked up: mostly a small table, which then is sent to
+    # the documents instead of the other way round.
+    classes = text_classes(docs, **options)
+    affected = staged(
+        classes.where(~F.col("chosen") | (F.col("copies") > 1)).select(
+            F.col("node").alias(node), F.col("first_id").alias(first), F.col("chosen").alias(chosen)
+        ),
+        "affected",
     )
-    joined = docs.withColumn("__node", text_key()).join(classes, "__node", "left")
-    wordless = joined.where(F.col("__chosen").isNull())
-    kept = joined.where(F.col("__chosen") & F.col("doc_id").eqNullSafe(F.col("__first")))
-    return kept.dropDuplicates(["__node"]).unionByName(wordless).select(docs.columns)
+    joined = docs.withColumn(node, text_key()).join(affected, node, "left")
+    rest = joined.where(F.col(chosen).isNull())
+    kept = joined.where(F.col(chosen) & F.col("doc_id").eqNullSafe(F.col(first)))
+    return kept.dropDuplicates([node]).unionByName(rest).select(docs.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

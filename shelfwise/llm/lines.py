@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import rolling
 from shelfwise.llm.graph import components
+from shelfwise.llm.names import spare
 from shelfwise.runtime import staged
 
 # Two lines are linked if their SimHashes differ in at most MAX_BITS bits and their edit similarity,
@@ -425,16 +426,19 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     return lines, repeated.select("doc_key", "at").distinct()
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, gone = batch.column("text").to_pylist(), batch.column("__gone").to_pylist()
-        for i, at in enumerate(gone):
-            if at:
-                at = set(at)
-                texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in at)
-        names = [n for n in batch.schema.names if n != "__gone"]
-        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays(columns, names)
+def _rebuild(gone_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column("text").to_pylist(), batch.column(gone_name).to_pylist()
+            for i, at in enumerate(gone):
+                if at:
+                    at = set(at)
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in at)
+            names = [n for n in batch.schema.names if n != gone_name]
+            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -443,17 +447,18 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     All columns stay as they are but `text`, and `n_chars` where there is one. Documents that had no word
     (null and empty texts) stay as they are.
     """
+    key, gone_at, lost = spare(docs, "line_key", "lines_gone", "lost_lines")
     _, repeated = repeated_lines(docs, similarity)
-    gone = repeated.groupBy("doc_key").agg(F.collect_list("at").alias("__gone"))
-    joined = docs.withColumn("__key", document_key()).join(gone.withColumnRenamed("doc_key", "__key"), "__key", "left")
-    rebuilt = joined.drop("__key").withColumn("__lost", F.col("__gone").isNotNull())
-    schema = rebuilt.drop("__gone").schema
-    rebuilt = rebuilt.mapInArrow(_rebuild, schema)
-    rebuilt = rebuilt.where(~F.col("__lost") | F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))
+    gone = repeated.groupBy("doc_key").agg(F.collect_list("at").alias(gone_at))
+    joined = docs.withColumn(key, document_key()).join(gone.withColumnRenamed("doc_key", key), key, "left")
+    rebuilt = joined.drop(key).withColumn(lost, F.col(gone_at).isNotNull())
+    schema = rebuilt.drop(gone_at).schema
+    rebuilt = rebuilt.mapInArrow(_rebuild(gone_at), schema)
+    rebuilt = rebuilt.where(~F.col(lost) | F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         rebuilt = rebuilt.withColumn(
-            "n_chars", F.when(F.col("__lost"), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+            "n_chars", F.when(F.col(lost), F.length("text").cast(kind)).otherwise(F.col("n_chars"))
         )
     return rebuilt.select(docs.columns)
 

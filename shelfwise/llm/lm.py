@@ -23,7 +23,10 @@ WIDTH = 16
 NOISE = 48  # noise words per minibatch
 BATCH = 4096
 RATE = 0.25
-ROUNDS = 2  # each round takes its share of the texts; models are averaged after it
+ROUNDS = 2  # after each round the models of all shards are averaged
+EPOCHS = 2  # passes of a round over its texts
+# Training tokens of a shard, about: what one model learns from before it is averaged with the others.
+SHARD_TOKENS = 400_000
 BLOCK_BYTES = 8_000_000
 END = 0
 START = CLASSES  # context before the first word
@@ -168,41 +171,103 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _train(vocabulary: Vocabulary, shares: np.ndarray, start: np.ndarray):
+def _encode(vocabulary: Vocabulary):
+    """Texts as the classes of their tokens, two bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(Model.of(start.copy()), shares, SEED)
-        seen = 0
         for batch in batches:
             for part in rolling.pieces(batch, "text"):
                 words, endings = tokens(part.column("text"))
-                classes = vocabulary.classes(words.hash, endings)
-                targets, contexts, _, _ = sequences(words, classes, part.num_rows)
-                for i in range(0, len(targets), BATCH):
-                    trainer.learn(contexts[i : i + BATCH], targets[i : i + BATCH])
-                seen += len(targets)
+                targets, _, rows, _ = sequences(words, vocabulary.classes(words.hash, endings), part.num_rows)
+                raw = targets.astype(np.uint16)
+                offsets = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32) * 2
+                values = pa.BinaryArray.from_buffers(
+                    pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+                )
+                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("tie"), values], ["shard", "tie", "classes"])
+
+    return run
+
+
+def _contexts_of(targets: np.ndarray) -> np.ndarray:
+    """The CONTEXT classes before each token of whole texts; each text ends with END."""
+    ends = np.flatnonzero(targets == END)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    since = np.arange(len(targets)) - np.repeat(begins, ends - begins + 1)
+    contexts = np.full((len(targets), CONTEXT), START, np.int64)
+    for k in range(1, CONTEXT + 1):
+        known = np.flatnonzero(since >= k)
+        contexts[known, k - 1] = targets[known - k]
+    return contexts
+
+
+def _train(shares: np.ndarray, start: np.ndarray):
+    """Rows sorted by (shard, tie): a model per shard, summed over the shards of the task."""
+
+    def learned(texts: list[bytes]) -> tuple[np.ndarray, int]:
+        targets = np.frombuffer(b"".join(texts), np.uint16).astype(np.int64)
+        contexts = _contexts_of(targets)
+        trainer = Trainer(Model.of(start.copy()), shares, SEED)
+        order = np.random.default_rng(SEED)
+        for _ in range(EPOCHS):
+            for i in order.permutation(np.arange(0, len(targets), BATCH)):
+                trainer.learn(contexts[i : i + BATCH], targets[i : i + BATCH])
+        return trainer.model.vector(), len(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(start)), 0
+        shard, texts, held = None, [], 0
+
+        def end() -> None:
+            nonlocal total, seen, texts, held
+            if texts:
+                vector, n = learned(texts)
+                total, seen, texts, held = total + vector.astype(np.float64) * n, seen + n, [], 0
+
+        for batch in batches:
+            for now, classes in zip(batch["shard"].to_pylist(), batch["classes"].to_pylist(), strict=True):
+                # A shard beyond its size (one text in very many copies) is learned in pieces of that size.
+                if now != shard or held > 4 * SHARD_TOKENS:
+                    end()
+                shard = now
+                texts.append(classes)
+                held += len(classes) // 2
+        end()
         if seen:
-            vector = trainer.model.vector()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(vector)), pa.int32()), pa.array(vector * float(seen), pa.float64()),
-                 pa.array(np.full(len(vector), float(seen)), pa.float64())], ["at", "sum", "weight"],
-            )
+                [pa.array(np.arange(len(start)), pa.int32()), pa.array(total), pa.array(np.full(len(start), float(seen)))],
+                ["at", "sum", "weight"],
+            )
 
     return run
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray) -> np.ndarray:
-    """Parameters after ROUNDS rounds. In each, every task trains on its texts of the round from the common
-    start, and the results are averaged by tokens: a vector of fixed size, whatever the corpus."""
+def train(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, n_tokens: int) -> np.ndarray:
+    """Parameters after ROUNDS rounds over all texts.
+
+    Texts are dealt to shards by a hash, of about SHARD_TOKENS tokens each, and a shard is learned in the order of
+    another hash: so the result does not depend on partitions. In each round every shard starts from the common
+    parameters; what comes back is averaged by tokens, a vector of fixed size, whatever the corpus. Texts travel
+    as two bytes a token.
+    """
     vector = Model.fresh(shares).vector()
-    for r in range(ROUNDS):
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)
+    shards = n_tokens // SHARD_TOKENS + 1
+    tie = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")
+    dealt = docs.select("text", tie.alias("tie")).withColumn("shard", F.pmod("tie", F.lit(shards)))
+    encoded = staged(
+        dealt.select("shard", F.xxhash64("tie").alias("tie"), "text").mapInArrow(
+            _encode(vocabulary), "shard long, tie long, classes binary"
+        ),
+        "encoded",
+    )
+    for _ in range(ROUNDS):
         rows = (
-            part.select("text")
-            .mapInArrow(_train(vocabulary, shares, vector), "at int, sum double, weight double")
+            encoded.repartition("shard").sortWithinPartitions("shard", "tie")
+            .mapInArrow(_train(shares, vector), "at int, sum double, weight double")
             .groupBy("at")
             .agg((F.sum("sum") / F.sum("weight")).alias("mean"))
             .collect()
-        )
+        )
         for row in rows:
             vector[row["at"]] = row["mean"]
     return vector
@@ -276,7 +341,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     Tokens are words between ASCII white space with A-Z in lower case, and one end per text. Words are
     known by 64-bit hashes. Counts cover all training texts, and the model trains on all of them; what
-    goes to every task is the model and its TOP words, of fixed size. Word counts reach the texts by
+    goes to every task is the model and its TOP words, of fixed size. The network itself tells the end and the
+    TOP words apart; of other words it gives the class, and counts give the share within it (on the given
+    tables the network decides alone on about a third of the tokens). Word counts reach the texts by
     blocks of about BLOCK_BYTES: each block asks once for each of its words. A null text is empty and has
     its end alone. A null doc_id is not held out. Repeated rows are scored and learned one by one. Without
     training texts all counts are 0 and the model is uniform but for its random start.
@@ -306,7 +373,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     total, distinct = int(totals.sum()), int(sizes.sum()) if ends else 0
     shares = (totals + 1) / (totals + 1).sum()
     vocabulary = Vocabulary(np.array([w for w, _ in top], np.int64).view(np.uint64))
-    vector = train(training, vocabulary, shares)
+    vector = train(training, vocabulary, shares, total)
 
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(volume // BLOCK_BYTES) + 1
@@ -321,4 +388,5 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of `documents`, learned from those that are not held out."""
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.names import spare
 from shelfwise.runtime import staged
 
 SEED = "mix-1"
@@ -70,38 +71,40 @@ def mix(
     """`docs` (doc_id, text, source, ...) with each row repeated as a Poisson draw says, in random order.
 
     The draw inverts the distribution of the source's rate at a hash of seed and doc_id, so it does not
-    depend on partitions, order or retries. Adds `copy` (from 1) and `shuffle_key`; rows are dealt to
+    depend on partitions, order or retries. Adds `copy` (from 1) and `shuffle_key` in place of columns of these names; rows are dealt to
     partitions by a hash and sorted by shuffle_key inside them. Rows with the same doc_id share a draw; for a
     null doc_id the hash of the text stands in. Null texts have size 0. An empty table gives no rows.
     """
+    names = ("of_source", "n_draws", "draw_cdf", "draw_key", "drawn", "n_times", "n_copy")
+    source, draws, cdf, identity, drawn, times, number = spare(docs, *names)
     rates = staged(
         source_rates(docs, weights, power, epochs)
         .withColumn("draws", F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int"))
         .withColumn("cdf", poisson_cdf(F.col("rate") / F.col("draws")))
-        .select(F.col("source").alias("__source"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf")),
+        .select(F.col("source").alias(source), F.col("draws").alias(draws), F.col("cdf").alias(cdf)),
         "rates",
     )
-    identity = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).withColumn("__identity", identity)
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    joined = docs.join(rates, docs["source"].eqNullSafe(rates[source])).withColumn(identity, own)
     joined = joined.withColumn(
-        "__u",
+        drawn,
         F.transform(
-            F.sequence(F.lit(1), F.col("__draws")),
-            lambda k: uniform(F.lit(seed), F.col("__identity"), k.cast("string")),
+            F.sequence(F.lit(1), F.col(draws)),
+            lambda k: uniform(F.lit(seed), F.col(identity), k.cast("string")),
         ),
     )
-    times = F.aggregate(
-        "__u",
+    count = F.aggregate(
+        drawn,
         F.lit(0),
-        lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u)),
+        lambda n, u: n + F.size(F.filter(cdf, lambda c: c <= u)),
     )
-    copies = joined.withColumn("__times", times).where("__times > 0")
-    exploded = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "__identity", F.col("__copy").cast("string")))
+    copies = joined.withColumn(times, count).where(F.col(times) > 0)
+    exploded = copies.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), identity, F.col(number).cast("string")))
     return (
         exploded.select(
             *[docs[c] for c in docs.columns if c not in ("copy", "shuffle_key")],
-            F.col("__copy").alias("copy"),
+            F.col(number).alias("copy"),
             key.alias("shuffle_key"),
         )
         .repartition("shuffle_key")
@@ -110,6 +113,7 @@ def mix(
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of `documents` mixed by the square root of their sources' sizes."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -7,6 +7,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.llm.names import spare
 from shelfwise.runtime import staged
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -155,7 +156,8 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options)
     """`docs` (doc_id, text, and the stratum) with the struct `__q` of measures and the boolean `__kept`.
 
     Measures are taken once and written down; cutoffs come from those of the labelled documents. A null
-    text has no words and fails the base rules. A null or unlabelled stratum keeps what the base rules keep.
+    text has no words and fails the base rules. A null stratum is a stratum of its own; one without labels keeps what
+    the base rules keep.
     Repeated rows are judged one by one. Labels of unknown documents and null ids are ignored. Without
     labels only the base rules act. An empty table gives no rows.
     """
@@ -171,8 +173,11 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that pass all rules."""
-    return judged(docs, labels, **options).where("__kept").select(docs.columns)
+    """The rows of `docs` that pass all rules. Columns whose names begin with two underscores are set aside meanwhile."""
+    own = [c for c in docs.columns if c.startswith("__")]
+    aside = dict(zip(own, spare(docs, *[f"column_{i}" for i in range(len(own))]), strict=True))
+    kept = judged(docs.withColumnsRenamed(aside), labels, **options).where("__kept")
+    return kept.select([aside.get(c, c) for c in docs.columns]).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

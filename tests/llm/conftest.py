@@ -5,7 +5,10 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use inside: a table may bring them along.
-CLASHING = ("node", "key", "root", "line", "copy", "part", "stratum", "text_key", "word", "block", "anchor", "tie", "host")
+CLASHING = (
+    "node", "key", "root", "line", "copy", "part", "stratum", "text_key", "word", "block", "anchor", "tie", "host",
+    "__times", "__key", "__first", "__map", "n_times", "line_key", "lines_gone", "copy_node", "leak_key",
+)
 
 
 @pytest.fixture(scope="session")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -33,6 +34,15 @@ def plain_tiles(text, item, least):
         out.append(best)
 
 
+def test_tiling_of_repeated_words_takes_linear_memory():
+    one = np.full(40_000, 7, np.uint64)
+    assert decontam.tile(one, one[:20_000], 5) == [(0, 0, 20_000)]
+    text, item = np.tile(np.array([1, 2], np.uint64), 20_000), np.tile(np.array([2, 1, 3], np.uint64), 7_000)
+    began = time.process_time()
+    assert sum(n for _, _, n in decontam.tile(text, item, 2)) == 14_000
+    assert time.process_time() - began < 20
+
+
 def words(text):
     return re.findall(r"[a-z0-9]+", (text or "").lower())
 

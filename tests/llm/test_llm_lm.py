@@ -45,6 +45,18 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+def test_scores_do_not_depend_on_partitions_and_beat_the_base(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    held = [r for r in lm.score_texts(docs).collect() if r.held_out]
+    mean = sum(r.score for r in held) / sum(r.n_tokens for r in held)
+    assert mean > sum(r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert SEEN.setdefault("mean", mean) == pytest.approx(mean, rel=1e-6)
+
+
+SEEN = {}
+
+
 def test_nulls_repeats_and_unknown_words(documents):
     rows = [(1, "A b  a\tB"), (1, "A b  a\tB"), (2, None), (3, ""), (None, "é B"), (5, "x" * 5000 + " a")]
     rows += [(i, "never seen") for i in range(6, 40) if zlib.crc32(str(i).encode()) % 7 == 2]

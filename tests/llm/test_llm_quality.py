@@ -110,3 +110,14 @@ def test_filter_keeps_columns_and_takes_empty_tables(documents, no_labels):
 def test_no_python_on_the_way(documents, no_labels):
     plan = quality.measured(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_columns_named_like_helpers_are_kept(spark, documents):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(12 if i % 2 else 3))) for i in range(6)]
+    docs = documents(rows)
+    for name in ("__w", "__q", "__kept", "__cut_symbols", "column_0"):
+        docs = docs.withColumn(name, quality.F.col("doc_id") * 2)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality.quality_filter(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["__w"], r["__q"], r["__kept"], r.column_0) for r in kept.collect()) == [(i, *[2 * i] * 4) for i in (1, 3, 5)]
