@@ -75,21 +75,27 @@ def definition_pairs(html: Column) -> Column:
     """
     pieces = F.split(html, r"(?i)(?=<dd[\s>])")
 
-    def of_piece(piece: Column, i: Column) -> Column:
-        definition = F.regexp_extract(F.get(pieces, i + 1), _DEFINITION, 1)
+    def of_piece(piece: Column, following: Column) -> Column:
         here = F.regexp_replace(piece, r"(?is)^.*</dl", "")
-        return F.transform(
-            F.regexp_extract_all(here, F.lit(_TERM), F.lit(1)),
-            lambda term: F.struct(
-                markup.raw_text(term).alias("term"), markup.tight_text(definition).alias("definition")
-            ),
+        terms = F.regexp_extract_all(here, F.lit(_TERM), F.lit(1))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            F.when(following.isNull(), none).otherwise(terms).alias("terms"),
+            markup.tight_text(F.regexp_extract(following, _DEFINITION, 1)).alias("definition"),
         )
 
-    last = F.size(pieces) - 1
-    found = F.flatten(
-        F.transform(pieces, lambda piece, i: F.when(i < last, of_piece(piece, i)).otherwise(F.array()))
+    # A zip, as an index into the pieces would cut the page anew for each of them.
+    found = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), of_piece)
+    pairs = F.flatten(
+        F.transform(
+            found,
+            lambda one: F.transform(
+                one["terms"],
+                lambda term: F.struct(markup.raw_text(term).alias("term"), one["definition"].alias("definition")),
+            ),
+        )
     )
-    return F.transform(found, lambda p, i: F.struct(i.alias("pos"), p["term"], p["definition"]))
+    return F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p["term"], p["definition"]))
 
 
 def _first(values: Column) -> Column:

@@ -46,7 +46,9 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search pages as a crawl leaves them: a table of files."""
-    return spread(staged(derived.listing_pages(spark, sf_dir), "landed"))
+    path = work_dir(spark, "landed")
+    derived.listing_pages(spark, sf_dir).write.parquet(path)
+    return spread(landing.scan_pages(spark, path))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:

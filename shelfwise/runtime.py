@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -32,11 +34,14 @@ def session(app: str = "shelfwise", master: str | None = None, **conf: str) -> S
 
 @functools.cache
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="shelfwise-")
+    """For sessions that run on this machine alone; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="shelfwise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder named by the cluster.
+def work_root(spark: SparkSession) -> str:
+    """The folder for all intermediates of this application, under the shared folder named by the cluster.
 
     A machine-local folder is used only when the whole session runs on this machine.
     """
@@ -45,7 +50,19 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
         root = _local_root()
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/shelfwise-{spark.sparkContext.applicationId}"
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for one intermediate."""
+    return f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediates of this application. Results that have not been written elsewhere cannot be read
+    after it, so it is the owner of the application who calls it, at its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
