@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import shake_256
 
 import pyarrow as pa
@@ -139,7 +139,6 @@ def _keyed(key: str, *parts: object, bits: int = 64) -> int:
     return int.from_bytes(shake_256(message).digest(bits + 7 >> 3), "big") & (1 << bits) - 1
 
 
-@functools.lru_cache(maxsize=65_536)
 def _permuted(key: str, kind: str, size: int, x: int, back: bool = False) -> int:
     """A keyed permutation of 0 .. size - 1, by a balanced Feistel network walked until it is back in range."""
     half = max(1, (size - 1).bit_length() + 1 >> 1)
@@ -218,7 +217,6 @@ def _iban_check(bban: str, country: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in bban + country + "00")) % 97
 
 
-@functools.lru_cache(maxsize=65_536)
 def surrogate(kind: str, entity: str, key: str) -> str:
     """Replacement of an entity, itself in the plain form of `find`; a function of key, kind and entity alone.
 
@@ -293,11 +291,11 @@ def in_form_of(mention: str, kind: str, value: str) -> str:
     return value
 
 
-def replaced(text: str, key: str) -> tuple[str, int]:
-    """The text with surrogates, and how many mentions were replaced."""
+def replaced(text: str, give: Callable[[str, str], str]) -> tuple[str, int]:
+    """The text with the surrogates that `give` has for (kind, entity), and how many mentions were replaced."""
     out, at, count = [], 0, 0
     for start, end, kind, entity in find(text):
-        out += [text[at:start], in_form_of(text[start:end], kind, surrogate(kind, entity, key))]
+        out += [text[at:start], in_form_of(text[start:end], kind, give(kind, entity))]
         at, count = end, count + 1
     return "".join([*out, text[at:]]), count
 
@@ -336,8 +334,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     kept = docs.select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = functools.lru_cache(maxsize=65_536)(functools.partial(surrogate, key=key))
         for batch in batches:
-            pairs = [(text, 0) if not text else replaced(text, key) for text in batch["text"].to_pylist()]
+            pairs = [(text, 0) if not text else replaced(text, give) for text in batch["text"].to_pylist()]
             texts = pa.array([text for text, _ in pairs], pa.string())
             arrays = [texts if n == "text" else batch[n] for n in batch.schema.names]
             counts = pa.array([count for _, count in pairs], pa.int64())
