@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import text
 from shelfwise.operators import scan, stateful
+from shelfwise.operators.stateful import Rule, StateMap
 
 # What is retried, how often, and how long results live.
 RETRYABLE_CODES = [429, 500, 502, 503, 504]
@@ -154,7 +155,7 @@ def walk_bucket(
     return allowed, full_at
 
 
-def cache_map(times: np.ndarray, ttl: int, ok: np.ndarray | None = None) -> stateful.StateMap:
+def cache_map(times: np.ndarray, ttl: int, ok: np.ndarray | None = None) -> StateMap:
     """All end states of `walk_cache` for starts up to the TTL after the first time.
 
     A start that expires between two requests is renewed by the next one that is ok, and each renewal leads to the first
@@ -185,10 +186,10 @@ def cache_map(times: np.ndarray, ttl: int, ok: np.ndarray | None = None) -> stat
         values, moves = np.append(values, 0), np.append(moves, True)
     kept = np.append((np.diff(values) != 0) | (moves[1:] != moves[:-1]), True)
     kept[0] = True
-    return stateful.StateMap(edges[kept], moves[kept], values[kept])
+    return StateMap(edges[kept], moves[kept], values[kept])
 
 
-def bucket_map(times: np.ndarray, spacing: int, burst: int, ok: np.ndarray | None = None) -> stateful.StateMap:
+def bucket_map(times: np.ndarray, spacing: int, burst: int, ok: np.ndarray | None = None) -> StateMap:
     """All end states of `walk_bucket` for starts up to `burst` after the first time.
 
     All starts are walked at once, as pieces: a request moves the starts that it lets through by `spacing`, and gives all
@@ -219,18 +220,18 @@ def bucket_map(times: np.ndarray, spacing: int, burst: int, ok: np.ndarray | Non
                     add(edge, True, value)
             low = edge
         pieces = walked
-    return stateful.StateMap(*(np.array(column) for column in zip(*pieces, strict=True)))
+    return StateMap(*(np.array(column) for column in zip(*pieces, strict=True)))
 
 
-def cache_rule(ttl_seconds: int) -> stateful.Rule:
+def cache_rule(ttl_seconds: int) -> Rule:
     ttl = ttl_seconds * MICROS
-    return stateful.Rule(partial(walk_cache, ttl=ttl), partial(cache_map, ttl=ttl))
+    return Rule(partial(walk_cache, ttl=ttl), partial(cache_map, ttl=ttl))
 
 
-def bucket_rule(rate: float, capacity: int) -> stateful.Rule:
+def bucket_rule(rate: float, capacity: int) -> Rule:
     spacing = round(MICROS / rate)
     sizes = {"spacing": spacing, "burst": spacing * capacity}
-    return stateful.Rule(partial(walk_bucket, **sizes), partial(bucket_map, **sizes))
+    return Rule(partial(walk_bucket, **sizes), partial(bucket_map, **sizes))
 
 
 def cache_hits(

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import scan
+from shelfwise.operators.scan import PART
 from shelfwise.runtime import staged
 
 # Rows of a block, about.
@@ -61,7 +62,7 @@ class Rule:
 
 def _runs(batch: pd.DataFrame, key: str) -> Iterator[tuple[tuple, slice]]:
     """Consecutive rows of one (key, block) in a sorted batch. Null keys are one key."""
-    keys, blocks = batch[key], batch[scan.PART].to_numpy()
+    keys, blocks = batch[key], batch[PART].to_numpy()
     codes = pd.factorize(keys, use_na_sentinel=True)[0]
     cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1
     edges = [0, *cuts.tolist(), len(batch)]
@@ -93,7 +94,7 @@ def _maps(batches: Iterator[pd.DataFrame], key: str, rule: Rule) -> Iterator[pd.
     def row() -> pd.DataFrame:
         found = rule.state_map(np.concatenate(times), ok=np.concatenate(oks))
         return pd.DataFrame(
-            {key: [current[0]], scan.PART: [current[1]], "edges": [found.edges], "moves": [found.moves], "ends": [found.values]}
+            {key: [current[0]], PART: [current[1]], "edges": [found.edges], "moves": [found.moves], "ends": [found.values]}
         )
 
     for batch in batches:
@@ -124,7 +125,7 @@ def _starts(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
                 current, state = (one,), None
             state = StateMap(np.asarray(edges), np.asarray(moves), np.asarray(ends))(state)
             out.append((one, following, state))
-        yield pd.DataFrame(out, columns=[key, scan.PART, "start"])
+        yield pd.DataFrame(out, columns=[key, PART, "start"])
 
 
 def _start_states(blocks: DataFrame, key: str, rule: Rule) -> DataFrame | None:
@@ -134,34 +135,34 @@ def _start_states(blocks: DataFrame, key: str, rule: Rule) -> DataFrame | None:
     """
     of_key = Window.partitionBy(key)
     crossing = staged(
-        blocks.select(key, scan.PART)
-        .groupBy(key, scan.PART)
+        blocks.select(key, PART)
+        .groupBy(key, PART)
         .agg(F.count("*").alias("n"))
-        .withColumn("following", F.lead(scan.PART).over(of_key.orderBy(scan.PART)))
+        .withColumn("following", F.lead(PART).over(of_key.orderBy(PART)))
         .where(F.col("following").isNotNull())
-        .select(key, scan.PART, "following"),
+        .select(key, PART, "following"),
         "crossing",
     )
     if crossing.isEmpty():
         return None
     kind = dict(blocks.dtypes)[key]
-    rows = scan.join_null_safe(blocks, F.broadcast(crossing), [key, scan.PART])
+    rows = scan.join_null_safe(blocks, F.broadcast(crossing), [key, PART])
     maps = _in_order(rows, key).mapInPandas(
         lambda batches: _maps(batches, key, rule),
-        f"{key} {kind}, {scan.PART} int, edges array<bigint>, moves array<boolean>, ends array<bigint>",
+        f"{key} {kind}, {PART} int, edges array<bigint>, moves array<boolean>, ends array<bigint>",
     )
     # The maps are made by many tasks; one task per key then reads them.
-    maps = scan.join_null_safe(staged(maps, "maps"), F.broadcast(crossing), [key, scan.PART])
+    maps = scan.join_null_safe(staged(maps, "maps"), F.broadcast(crossing), [key, PART])
     starts = (
         maps.repartition(key)
-        .sortWithinPartitions(key, scan.PART)
-        .mapInPandas(lambda batches: _starts(batches, key), f"{key} {kind}, {scan.PART} int, start bigint")
+        .sortWithinPartitions(key, PART)
+        .mapInPandas(lambda batches: _starts(batches, key), f"{key} {kind}, {PART} int, start bigint")
     )
     return staged(starts, "starts")
 
 
 def _in_order(blocks: DataFrame, key: str) -> DataFrame:
-    return blocks.repartition(key, scan.PART).sortWithinPartitions(key, scan.PART, "at", "tie")
+    return blocks.repartition(key, PART).sortWithinPartitions(key, PART, "at", "tie")
 
 
 def walk(
@@ -184,7 +185,7 @@ def walk(
     if starts is None:
         known = blocks.withColumn("start", F.lit(None).cast("bigint"))
     else:
-        known = scan.join_null_safe(blocks, F.broadcast(starts), [key, scan.PART], "left")
+        known = scan.join_null_safe(blocks, F.broadcast(starts), [key, PART], "left")
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, flags in _flagged(batches, key, rule):
