@@ -23,8 +23,7 @@ WIDTH = 16
 NOISE = 48  # noise words per minibatch
 BATCH = 4096
 RATE = 0.25
-ROUNDS = 2  # after each round the models of all shards are averaged
-EPOCHS = 2  # passes of a round over its texts
+ROUNDS = 2  # each round takes its share of the texts of a shard; after it the models of all shards are averaged
 # Training tokens of a shard, about: what one model learns from before it is averaged with the others.
 SHARD_TOKENS = 400_000
 BLOCK_BYTES = 8_000_000
@@ -208,10 +207,8 @@ def _train(shares: np.ndarray, start: np.ndarray):
         targets = np.frombuffer(b"".join(texts), np.uint16).astype(np.int64)
         contexts = _contexts_of(targets)
         trainer = Trainer(Model.of(start.copy()), shares, SEED)
-        order = np.random.default_rng(SEED)
-        for _ in range(EPOCHS):
-            for i in order.permutation(np.arange(0, len(targets), BATCH)):
-                trainer.learn(contexts[i : i + BATCH], targets[i : i + BATCH])
+        for i in range(0, len(targets), BATCH):
+            trainer.learn(contexts[i : i + BATCH], targets[i : i + BATCH])
         return trainer.model.vector(), len(targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +240,7 @@ def _train(shares: np.ndarray, start: np.ndarray):
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, n_tokens: int) -> np.ndarray:
-    """Parameters after ROUNDS rounds over all texts.
+    """Parameters after one pass over all texts, in ROUNDS rounds.
 
     Texts are dealt to shards by a hash, of about SHARD_TOKENS tokens each, and a shard is learned in the order of
     another hash: so the result does not depend on partitions. In each round every shard starts from the common
@@ -260,14 +257,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, n_tokens:
         ),
         "encoded",
     )
-    for _ in range(ROUNDS):
+    for r in range(ROUNDS):
         rows = (
-            encoded.repartition("shard").sortWithinPartitions("shard", "tie")
+            encoded.where(F.pmod("tie", F.lit(ROUNDS)) == r)
+            .repartition("shard")
+            .sortWithinPartitions("shard", "tie")
             .mapInArrow(_train(shares, vector), "at int, sum double, weight double")
             .groupBy("at")
             .agg((F.sum("sum") / F.sum("weight")).alias("mean"))
             .collect()
-        )
+        )
         for row in rows:
             vector[row["at"]] = row["mean"]
     return vector
