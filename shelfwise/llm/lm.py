@@ -273,7 +273,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, n_tokens:
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block) of every word that stands in a block."""
+    """(word, block) of every word that stands in a block; a word can come once for each piece of a large block."""
     for batch in batches:
         for part in rolling.pieces(batch, "text"):
             words = rolling.spaced_words(part.column("text"))
@@ -377,7 +377,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(volume // BLOCK_BYTES) + 1
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    asked = blocked.select("text", "block").mapInArrow(_ask, "word long, block long").distinct()
+    asked = blocked.select("text", "block").mapInArrow(_ask, "word long, block long")
     answers = asked.join(counts.select("word", "n"), "word").select("block", "word", "n")
     scored = _score(vocabulary, vector, totals, sizes, total, distinct, ends)
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
