@@ -124,3 +124,19 @@ def test_work_folders_go_when_their_owner_releases_them(spark, tmp_path, monkeyp
     assert list(Path(tmp_path, "shared").glob("shelfwise-*/some-*/part-*"))
     runtime.release(spark)
     assert not list(Path(tmp_path, "shared").glob("shelfwise-*"))
+
+
+def test_job_products_gives_every_product_of_each_completed_job(spark, tmp_path):
+    from shelfwise.plans.catalog import QUERIES
+
+    made = [(k, f"tin {k}", f"Brand#{11 + k % 2}", 1.5) for k in range(1, 12)]
+    parts = spark.createDataFrame(made, "p_partkey bigint, p_name string, p_brand string, p_retailprice double")
+    seen = [(1, 1, 11, "view"), (2, 2, 11, "purchase"), (3, 1, 41, "purchase"), (4, 1, 12, "purchase"), (5, 2, 12, "error")]
+    events = spark.createDataFrame(seen, "event_id bigint, s bigint, user_id bigint, event_type string")
+    events = events.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"))
+    for name, table in (("part", parts), ("events", events)):
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = QUERIES["job_products"](spark, str(tmp_path))
+    # Part 11 is listed twice; its brand and those of the other odd keys is Brand#12.
+    assert {(r.job_id, r.title) for r in found.collect()} == {(j, f"tin {k}") for j in (11, 41) for k in (2, 4, 6, 8, 10)}
+    assert found.count() == 10
