@@ -4,6 +4,9 @@ Rows of a key wait in a buffer until the watermark has passed them, and until th
 the answers of later ones: a batch puts out every answer that is new or has changed, and the newest one counts. So
 answers come at once and end up as if all rows had come in order. The event time is hidden from Spark
 behind the operator, which would drop rows behind the watermark; here they go to a side table instead.
+
+Keys are dealt to a fixed number of buckets by hash, and Spark groups by bucket. What a call of the processor costs is paid
+once per bucket and batch instead of once per key; inside a bucket rows are columns of numbers, a slice per key.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -28,8 +32,16 @@ from shelfwise.streaming.runner import drained_table, stored_table
 # How far out of order rows may come, and how long a key without new rows is remembered.
 LATENESS = "10 minutes"
 RETENTION_SECONDS = 30 * 86_400
-# Rows of one piece of a buffer.
+# Rows of one piece of a buffer, or of the answers, and pieces that go to the state store in one message.
 PIECE = 10_000
+PIECES = 8
+# Buckets of keys. Checkpoints hold state by bucket, so the number is fixed.
+BUCKETS = 256
+BUCKET = "_bucket"
+ARROW_TYPES = {
+    "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "boolean": pa.bool_(),
+    "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "date": pa.date32(),
+}
 
 
 def event_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -59,12 +71,18 @@ def live_jobs(events: DataFrame, out: str | None = None) -> DataFrame:
 
 
 class Sequence(Protocol):
-    """A rule over the rows of a key in order: columns it reads and keeps, and its answers as numbers."""
+    """A rule over the rows of a key in order: columns it reads and keeps, and its answers, numbers from 0."""
 
     reads: str
     state: str
 
-    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]: ...
+    def columns(self, rows: pa.Table) -> dict[str, np.ndarray]:
+        """What the rule needs of the rows of a bucket, without nulls."""
+        ...
+
+    def answers(self, rows: dict[str, np.ndarray], state: tuple | None) -> tuple[np.ndarray, tuple]:
+        """The answers to rows of one key, and the state after them."""
+        ...
 
     def forgotten(self, state: tuple, last: int) -> int:
         """Time from which on the state says nothing any more; `last` is that of the last row."""
@@ -79,10 +97,15 @@ class Walk:
     reads: str = "ok boolean"
     state: str = "state bigint"
 
-    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]:
-        ok = rows["ok"].to_numpy(dtype=bool)
-        flags, end = self.rule.walk(rows["at"].to_numpy(), state[0] if state else None, ok=ok)
-        return flags.astype(int).tolist(), (int(end),)
+    def columns(self, rows: pa.Table) -> dict[str, np.ndarray]:
+        return {"at": rows["at"].to_numpy(), "ok": pc.fill_null(rows["ok"], False).to_numpy()}
+
+    def answers(self, rows: dict[str, np.ndarray], state: tuple | None) -> tuple[np.ndarray, tuple]:
+        flags, end = np.zeros(len(rows["at"]), dtype=bool), state[0] if state else None
+        for low in range(0, len(flags), PIECE):
+            piece = slice(low, low + PIECE)
+            flags[piece], end = self.rule.walk(rows["at"][piece], end, ok=rows["ok"][piece])
+        return flags, (int(end),)
 
     def forgotten(self, state: tuple, last: int) -> int:
         return state[0]
@@ -98,16 +121,27 @@ class ProgressChanges:
     retention: int
     reads: str = "status string, progress int"
     state: str = "known boolean, progress int, closed boolean"
+    # Stands for null among the numbers; no int has it.
+    nothing: int = 2**40
+
+    def columns(self, rows: pa.Table) -> dict[str, np.ndarray]:
+        terminal = pc.is_in(rows["status"], value_set=pa.array(TERMINAL_STATUSES, pa.string()))
+        progress = pc.fill_null(rows["progress"].cast(pa.int64()), self.nothing)
+        return {"terminal": terminal.to_numpy(), "progress": progress.to_numpy()}
 
-    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]:
+    def answers(self, rows: dict[str, np.ndarray], state: tuple | None) -> tuple[np.ndarray, tuple]:
         known, before, closed = state or (False, None, False)
-        found = []
-        for status, progress in zip(rows["status"], rows["progress"], strict=True):
-            progress = None if pd.isna(progress) else int(progress)
-            terminal = status in TERMINAL_STATUSES
-            found.append(int(not closed and (terminal or not known or progress != before)))
-            known, before, closed = True, progress, closed or terminal
-        return found, (known, before, closed)
+        terminal, progress = rows["terminal"], rows["progress"]
+        changed = np.ones(len(progress), dtype=bool)
+        changed[1:] = progress[1:] != progress[:-1]
+        if known:
+            changed[0] = progress[0] != (self.nothing if before is None else before)
+        over = np.logical_or.accumulate(terminal) | closed
+        found = changed | terminal
+        found[0] &= not closed
+        found[1:] &= ~over[:-1]
+        end = int(progress[-1])
+        return found, (True, None if end == self.nothing else end, bool(over[-1]))
 
     def forgotten(self, state: tuple, last: int) -> int:
         return last + self.retention
@@ -121,119 +155,190 @@ class Attempts:
     reads: str = ""
     state: str = "attempts bigint"
 
-    def answers(self, rows: pd.DataFrame, state: tuple | None) -> tuple[list[int], tuple]:
-        before = state[0] if state else 0
-        return list(range(before + 1, before + len(rows) + 1)), (before + len(rows),)
+    def columns(self, rows: pa.Table) -> dict[str, np.ndarray]:
+        return {"at": rows["at"].to_numpy()}
+
+    def answers(self, rows: dict[str, np.ndarray], state: tuple | None) -> tuple[np.ndarray, tuple]:
+        before, n = state[0] if state else 0, len(rows["at"])
+        return np.arange(before + 1, before + n + 1), (before + n,)
 
     def forgotten(self, state: tuple, last: int) -> int:
         return last + self.retention
 
 
-def _pieces(rows: pd.DataFrame) -> list[tuple[bytes]]:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    pieces = []
-    for low in range(0, len(rows), PIECE):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table.slice(low, PIECE))
-        pieces.append((sink.getvalue().to_pybytes(),))
-    return pieces
+def _pieces(rows: pa.Table) -> Iterator[list[tuple[bytes]]]:
+    """The rows as Arrow streams of at most PIECE rows, PIECES at a time."""
+    for first in range(0, rows.num_rows, PIECE * PIECES):
+        pieces = []
+        for low in range(first, min(first + PIECE * PIECES, rows.num_rows), PIECE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows.slice(low, PIECE).combine_chunks())
+            pieces.append((sink.getvalue().to_pybytes(),))
+        yield pieces
+
+
+def _put(held, pieces: Iterator[list[tuple]]) -> None:
+    """Replaces a list of the state."""
+    held.clear()
+    for some in pieces:
+        held.appendList(some)
 
 
 class InOrder(StatefulProcessor):
-    """Applies a rule to the rows of a key in order of (at, event_id), whatever order they come in.
+    """Applies a rule to the rows of each key of a bucket in order of (at, event_id), whatever order they come in.
 
-    Holds the rule's state after all rows behind the watermark, and a buffer of the others with their answers. A
-    timer wakes the key when the watermark has passed its buffer, and when its state says nothing any more: then
-    the key leaves nothing behind.
+    Holds the rule's state of each key after all rows behind the watermark, and a buffer of the others, in order, with
+    their answers. A timer wakes the bucket when the watermark has passed the first row of its buffer, and when the state
+    of a key says nothing any more: then the key leaves nothing behind.
     """
 
-    def __init__(self, rule: Sequence, key: str, delays: tuple[int, ...] = (), most: int = 0):
-        self.rule, self.key, self.delays, self.most = rule, key, delays, most
-        self.names = ["at", "event_id", *(c.split()[0] for c in rule.reads.split(", ") if c)]
+    def __init__(self, rule: Sequence, key: str, kind: str, delays: tuple[int, ...] = (), most: int = 0):
+        self.rule, self.key, self.kind, self.delays, self.most = rule, key, kind, delays, most
+        reads = [tuple(c.split()) for c in rule.reads.split(", ") if c]
+        self.names = ["at", "event_id", *(name for name, _ in reads)]
+        typed = [(key, kind), ("at", "bigint"), ("event_id", "bigint"), *reads]
+        self.schema = pa.schema([(name, ARROW_TYPES[of]) for name, of in typed])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", f"{self.rule.state}, last bigint")
+        self.settled = handle.getMapState("settled", f"{self.key} {self.kind}", f"{self.rule.state}, last bigint")
         self.buffer = handle.getListState("buffer", "piece binary")
         self.wake = handle.getValueState("wake", "ms bigint")
         if self.delays:
-            self.due = handle.getListState("due", "at bigint, event_id bigint, attempt bigint")
+            self.due = handle.getListState("due", f"{self.key} {self.kind}, at bigint, event_id bigint, attempt bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        new = pd.concat([piece[self.names] for piece in rows], ignore_index=True)
-        late = new["at"].isna() | (new["at"] < passed)
-        if late.any():
-            yield self._out(key, new[late].assign(answer=None), late=True)
-        yield from self._settle(key, passed, new[~late].assign(answer=None))
+        pieces = (piece[self.schema.names] for piece in rows)
+        new = pa.concat_tables([pa.Table.from_pandas(piece, self.schema, preserve_index=False) for piece in pieces])
+        in_time = pc.fill_null(pc.greater_equal(new["at"], passed), False)
+        yield from self._out(new.filter(pc.invert(in_time)), None, late=True)
+        yield from self._settle(passed, new.filter(in_time))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.wake.exists() and self.wake.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
             self.wake.clear()
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs() * 1000, None)
-
-    def _settle(self, key, passed: int, new: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-        waiting = [pa.ipc.open_stream(piece).read_pandas() for (piece,) in self.buffer.get()] if self.buffer.exists() else []
-        waiting += [] if new is None or new.empty else [new]
-        *state, last = self.settled.get() if self.settled.exists() else (None, None)
-        state = tuple(state) if last is not None else None
-        kept = pd.DataFrame(columns=[*self.names, "answer"])
-        if waiting:
-            rows = pd.concat([w.astype({"answer": "float64"}) for w in waiting], ignore_index=True)
-            rows = rows.sort_values(["at", "event_id"], ignore_index=True)
-            rows["at"] = rows["at"].astype("int64")
-            answers, _ = self.rule.answers(rows, state)
-            changed = rows["answer"].to_numpy() != np.array(answers)
-            rows["answer"] = answers
-            if changed.any():
-                yield self._out(key, rows[changed])
-            done, kept = rows[rows["at"] < passed], rows[rows["at"] >= passed]
-            if len(done):
-                _, state = self.rule.answers(done, state)
-                last = int(done["at"].iloc[-1])
-                self.settled.update((*state, last))
-                self._plan(done)
-            if len(done) or new is not None:
-                self.buffer.put(_pieces(kept)) if len(kept) else self.buffer.clear()
-        times = [int(kept["at"].iloc[0])] if len(kept) else []
-        if state is not None and not times:
-            over = self.rule.forgotten(state, last)
-            if over <= passed:
-                self.settled.clear()
+            yield from self._settle(timerValues.getCurrentWatermarkInMs() * 1000, None)
+
+    def _settle(self, passed: int, new: pa.Table | None) -> Iterator[pd.DataFrame]:
+        """Answers what waits, and settles what the watermark has passed; without new rows, looks at all that is held."""
+        rows = self._waiting(new)
+        at, numbers = rows["at"].to_numpy(), self.rule.columns(rows)
+        answers = np.zeros(rows.num_rows, dtype="int64")
+        held = self.settled.exists()
+        states = dict(self.settled.iterator()) if held and new is None else {}
+        states = {tuple(of)[0]: tuple(state) for of, state in states.items()}
+        times = []
+        for of, low, high in self._keys(rows):
+            if held and new is not None:
+                found = self.settled.getValue((of,))
+                state = None if found is None else tuple(found)
+            else:
+                state = states.pop(of, None)
+            known, (*state, last) = state is not None, state or (None,)
+            state = tuple(state) if known else None
+            end = low + int(np.searchsorted(at[low:high], passed, side="left"))
+            if low < end:
+                answers[low:end], state = self.rule.answers({c: v[low:end] for c, v in numbers.items()}, state)
+                last = int(at[end - 1])
+            if end < high:
+                answers[end:high], _ = self.rule.answers({c: v[end:high] for c, v in numbers.items()}, state)
+                over = int(at[end])
             else:
+                over = self.rule.forgotten(state, last)
+            if over > passed or end < high:
                 times.append(over)
-        if self.delays and self.due.exists():
-            planned = list(self.due.get())
-            come = [one for one in planned if one[0] <= passed]
-            rest = [one for one in planned if one[0] > passed]
-            if come:
-                yield self._out(key, pd.DataFrame(come, columns=["at", "event_id", "answer"]), due=True)
-                self.due.put(rest) if rest else self.due.clear()
-            times += [one[0] for one in rest]
+                if low < end:
+                    self.settled.updateValue((of,), (*state, last))
+            elif known:
+                self.settled.removeKey((of,))
+        for of, (*state, last) in states.items():
+            over = self.rule.forgotten(tuple(state), last)
+            if over > passed:
+                times.append(over)
+            else:
+                self.settled.removeKey((of,))
+        before = pc.fill_null(rows["answer"], -1).to_numpy()
+        yield from self._out(rows.filter(pa.array(before != answers)), answers[before != answers])
+        kept = at >= passed
+        if new is not None and new.num_rows or not kept.all():
+            waits = rows.set_column(rows.num_columns - 1, "answer", pa.array(answers))
+            _put(self.buffer, _pieces(waits.filter(pa.array(kept))))
+        if self.delays:
+            come, times = self._due(passed, rows.filter(pa.array(~kept)), answers[~kept], new is None, times)
+            yield from self._out(come.select(self.schema.names), come["answer"].to_numpy(), due=True)
         if times:
-            ms = min(times) // 1000 + 1
-            if not self.wake.exists() or self.wake.get()[0] > ms:
-                self.wake.update((ms,))
-                self.handle.registerTimer(ms)
-
-    def _plan(self, done: pd.DataFrame) -> None:
-        """Notes when the retries of failures that are certain will come due."""
-        if not self.delays:
+            self._wake_at(min(times) // 1000 + 1)
+
+    def _waiting(self, new: pa.Table | None) -> pa.Table:
+        """The buffer with the new rows, in order of key, time and event; nulls come last."""
+        schema = self.schema.append(pa.field("answer", pa.int64()))
+        waiting = []
+        if self.buffer.exists():
+            waiting = [pa.ipc.open_stream(piece).read_all() for (piece,) in self.buffer.get()]
+        if new is None or not new.num_rows:
+            return pa.concat_tables([schema.empty_table(), *waiting]).combine_chunks()
+        rows = pa.concat_tables([*waiting, new.append_column("answer", pa.nulls(new.num_rows, pa.int64()))])
+        del waiting, new
+        order = pc.sort_indices(rows, [(c, "ascending") for c in (self.key, "at", "event_id")])
+        return rows.take(order).combine_chunks()
+
+    def _keys(self, rows: pa.Table) -> Iterator[tuple[object, int, int]]:
+        """Each key of sorted rows, and where its rows begin and end."""
+        if not rows.num_rows:
+            return
+        coded = pc.dictionary_encode(rows[self.key], null_encoding="encode").combine_chunks()
+        codes = coded.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        names = coded.dictionary.to_pylist()
+        for low, high in zip(edges, edges[1:]):
+            yield names[codes[low]], low, high
+
+    def _due(
+        self, passed: int, done: pa.Table, answers: np.ndarray, woken: bool, times: list[int]
+    ) -> tuple[pa.Table, list[int]]:
+        """Retries that have come due; the others of failures that are certain are noted, with the time of the first."""
+        certain = answers <= self.most
+        numbers = answers[certain]
+        waits = np.array(self.delays, dtype="int64")[np.minimum(numbers, len(self.delays)) - 1] * MICROS
+        done = done.filter(pa.array(certain))
+        columns = [done[self.key], pa.array(done["at"].to_numpy() + waits), done["event_id"], pa.array(numbers)]
+        names = [self.key, "at", "event_id", "answer"]
+        planned = pa.table(columns, names)
+        old = woken and self.due.exists()
+        if old:
+            stored = list(zip(*self.due.get()))
+            stored = pa.table([pa.array(c, planned.schema.field(n).type) for c, n in zip(stored, names)], names)
+            planned = pa.concat_tables([stored, planned])
+        come = pc.less_equal(planned["at"], passed)
+        rest = planned.filter(pc.invert(come))
+        listed = list(zip(*(rest[n].to_pylist() for n in names)))
+        if old:
+            self.due.clear()
+        for low in range(0, len(listed), PIECE):
+            self.due.appendList(listed[low : low + PIECE])
+        planned = planned.filter(come)
+        for name in self.schema.names:
+            if name not in names:
+                planned = planned.append_column(name, pa.nulls(planned.num_rows, self.schema.field(name).type))
+        return planned, times + ([pc.min(rest["at"]).as_py()] if listed else [])
+
+    def _wake_at(self, ms: int) -> None:
+        """The one timer of the bucket: what can happen next is never before it."""
+        before = self.wake.get()[0] if self.wake.exists() else None
+        if before is not None and before <= ms:
             return
-        certain = [
-            (int(at) + self.delays[min(n, len(self.delays)) - 1] * MICROS, int(event), int(n))
-            for at, event, n in zip(done["at"], done["event_id"], done["answer"])
-            if n <= self.most
-        ]
-        if certain:
-            self.due.appendList(certain)
-
-    def _out(self, key, rows: pd.DataFrame, late: bool = False, due: bool = False) -> pd.DataFrame:
-        out = rows.reindex(columns=[*self.names, "answer"]).assign(late=late, due=due)
-        out["answer"] = out["answer"].astype("Int64")
-        out.insert(0, self.key, key[0])
-        return out
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.wake.update((ms,))
+        self.handle.registerTimer(ms)
+
+    def _out(self, rows: pa.Table, answers: np.ndarray | None, late: bool = False, due: bool = False) -> Iterator[pd.DataFrame]:
+        for low in range(0, rows.num_rows, PIECE):
+            out = rows.select(self.schema.names).slice(low, PIECE).to_pandas(integer_object_nulls=True)
+            some = [None] * len(out) if answers is None else answers[low : low + PIECE]
+            yield out.assign(answer=pd.array(some, dtype="Int64"), late=late, due=due)
 
     def close(self) -> None:
         pass
@@ -254,12 +359,12 @@ def in_order(
     where the last call for this folder has stopped.
     """
     rows = stream.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts"))
-    processor = InOrder(rule, key, **planned)
     kind = dict(stream.dtypes)[key]
+    processor = InOrder(rule, key, kind, **planned)
     reads = f"{rule.reads}, " if rule.reads else ""
     answered = (
-        rows.select(key, *processor.names)
-        .groupBy(key)
+        rows.select(F.pmod(F.hash(key), F.lit(BUCKETS)).alias(BUCKET), key, *processor.names)
+        .groupBy(BUCKET)
         .transformWithStateInPandas(
             processor,
             f"{key} {kind}, at bigint, event_id bigint, {reads}answer bigint, late boolean, due boolean",

@@ -160,3 +160,104 @@ def test_streamed_products_equal_a_run_over_all_pages(spark, sf_dir, tmp_path):
     batch = pipeline.run(pages, max_pages=None).products
     columns = ("keyword", "page_no", "pos", "item_number", "title", "price")
     assert pairs(stream_pages.read_products(spark, out), *columns) == pairs(batch, *columns)
+
+
+class _Held:
+    """State of one bucket, in memory."""
+
+    def __init__(self):
+        self.value, self.most = None, 0
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.value = {**(self.value or {}), key: value}
+
+    def getValue(self, key):
+        return (self.value or {}).get(key)
+
+    def removeKey(self, key):
+        del self.value[key]
+
+    def iterator(self):
+        return iter(self.value.items())
+
+    def appendList(self, values):
+        self.most, self.value = max(self.most, len(values)), [*(self.value or []), *values]
+
+    def clear(self):
+        self.value = None
+
+
+class _Bucket:
+    """A handle whose timers are a list, and its own clock."""
+
+    def __init__(self, passed=0):
+        self.held, self.timers, self.ms = {}, [], passed
+
+    def _state(self, name, *_):
+        return self.held.setdefault(name, _Held())
+
+    getValueState = getListState = getMapState = _state
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.timers.pop(0)
+
+
+def test_a_hot_key_is_answered_and_held_piece_by_piece():
+    import numpy as np
+    import pandas as pd
+
+    n = 3 * state.PIECE * state.PIECES // 2
+    at = np.random.default_rng(1).permutation(n) * 1_000_000 + 1_000_000_000
+    rows = pd.DataFrame({"endpoint": "click", "at": at, "event_id": at, "ok": True})
+    bucket = _Bucket()
+    processor = state.InOrder(state.Walk(requests.bucket_rule(0.25, 3)), "endpoint", "string")
+    processor.init(bucket)
+    found = list(processor.handleInputRows((0,), iter([rows[:n // 2], rows[n // 2:]]), bucket))
+    assert max(map(len, found)) <= state.PIECE
+    assert bucket.held["buffer"].most <= state.PIECES
+    got = pd.concat(found).sort_values("at")
+    flags, _ = requests.walk_bucket(np.sort(at), None, 4_000_000, 12_000_000)
+    assert got["answer"].astype(int).tolist() == flags.astype(int).tolist()
+
+    bucket.ms = 10**9  # The watermark passes all rows, and the bucket is full again: nothing stays, nothing is said twice.
+    assert list(processor.handleExpiredTimer((0,), bucket, bucket)) == []
+    assert not any(held.exists() for held in bucket.held.values()) and not bucket.timers
+
+
+def test_many_keys_share_buckets_and_keep_their_own_states(spark, tmp_path):
+    """Null is a key too; rows of a second run go on from the states of the first."""
+    source = str(tmp_path / "in")
+    keys = [None, *range(2000)]
+    first = [(job, 4 * i + e, 100 + e, status, p) for i, job in enumerate(keys) for e, (status, p) in enumerate([("failed", 1), ("running", 1)])]
+    later = [(job, 4 * i + 2 + e, 5000 + e, status, 2) for i, job in enumerate(keys) for e, status in enumerate(["failed", "running"])]
+    retried, changed = str(tmp_path / "retried"), str(tmp_path / "changed")
+    held = {}
+    for rows in (first, later):
+        stream = _log(spark, source, rows)
+        routed = state.retries(stream, lateness="1 second", out=retried)
+        seen = state.progress(stream, lateness="1 second", out=changed)
+        held = {out: max(held.get(out, 0), _held(spark, out, "buffer")) for out in (retried, changed)}
+    # Rows wait by bucket, not by key.
+    assert 0 < held[retried] <= state.BUCKETS and 0 < held[changed] <= state.BUCKETS
+    decided = routed.where("status = 'retrying'")
+    assert pairs(decided, "event_id", "attempt") == sorted(((4 * i + 2 * k, 1 + k) for i in range(2001) for k in (0, 1)), key=repr)
+    # The terminal event of each job closes it.
+    assert pairs(seen, "event_id") == sorted(((4 * i,) for i in range(2001)), key=repr)
