@@ -32,9 +32,9 @@ from shelfwise.streaming.runner import drained_table, stored_table
 # How far out of order rows may come, and how long a key without new rows is remembered.
 LATENESS = "10 minutes"
 RETENTION_SECONDS = 30 * 86_400
-# Rows of one piece of a buffer, or of the answers, and pieces that go to the state store in one message.
+# Rows of one piece of a buffer, or of the answers, and new rows that are sorted in memory.
 PIECE = 10_000
-PIECES = 8
+RUN = 500_000
 # Buckets of keys. Checkpoints hold state by bucket, so the number is fixed.
 BUCKETS = 256
 BUCKET = "_bucket"
@@ -166,23 +166,60 @@ class Attempts:
         return last + self.retention
 
 
-def _pieces(rows: pa.Table) -> Iterator[list[tuple[bytes]]]:
-    """The rows as Arrow streams of at most PIECE rows, PIECES at a time."""
-    for first in range(0, rows.num_rows, PIECE * PIECES):
-        pieces = []
-        for low in range(first, min(first + PIECE * PIECES, rows.num_rows), PIECE):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as writer:
-                writer.write_table(rows.slice(low, PIECE).combine_chunks())
-            pieces.append((sink.getvalue().to_pybytes(),))
-        yield pieces
+def _pieces(rows: pa.Table) -> Iterator[pa.Table]:
+    for low in range(0, rows.num_rows, PIECE):
+        yield rows.slice(low, PIECE)
 
 
-def _put(held, pieces: Iterator[list[tuple]]) -> None:
-    """Replaces a list of the state."""
-    held.clear()
-    for some in pieces:
-        held.appendList(some)
+def _packed(rows: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows.combine_chunks())
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _sorted(rows: pa.Table, by: list[str]) -> pa.Table:
+    """Nulls come last."""
+    return rows.take(pc.sort_indices(rows, [(c, "ascending") for c in by])).combine_chunks()
+
+
+def _merged(runs: list[Iterator[pa.Table]], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of sorted runs in order, a block at a time; about a piece of each run is held."""
+    if len(runs) == 1:
+        yield from runs[0]
+        return
+    held: list[pa.Table] = []
+
+    def load(run: int) -> None:
+        piece = next(runs[run], None)
+        if piece is not None:
+            # The run whose piece ends with this row; what comes after it can be up to the next piece.
+            ends = np.full(piece.num_rows, -1)
+            ends[-1] = run
+            held.append(piece.append_column("ends", pa.array(ends)))
+
+    for run in range(len(runs)):
+        load(run)
+    while held:
+        rows = _sorted(pa.concat_tables(held), by)
+        ends = rows["ends"].to_numpy()
+        cut = int(np.argmax(ends >= 0))
+        yield rows.slice(0, cut + 1).drop_columns("ends")
+        held = [rows.slice(cut + 1)] if cut + 1 < rows.num_rows else []
+        load(int(ends[cut]))
+
+
+@dataclass
+class _Key:
+    """Where a key stands while its rows are walked."""
+
+    of: object
+    known: bool
+    settled: tuple | None
+    last: int | None
+    now: tuple | None
+    changed: bool = False
+    waits: int | None = None
 
 
 class InOrder(StatefulProcessor):
@@ -191,6 +228,9 @@ class InOrder(StatefulProcessor):
     Holds the rule's state of each key after all rows behind the watermark, and a buffer of the others, in order, with
     their answers. A timer wakes the bucket when the watermark has passed the first row of its buffer, and when the state
     of a key says nothing any more: then the key leaves nothing behind.
+
+    The buffer is read and written piece by piece. Many new rows are sorted in runs, which wait beside the buffer and are
+    merged with it, so memory does not grow with the rows of a key.
     """
 
     def __init__(self, rule: Sequence, key: str, kind: str, delays: tuple[int, ...] = (), most: int = 0):
@@ -199,90 +239,123 @@ class InOrder(StatefulProcessor):
         self.names = ["at", "event_id", *(name for name, _ in reads)]
         typed = [(key, kind), ("at", "bigint"), ("event_id", "bigint"), *reads]
         self.schema = pa.schema([(name, ARROW_TYPES[of]) for name, of in typed])
+        self.order = [key, "at", "event_id"]
 
     def init(self, handle) -> None:
         self.handle = handle
         self.settled = handle.getMapState("settled", f"{self.key} {self.kind}", f"{self.rule.state}, last bigint")
-        self.buffer = handle.getListState("buffer", "piece binary")
+        self.buffer = handle.getMapState("buffer", "number bigint", "piece binary")
+        self.numbers = handle.getValueState("numbers", "low bigint, high bigint")
         self.wake = handle.getValueState("wake", "ms bigint")
         if self.delays:
             self.due = handle.getListState("due", f"{self.key} {self.kind}, at bigint, event_id bigint, attempt bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        pieces = (piece[self.schema.names] for piece in rows)
-        new = pa.concat_tables([pa.Table.from_pandas(piece, self.schema, preserve_index=False) for piece in pieces])
-        in_time = pc.fill_null(pc.greater_equal(new["at"], passed), False)
-        yield from self._out(new.filter(pc.invert(in_time)), None, late=True)
-        yield from self._settle(passed, new.filter(in_time))
+        low, high = self.numbers.get() if self.numbers.exists() else (0, 0)
+        runs, new, size = [(low, high)], [], 0
+        for piece in rows:
+            some = pa.Table.from_pandas(piece[self.schema.names], self.schema, preserve_index=False)
+            in_time = pc.fill_null(pc.greater_equal(some["at"], passed), False)
+            yield from self._out(some.filter(pc.invert(in_time)), None, late=True)
+            some = some.filter(in_time)
+            new.append(some.append_column("answer", pa.nulls(some.num_rows, pa.int64())))
+            size += some.num_rows
+            if size >= RUN:
+                first, high = high, self._store(_pieces(_sorted(pa.concat_tables(new), self.order)), high)
+                runs.append((first, high))
+                new, size = [], 0
+        sources = [self._stored(*run) for run in runs if run[0] < run[1]]
+        if size:
+            sources.append(_pieces(_sorted(pa.concat_tables(new), self.order)))
+        del new
+        if sources:
+            yield from self._settle(passed, sources, high, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.wake.exists() and self.wake.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
             self.wake.clear()
-            yield from self._settle(timerValues.getCurrentWatermarkInMs() * 1000, None)
+            low, high = self.numbers.get() if self.numbers.exists() else (0, 0)
+            yield from self._settle(timerValues.getCurrentWatermarkInMs() * 1000, [self._stored(low, high)], high, True)
 
-    def _settle(self, passed: int, new: pa.Table | None) -> Iterator[pd.DataFrame]:
-        """Answers what waits, and settles what the watermark has passed; without new rows, looks at all that is held."""
-        rows = self._waiting(new)
-        at, numbers = rows["at"].to_numpy(), self.rule.columns(rows)
-        answers = np.zeros(rows.num_rows, dtype="int64")
+    def _settle(self, passed: int, runs: list[Iterator[pa.Table]], free: int, woken: bool) -> Iterator[pd.DataFrame]:
+        """Answers what waits, and settles what the watermark has passed; when woken, looks at all states that are held.
+
+        What still waits is stored again, under numbers from `free` on.
+        """
         held = self.settled.exists()
-        states = dict(self.settled.iterator()) if held and new is None else {}
-        states = {tuple(of)[0]: tuple(state) for of, state in states.items()}
-        times = []
-        for of, low, high in self._keys(rows):
-            if held and new is not None:
-                found = self.settled.getValue((of,))
-                state = None if found is None else tuple(found)
-            else:
-                state = states.pop(of, None)
-            known, (*state, last) = state is not None, state or (None,)
-            state = tuple(state) if known else None
-            end = low + int(np.searchsorted(at[low:high], passed, side="left"))
-            if low < end:
-                answers[low:end], state = self.rule.answers({c: v[low:end] for c, v in numbers.items()}, state)
-                last = int(at[end - 1])
-            if end < high:
-                answers[end:high], _ = self.rule.answers({c: v[end:high] for c, v in numbers.items()}, state)
-                over = int(at[end])
-            else:
-                over = self.rule.forgotten(state, last)
-            if over > passed or end < high:
-                times.append(over)
-                if low < end:
-                    self.settled.updateValue((of,), (*state, last))
-            elif known:
-                self.settled.removeKey((of,))
+        states = {tuple(of)[0]: tuple(state) for of, state in self.settled.iterator()} if held and woken else {}
+        times, certain, waiting, size, high = [], [], [], 0, free
+        one = None
+        for rows in _merged(runs, self.order):
+            at, numbers = rows["at"].to_numpy(), self.rule.columns(rows)
+            answers = np.zeros(rows.num_rows, dtype="int64")
+            done = np.zeros(rows.num_rows, dtype=bool)
+            for of, low, top in self._keys(rows):
+                if one is None or of != one.of:
+                    if one is not None:
+                        times += self._finish(one, passed)
+                    found = states.pop(of, None) if woken else self.settled.getValue((of,)) if held else None
+                    *state, last = found or (None,)
+                    state = tuple(state) if found else None
+                    one = _Key(of, found is not None, state, last, state)
+                end = low + int(np.searchsorted(at[low:top], passed, side="left"))
+                for first, after in ((low, end), (end, top)):
+                    if first < after:
+                        part = {c: v[first:after] for c, v in numbers.items()}
+                        answers[first:after], one.now = self.rule.answers(part, one.now)
+                        if after == end:
+                            one.settled, one.last, one.changed = one.now, int(at[end - 1]), True
+                if end < top and one.waits is None:
+                    one.waits = int(at[end])
+                done[low:end] = True
+            before = pc.fill_null(rows["answer"], -1).to_numpy()
+            yield from self._out(rows.filter(pa.array(before != answers)), answers[before != answers])
+            rows = rows.set_column(rows.num_columns - 1, "answer", pa.array(answers))
+            if self.delays:
+                certain.append(rows.filter(pa.array(done & (answers <= self.most))))
+            waiting.append(rows.filter(pa.array(~done)))
+            size += waiting[-1].num_rows
+            if size >= PIECE:
+                high = self._store(_pieces(pa.concat_tables(waiting)), high)
+                waiting, size = [], 0
+        if size:
+            high = self._store(_pieces(pa.concat_tables(waiting)), high)
+        self.numbers.update((free, high)) if free < high else self.numbers.clear()
+        if one is not None:
+            times += self._finish(one, passed)
         for of, (*state, last) in states.items():
-            over = self.rule.forgotten(tuple(state), last)
-            if over > passed:
-                times.append(over)
-            else:
-                self.settled.removeKey((of,))
-        before = pc.fill_null(rows["answer"], -1).to_numpy()
-        yield from self._out(rows.filter(pa.array(before != answers)), answers[before != answers])
-        kept = at >= passed
-        if new is not None and new.num_rows or not kept.all():
-            waits = rows.set_column(rows.num_columns - 1, "answer", pa.array(answers))
-            _put(self.buffer, _pieces(waits.filter(pa.array(kept))))
+            times += self._finish(_Key(of, True, tuple(state), last, None), passed)
         if self.delays:
-            come, times = self._due(passed, rows.filter(pa.array(~kept)), answers[~kept], new is None, times)
-            yield from self._out(come.select(self.schema.names), come["answer"].to_numpy(), due=True)
+            come, times = self._due(passed, certain, woken, times)
+            yield from self._out(come, come["answer"].to_numpy(), due=True)
         if times:
             self._wake_at(min(times) // 1000 + 1)
 
-    def _waiting(self, new: pa.Table | None) -> pa.Table:
-        """The buffer with the new rows, in order of key, time and event; nulls come last."""
-        schema = self.schema.append(pa.field("answer", pa.int64()))
-        waiting = []
-        if self.buffer.exists():
-            waiting = [pa.ipc.open_stream(piece).read_all() for (piece,) in self.buffer.get()]
-        if new is None or not new.num_rows:
-            return pa.concat_tables([schema.empty_table(), *waiting]).combine_chunks()
-        rows = pa.concat_tables([*waiting, new.append_column("answer", pa.nulls(new.num_rows, pa.int64()))])
-        del waiting, new
-        order = pc.sort_indices(rows, [(c, "ascending") for c in (self.key, "at", "event_id")])
-        return rows.take(order).combine_chunks()
+    def _finish(self, one: _Key, passed: int) -> list[int]:
+        """Stores the state of a key, or forgets it; when to look at the key again."""
+        over = self.rule.forgotten(one.settled, one.last) if one.waits is None else one.waits
+        if over <= passed:
+            if one.known:
+                self.settled.removeKey((one.of,))
+            return []
+        if one.changed:
+            self.settled.updateValue((one.of,), (*one.settled, one.last))
+        return [over]
+
+    def _store(self, pieces: Iterator[pa.Table], number: int) -> int:
+        """The next number that is free."""
+        for piece in pieces:
+            self.buffer.updateValue((number,), _packed(piece))
+            number += 1
+        return number
+
+    def _stored(self, low: int, high: int) -> Iterator[pa.Table]:
+        """Takes pieces out of the buffer."""
+        for number in range(low, high):
+            (piece,) = self.buffer.getValue((number,))
+            self.buffer.removeKey((number,))
+            yield pa.ipc.open_stream(piece).read_all()
 
     def _keys(self, rows: pa.Table) -> Iterator[tuple[object, int, int]]:
         """Each key of sorted rows, and where its rows begin and end."""
@@ -295,34 +368,25 @@ class InOrder(StatefulProcessor):
         for low, high in zip(edges, edges[1:]):
             yield names[codes[low]], low, high
 
-    def _due(
-        self, passed: int, done: pa.Table, answers: np.ndarray, woken: bool, times: list[int]
-    ) -> tuple[pa.Table, list[int]]:
+    def _due(self, passed: int, certain: list[pa.Table], woken: bool, times: list[int]) -> tuple[pa.Table, list[int]]:
         """Retries that have come due; the others of failures that are certain are noted, with the time of the first."""
-        certain = answers <= self.most
-        numbers = answers[certain]
-        waits = np.array(self.delays, dtype="int64")[np.minimum(numbers, len(self.delays)) - 1] * MICROS
-        done = done.filter(pa.array(certain))
-        columns = [done[self.key], pa.array(done["at"].to_numpy() + waits), done["event_id"], pa.array(numbers)]
+        schema = self.schema.append(pa.field("answer", pa.int64()))
+        done = pa.concat_tables([schema.empty_table(), *certain])
+        waits = np.array(self.delays, dtype="int64")[np.minimum(done["answer"].to_numpy(), len(self.delays)) - 1] * MICROS
+        planned = done.set_column(1, "at", pa.array(done["at"].to_numpy() + waits))
         names = [self.key, "at", "event_id", "answer"]
-        planned = pa.table(columns, names)
         old = woken and self.due.exists()
         if old:
-            stored = list(zip(*self.due.get()))
-            stored = pa.table([pa.array(c, planned.schema.field(n).type) for c, n in zip(stored, names)], names)
-            planned = pa.concat_tables([stored, planned])
+            noted = dict(zip(names, zip(*self.due.get())))
+            columns = [pa.array(noted.get(f.name, [None] * len(noted["at"])), f.type) for f in schema]
+            planned = pa.concat_tables([pa.table(columns, schema=schema), planned])
+            self.due.clear()
         come = pc.less_equal(planned["at"], passed)
         rest = planned.filter(pc.invert(come))
         listed = list(zip(*(rest[n].to_pylist() for n in names)))
-        if old:
-            self.due.clear()
         for low in range(0, len(listed), PIECE):
             self.due.appendList(listed[low : low + PIECE])
-        planned = planned.filter(come)
-        for name in self.schema.names:
-            if name not in names:
-                planned = planned.append_column(name, pa.nulls(planned.num_rows, self.schema.field(name).type))
-        return planned, times + ([pc.min(rest["at"]).as_py()] if listed else [])
+        return planned.filter(come), times + ([pc.min(rest["at"]).as_py()] if listed else [])
 
     def _wake_at(self, ms: int) -> None:
         """The one timer of the bucket: what can happen next is never before it."""

@@ -166,7 +166,7 @@ class _Held:
     """State of one bucket, in memory."""
 
     def __init__(self):
-        self.value, self.most = None, 0
+        self.value = None
 
     def exists(self):
         return bool(self.value)
@@ -190,7 +190,7 @@ class _Held:
         return iter(self.value.items())
 
     def appendList(self, values):
-        self.most, self.value = max(self.most, len(values)), [*(self.value or []), *values]
+        self.value = [*(self.value or []), *values]
 
     def clear(self):
         self.value = None
@@ -220,22 +220,32 @@ class _Bucket:
         return self.timers.pop(0)
 
 
-def test_a_hot_key_is_answered_and_held_piece_by_piece():
+def test_a_hot_key_is_answered_and_held_piece_by_piece(monkeypatch):
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
-    n = 3 * state.PIECE * state.PIECES // 2
+    monkeypatch.setattr(state, "PIECE", 1000)
+    monkeypatch.setattr(state, "RUN", 20_000, raising=False)
+    n = 200_000
     at = np.random.default_rng(1).permutation(n) * 1_000_000 + 1_000_000_000
-    rows = pd.DataFrame({"endpoint": "click", "at": at, "event_id": at, "ok": True})
     bucket = _Bucket()
     processor = state.InOrder(state.Walk(requests.bucket_rule(0.25, 3)), "endpoint", "string")
     processor.init(bucket)
-    found = list(processor.handleInputRows((0,), iter([rows[:n // 2], rows[n // 2:]]), bucket))
-    assert max(map(len, found)) <= state.PIECE
-    assert bucket.held["buffer"].most <= state.PIECES
-    got = pd.concat(found).sort_values("at")
+    pieces = (
+        pd.DataFrame({"endpoint": "click", "at": at[low : low + 5000], "event_id": at[low : low + 5000], "ok": True})
+        for low in range(0, n, 5000)
+    )
+    found, most, before = [], 0, pa.total_allocated_bytes()
+    for answered in processor.handleInputRows((0,), pieces, bucket):
+        most = max(most, pa.total_allocated_bytes() - before)
+        found.append((len(answered), answered["at"].to_numpy(), answered["answer"].to_numpy(dtype=int)))
+    assert max(rows for rows, _, _ in found) <= state.PIECE
+    # A row takes some 37 bytes; a part of the rows is held at a time.
+    assert most < 37 * n / 2
     flags, _ = requests.walk_bucket(np.sort(at), None, 4_000_000, 12_000_000)
-    assert got["answer"].astype(int).tolist() == flags.astype(int).tolist()
+    assert np.concatenate([times for _, times, _ in found]).tolist() == np.sort(at).tolist()
+    assert np.concatenate([answers for _, _, answers in found]).tolist() == flags.astype(int).tolist()
 
     bucket.ms = 10**9  # The watermark passes all rows, and the bucket is full again: nothing stays, nothing is said twice.
     assert list(processor.handleExpiredTimer((0,), bucket, bucket)) == []
