@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import rolling
-from shelfwise.runtime import staged
+from shelfwise.runtime import spread, staged
 
 # The model predicts one of CLASSES: the end of a text, the TOP most frequent words, and classes of the
 # other words by their last bytes. Inside a class the words share its probability by their counts.
@@ -26,7 +26,11 @@ RATE = 0.25
 ROUNDS = 2  # each round takes its share of the texts of a shard; after it the models of all shards are averaged
 # Training tokens of a shard, about: what one model learns from before it is averaged with the others.
 SHARD_TOKENS = 400_000
-BLOCK_BYTES = 8_000_000
+# Words that make up at least one in FREQUENT training tokens, so at most FREQUENT words, go to every task with their
+# counts; texts ask for the counts of their other words by a join.
+FREQUENT = 1_000_000
+SCORED = 512  # rows of outputs at a time: they stay in a core's cache
+SAFE = 80.0  # exponents up to here neither overflow nor vanish in 32 bits
 END = 0
 START = CLASSES  # context before the first word
 SEED = 11
@@ -62,12 +66,19 @@ class Model:
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the targets, by batched products with all outputs."""
         out = np.empty(len(targets), np.float64)
-        for i in range(0, len(targets), BATCH):
-            score = self.predicted(contexts[i : i + BATCH]) @ self.output.T + self.bias
-            score -= score.max(axis=1, keepdims=True)
-            own = score[np.arange(len(score)), targets[i : i + BATCH]].astype(np.float64)
+        outputs = np.concatenate([self.output, self.bias[:, None]], axis=1).T.copy()
+        longest, highest = np.linalg.norm(self.output, axis=1).max(), np.abs(self.bias).max()
+        ones = np.ones(len(self.bias), np.float32)
+        for i in range(0, len(targets), SCORED):
+            own = targets[i : i + SCORED]
+            predicted = np.ones((len(own), WIDTH + 1), np.float32)
+            predicted[:, :-1] = self.predicted(contexts[i : i + SCORED])
+            score = predicted @ outputs
+            if not np.sqrt(np.einsum("nw,nw->n", predicted, predicted).max()) * longest + highest < SAFE:
+                score -= score.max(axis=1, keepdims=True)
+            own = score[np.arange(len(own)), own].astype(np.float64)
             np.exp(score, out=score)
-            out[i : i + BATCH] = own - np.log(score.sum(axis=1, dtype=np.float64))
+            out[i : i + SCORED] = own - np.log((score @ ones).astype(np.float64))
         return out
 
 
@@ -87,9 +98,10 @@ class Trainer:
 
     @staticmethod
     def _by_row(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
-        edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        return rows[order][edges], np.add.reduceat(gradient[order], edges, axis=0)
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows = rows[order]
+        edges = np.flatnonzero(np.diff(rows, prepend=-1))
+        return rows[edges], np.add.reduceat(gradient.take(order, axis=0), edges, axis=0)
 
     def learn(self, contexts: np.ndarray, targets: np.ndarray) -> None:
         m = self.model
@@ -117,17 +129,24 @@ class Trainer:
 
 
 class Vocabulary:
-    """Classes of words: the top words by hash, all others by their ending."""
+    """Classes of words: the top words by hash, all others by their ending; and the counts of all frequent words."""
+
+    def __init__(self, top: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.own = np.zeros(len(words), np.int64)  # class of a top word, 0 for others
+        self.own[np.searchsorted(self.words, top)] = 1 + np.arange(len(top))
 
-    def __init__(self, top: np.ndarray):
-        self.order = np.argsort(top)
-        self.top = top[self.order]
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each word among the frequent ones, whether it is one)."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return at, self.words[at] == hashes
 
-    def classes(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        if not len(self.top):
-            return 1 + TOP + endings
-        at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
-        return np.where(self.top[at] == hashes, 1 + self.order[at], 1 + TOP + endings)
+    def classes(self, at: np.ndarray, known: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        own = np.where(known, self.own[at], 0) if len(self.own) else at
+        return np.where(own > 0, own, 1 + TOP + endings)
 
 
 def tokens(texts: pa.Array) -> tuple[rolling.Words, np.ndarray]:
@@ -143,20 +162,23 @@ def tokens(texts: pa.Array) -> tuple[rolling.Words, np.ndarray]:
     return words, (rolling.mix(value) % np.uint64(TAIL)).astype(np.int64)
 
 
-def sequences(words: rolling.Words, classes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(targets with an end per text, their contexts, row of each, place of the words among the targets)."""
+def _contexts(targets: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """The CONTEXT targets before each one, of which `since` stand before it in its text."""
+    contexts = np.full((len(targets), CONTEXT), START, np.int64)
+    for k in range(1, min(CONTEXT, len(targets) - 1) + 1):
+        contexts[k:, k - 1] = np.where(since[k:] >= k, targets[:-k], START)
+    return contexts
+
+
+def with_ends(words: rolling.Words, classes: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(targets with an end per text, row of each, place of the words among the targets)."""
     sizes = np.bincount(words.row, minlength=n_rows) + 1
-    ends = np.cumsum(sizes) - 1
-    rows = np.repeat(np.arange(n_rows), sizes)
-    targets = np.full(len(rows), END, np.int64)
-    place = np.flatnonzero(~np.isin(np.arange(len(rows)), ends, assume_unique=True))
+    inside = np.ones(len(classes) + n_rows, bool)
+    inside[np.cumsum(sizes) - 1] = False
+    place = np.flatnonzero(inside)
+    targets = np.full(len(inside), END, np.int64)
     targets[place] = classes
-    since = np.arange(len(rows)) - np.repeat(ends - sizes + 1, sizes)
-    contexts = np.full((len(rows), CONTEXT), START, np.int64)
-    for k in range(1, CONTEXT + 1):
-        known = np.flatnonzero(since >= k)
-        contexts[known, k - 1] = targets[known - k]
-    return targets, contexts, rows, place
+    return targets, np.repeat(np.arange(n_rows), sizes), place
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +199,7 @@ def _encode(vocabulary: Vocabulary):
         for batch in batches:
             for part in rolling.pieces(batch, "text"):
                 words, endings = tokens(part.column("text"))
-                targets, _, rows, _ = sequences(words, vocabulary.classes(words.hash, endings), part.num_rows)
+                targets, rows, _ = with_ends(words, vocabulary.classes(*vocabulary.find(words.hash), endings), part.num_rows)
                 raw = targets.astype(np.uint16)
                 offsets = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32) * 2
                 values = pa.BinaryArray.from_buffers(
@@ -192,12 +214,7 @@ def _contexts_of(targets: np.ndarray) -> np.ndarray:
     """The CONTEXT classes before each token of whole texts; each text ends with END."""
     ends = np.flatnonzero(targets == END)
     begins = np.concatenate([[0], ends[:-1] + 1])
-    since = np.arange(len(targets)) - np.repeat(begins, ends - begins + 1)
-    contexts = np.full((len(targets), CONTEXT), START, np.int64)
-    for k in range(1, CONTEXT + 1):
-        known = np.flatnonzero(since >= k)
-        contexts[known, k - 1] = targets[known - k]
-    return contexts
+    return _contexts(targets, np.arange(len(targets)) - np.repeat(begins, ends - begins + 1))
 
 
 def _train(shares: np.ndarray, start: np.ndarray):
@@ -272,61 +289,48 @@ def train(docs: DataFrame, vocabulary: Vocabulary, shares: np.ndarray, n_tokens:
     return vector
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block) of every word that stands in a block; a word can come once for each piece of a large block."""
-    for batch in batches:
-        for part in rolling.pieces(batch, "text"):
-            words = rolling.spaced_words(part.column("text"))
-            block = part.column("block").to_numpy()[words.row]
-            order = np.lexsort((words.hash, block))
-            h, b = words.hash[order], block[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (np.diff(b) != 0) | (h[1:] != h[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(b[new])], ["word", "block"])
-
-
 def _score(vocabulary: Vocabulary, vector: np.ndarray, class_totals: np.ndarray, class_sizes: np.ndarray, total: int, distinct: int, ends: int):
+    """Per text, the sums over its end and its frequent words, and what its other words add without their counts;
+    `asks` and `times` are those other words. Base and score both lack the log10(count + 1) of each of these."""
     model = Model.of(vector)
     log_base = np.log10(total + distinct + 1)
+    log_class = np.log10(class_totals + class_sizes + 1.0)
 
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        known = counts.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        known, n = known[order], counts.column("n").to_numpy()[order]
-        out = []
-        for batch in texts.combine_chunks().to_batches():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for part in rolling.pieces(batch, "text"):
+                n_rows = part.num_rows
                 words, endings = tokens(part.column("text"))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
-                    c = np.where(known[at] == words.hash, n[at], 0)
-                else:
-                    c = np.zeros(len(words.hash), np.int64)
-                classes = vocabulary.classes(words.hash, endings)
-                targets, contexts, rows, place = sequences(words, classes, part.num_rows)
-                all_c = np.full(len(targets), ends, np.int64)
-                all_c[place] = c
-                base = np.log10(all_c + 1.0) - log_base
-                score = model.log_probabilities(contexts, targets)
+                at, frequent = vocabulary.find(words.hash)
+                classes = vocabulary.classes(at, frequent, endings)
+                targets, rows, _ = with_ends(words, classes, n_rows)
+                score = model.log_probabilities(_contexts_of(targets), targets) / np.log(10)
+                asked = np.flatnonzero(~frequent)
+                c = np.zeros(len(at))
+                c[frequent] = vocabulary.counts[at[frequent]]
+                counted = np.log10(c + 1.0)
                 # Of a tail class, a word gets count + 1 parts, and unknown words share one part.
-                tail = place[classes > TOP]
-                tail_class = targets[tail]
-                score[tail] += np.log((all_c[tail] + 1.0) / (class_totals[tail_class] + class_sizes[tail_class] + 1.0))
-                sums = lambda x: np.bincount(rows, weights=x, minlength=part.num_rows)
-                out.append(
-                    pa.table(
-                        {
-                            "doc_id": part.column("doc_id"),
-                            "held_out": part.column("held_out"),
-                            "n_tokens": pa.array(sums(np.ones(len(rows))).astype(np.int64)),
-                            "n_known": pa.array(sums(all_c > 0).astype(np.int64)),
-                            "train_tokens": pa.array(np.full(part.num_rows, total), pa.int64()),
-                            "base_score": pa.array(sums(base)),
-                            "score": pa.array(sums(score) / np.log(10)),
-                        }
-                    )
+                within = np.where(classes > TOP, counted - log_class[classes], 0.0)
+                sums = lambda at, x: np.bincount(at, weights=x, minlength=n_rows)
+                n_words = np.bincount(words.row, minlength=n_rows)
+                own = sums(words.row, counted) + np.log10(ends + 1.0) - (n_words + 1) * log_base
+                order = asked[np.lexsort((words.hash[asked], words.row[asked]))]
+                h, r = words.hash[order], words.row[order]
+                new = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (h != np.roll(h, 1)))
+                asks = np.bincount(r[new], minlength=n_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("held_out"),
+                        pa.array(n_words + 1, pa.int64()),
+                        pa.array((np.bincount(words.row[c > 0], minlength=n_rows) + (ends > 0)).astype(np.int64)),
+                        pa.array(own),
+                        pa.array(sums(rows, score) + sums(words.row, within)),
+                        rolling.lists(h[new].view(np.int64), asks, pa.int64()),
+                        rolling.lists(np.diff(new, append=len(h)), asks, pa.int64()),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "asks", "times"],
                 )
-        return pa.concat_tables(out)
 
     return run
 
@@ -340,12 +344,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     Tokens are words between ASCII white space with A-Z in lower case, and one end per text. Words are
     known by 64-bit hashes. Counts cover all training texts, and the model trains on all of them; what
-    goes to every task is the model and its TOP words, of fixed size. The network itself tells the end and the
-    TOP words apart; of other words it gives the class, and counts give the share within it (on the given
-    tables the network decides alone on about a third of the tokens). Word counts reach the texts by
-    blocks of about BLOCK_BYTES: each block asks once for each of its words. A null text is empty and has
-    its end alone. A null doc_id is not held out. Repeated rows are scored and learned one by one. Without
-    training texts all counts are 0 and the model is uniform but for its random start.
+    goes to every task is the model, its TOP words and the counts of at most FREQUENT words, of bounded size. The
+    network itself tells the end and the TOP words apart; of other words it gives the class, and counts give the
+    share within it (on the given tables the network decides alone on about a third of the tokens). Texts are
+    scored where they are read, by the network and the frequent words; of its other words each text asks once for
+    the count, by a join, and only sums come back. A null text is empty and has its end alone. A null doc_id is not
+    held out. Repeated rows are scored and learned one by one. Without training texts all counts are 0 and the model
+    is uniform but for its random start.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
@@ -371,19 +376,34 @@ def score_texts(docs: DataFrame) -> DataFrame:
         totals[1 + TOP + row["ending"]], sizes[1 + TOP + row["ending"]] = row["n"], row["v"]
     total, distinct = int(totals.sum()), int(sizes.sum()) if ends else 0
     shares = (totals + 1) / (totals + 1).sum()
-    vocabulary = Vocabulary(np.array([w for w, _ in top], np.int64).view(np.uint64))
-    vector = train(training, vocabulary, shares, total)
-
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(volume // BLOCK_BYTES) + 1
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    asked = blocked.select("text", "block").mapInArrow(_ask, "word long, block long")
-    answers = asked.join(counts.select("word", "n"), "word").select("block", "word", "n")
-    scored = _score(vocabulary, vector, totals, sizes, total, distinct, ends)
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        scored,
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    often = F.col("n") >= total / FREQUENT
+    words, n = (np.array(x, np.int64) for x in zip(*top, strict=True)) if top else (np.zeros(0, np.int64),) * 2
+    vector = train(training, Vocabulary(words.view(np.uint64), words.view(np.uint64), n), shares, total)
+
+    found = counts.where(often).select("word", "n").toArrow()
+    known, at = np.unique(np.concatenate([words, found["word"].to_numpy()]), return_index=True)
+    known_n = np.concatenate([n, found["n"].to_numpy()])[at]
+    vocabulary = Vocabulary(words.view(np.uint64), known.view(np.uint64), known_n)
+    scored = staged(
+        spread(rows).mapInArrow(
+            _score(vocabulary, vector, totals, sizes, total, distinct, ends),
+            f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, "
+            "asks array<long>, times array<long>",
+        ).withColumn("row", F.monotonically_increasing_id()),
+        "scored",
+    )
+    answers = (
+        scored.select("row", F.explode(F.arrays_zip("asks", "times")).alias("ask"))
+        .select("row", F.col("ask.asks").alias("word"), F.col("ask.times").alias("times"))
+        .join(counts.where(~often).select("word", "n"), "word")
+        .groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("counted"))
+    )
+    more, counted = F.coalesce("more", F.lit(0)), F.coalesce("counted", F.lit(0.0))
+    return scored.drop("asks", "times").join(answers, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + counted).alias("base_score"), (F.col("score") + counted).alias("score"),
+    )
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,38 @@ def test_training_learns_what_follows_what():
     for i in range(0, len(targets), 400):
         trainer.learn(contexts[i : i + 400], targets[i : i + 400])
     assert trainer.model.log_probabilities(contexts, targets).mean() > before + 0.3
+
+
+@pytest.mark.parametrize("frequent", [1, 40])
+def test_counts_of_rare_words_come_back_by_a_join(documents, monkeypatch, frequent):
+    """With hardly a frequent word, texts ask for nearly all counts; scores are those with all words known."""
+    rows = [(i % 50, f"the A{i % 7} b{i} b{i} the\tc{i // 3} end{i % 400}") for i in range(600)] + [(3, None), (None, "the zz")]
+    whole = sorted((repr(r[:-1]), r.score) for r in lm.score_texts(documents(rows)).select(*NAMES, "score").collect())
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    df = documents(rows)
+    assert sorted(found_scores(df), key=repr) == sorted(plain_scores(rows), key=repr)
+    asking = sorted((repr(r[:-1]), r.score) for r in lm.score_texts(df).select(*NAMES, "score").collect())
+    assert [k for k, _ in asking] == [k for k, _ in whole]
+    assert [x for _, x in asking] == pytest.approx([x for _, x in whole], abs=1e-6)
+
+
+NAMES = ("doc_id", "held_out", "n_tokens", "n_known")
+
+
+def test_large_scores_neither_overflow_nor_vanish():
+    shares = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    model = lm.Model.fresh(shares)
+    contexts = np.random.default_rng(0).integers(0, lm.CLASSES + 1, (700, lm.CONTEXT))
+    targets = np.arange(700) % lm.CLASSES
+    for scale in (1, 3000):
+        model.output = model.output * np.float32(scale)
+        score = (model.predicted(contexts) @ model.output.T + model.bias).astype(np.float64)
+        top = score.max(axis=1, keepdims=True)
+        every = score - top - np.log(np.exp(score - top).sum(axis=1, keepdims=True))
+        assert model.log_probabilities(contexts, targets) == pytest.approx(every[np.arange(700), targets], rel=1e-4, abs=1e-4)
+
+
+def test_texts_are_scored_where_they_are_read(spark, sf_dir):
+    """Disk: no shuffle carries texts or a row per word and block."""
+    plan = lm.op3_lm_scoring(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "text" not in plan.split("== Physical Plan ==")[1] and "FlatMapCoGroups" not in plan
