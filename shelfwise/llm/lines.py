@@ -27,6 +27,12 @@ BLOCKS = 5
 PART_LINES, PART_BYTES = 512, 2_000_000
 MANY = 2048
 
+# Candidate pairs are sifted SIFTED at a time, and a task verifies the sets of about BUCKET_BYTES of lines. BLOCK
+# characters of a line at a time are searched in the other line, for lines up to SEARCHED characters.
+SIFTED, BUCKET_BYTES = 8192, 4_000_000
+BLOCK, SEARCHED = 64, 4096
+BINS = 128
+
 EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
 CHOICES = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
 MASKS = [
@@ -43,10 +49,18 @@ def normal_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, rows
 
 
-def _majority(hashes: np.ndarray, edges: np.ndarray, counts: np.ndarray, kind: type) -> np.ndarray:
-    """Per segment, the bits that most of its hashes have. kind must hold the largest count."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, edges, axis=0, dtype=kind)
+# The 8 bits of a byte, one in each byte of a word.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _majority(hashes: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per segment, the bits that most of its hashes have."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    if counts.max() < 256:
+        # Eight counters of 8 bits in one sum.
+        ones = np.stack([np.add.reduceat(SPREAD[octets[:, k]], edges) for k in range(8)], axis=1).view(np.uint8)
+    else:
+        ones = np.add.reduceat(np.unpackbits(octets, axis=1, bitorder="little"), edges, axis=0, dtype=np.int32)
     return np.packbits(ones > (counts // 2)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
@@ -70,12 +84,12 @@ def simhash(words: rolling.Words) -> np.ndarray:
     edges = np.flatnonzero(np.diff(words.row, prepend=-1))
     counts = np.diff(edges, append=len(words.hash))
     if counts.max() < 256:
-        return _majority(words.hash, edges, counts, np.uint8)
+        return _majority(words.hash, edges, counts)
     out = np.empty(len(edges), np.uint64)
-    for chosen, kind in ((counts < 256, np.uint8), (counts >= 256, np.int32)):
+    for chosen in (counts < 256, counts >= 256):
         sizes = counts[chosen]
         if len(sizes):
-            out[chosen] = _majority(words.hash[np.repeat(chosen, counts)], np.cumsum(sizes) - sizes, sizes, kind)
+            out[chosen] = _majority(words.hash[np.repeat(chosen, counts)], np.cumsum(sizes) - sizes, sizes)
     return out
 
 
@@ -155,6 +169,20 @@ def _close_all(sims: np.ndarray, forest: Forest, members: np.ndarray) -> None:
             forest.join(members[k], members[k + 1 + x])
 
 
+def _any_close(sim: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a segment of more than two has close members. Large ones count as such without a look."""
+    sizes = ends - starts
+    found = sizes > 64
+    for size in range(3, 65):
+        which = np.flatnonzero(sizes == size)
+        for k in range(0, len(which), 4096):
+            some = which[k : k + 4096]
+            own = sim[starts[some, None] + np.arange(size)].view(np.uint64)
+            for step in range(1, size):
+                found[some] |= (np.bitwise_count(own[:, step:] ^ own[:, :-step]) <= MAX_BITS).any(axis=1)
+    return found
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by number and chosen bits: per key, its sets of close SimHashes as (a, b, home), with b the
     smallest hash of the set of a and home a hash of all members, the same for equal sets of other keys. One
@@ -163,9 +191,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept_number, kept = np.zeros(0, np.int8), np.zeros(0, np.int64)
 
     def edges(sim: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-        a, b, home = [], [], []
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(sim)]])
-        for i in np.flatnonzero(ends - starts > 1):
+        two = starts[ends - starts == 2]
+        one, other = sim[two], sim[two + 1]
+        near = np.bitwise_count((one ^ other).view(np.uint64)) <= MAX_BITS
+        one, other = one[near], other[near]
+        least, sets = np.minimum(one, other).view(np.uint64), rolling.mix(one.view(np.uint64)) + rolling.mix(other.view(np.uint64))
+        a, b, home = [one.view(np.uint64), other.view(np.uint64)], [least, least], [sets, sets]
+        for i in np.flatnonzero((ends - starts > 2) & _any_close(sim, starts, ends)):
             sims = np.unique(sim[starts[i] : ends[i]]).view(np.uint64)
             forest = Forest(len(sims))
             close(sims, forest, np.arange(len(sims)))
@@ -202,6 +235,31 @@ def _common(most: int, equal: Callable[[int], bool]) -> int:
     return low
 
 
+# How many words of either line to pass over, the fewest first.
+SKIPS = [(p, n - p) for n in (2, 1, 3, 4, 5, 6) for p in sorted(range(n + 1), key=lambda p, n=n: abs(2 * p - n))]
+
+
+def _few_words(a: str, b: str, most: float) -> bool:
+    """Whether replacing runs of words, one after the other, makes b of a with at most `most` characters. False says
+    nothing: there may be a shorter way."""
+    x, y = a.split(" "), b.split(" ")
+    own = set(x)
+    if 2 * len(own.intersection(y)) < len(own):
+        return False
+    i = j = 0
+    cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(((p, q) for p, q in SKIPS if x[i + p : i + p + 2] == y[j + q : j + q + 2] != []), (1, 1))
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j) <= most
+
+
 def edit_similar(a: str, b: str, least: float) -> bool:
     """Whether 1 - Levenshtein distance / longer length >= least (bit-parallel, one step per character)."""
     if a == b:
@@ -216,8 +274,10 @@ def edit_similar(a: str, b: str, least: float) -> bool:
     a, b = a[same:], b[same:]
     same = _common(len(b), lambda k: a[len(a) - k :] == b[len(b) - k :])
     a, b = a[: len(a) - same], b[: len(b) - same]
+    if len(a) <= most or _few_words(a, b, most):
+        return True
     if not b:
-        return len(a) <= most
+        return False
     where: dict[str, int] = {}
     for i, c in enumerate(b):
         where[c] = where.get(c, 0) | 1 << i
@@ -241,6 +301,105 @@ def edit_similar(a: str, b: str, least: float) -> bool:
     return distance <= most
 
 
+def _bags_apart(codes: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of lines i and j: characters that one has and the other lacks."""
+    lines, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    rows = np.repeat(np.arange(len(lines)), [len(codes[k]) for k in lines])
+    bags = np.bincount(rows * BINS + np.concatenate([codes[k] for k in lines]), minlength=len(lines) * BINS)
+    bags = bags.reshape(-1, BINS).astype(np.int32)
+    more = bags[at[: len(i)]] - bags[at[len(i) :]]
+    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+
+
+def _blocks_apart(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of a and b, where it is at most `most`: each block of BLOCK characters of a is
+    searched where it can stand in b, and the least distances are added (one 64-bit word per block, all at once)."""
+    n = np.array([len(x) // BLOCK for x in a])
+    pair = np.repeat(np.arange(len(a)), n)
+    begin = (np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)) * BLOCK
+    own = np.concatenate([x[: len(x) // BLOCK * BLOCK] for x in a]).reshape(-1, BLOCK)
+    rows = np.arange(len(pair))
+    masks = np.zeros((len(pair), BINS + 1), np.uint64)  # the last one is of a character that is nowhere
+    for k in range(BLOCK):
+        masks[rows, own[:, k]] |= np.uint64(1) << np.uint64(k)
+    masks = masks.ravel()
+    sizes = np.array([len(x) for x in b])
+    offsets = np.cumsum(sizes) - sizes
+    text = np.concatenate([*b, np.array([BINS], np.uint8)])
+    low = np.maximum(begin - most[pair], 0)
+    width = np.minimum(begin + BLOCK + most[pair], sizes[pair]) - low
+    low += offsets[pair]
+    rows *= BINS + 1
+    up, down = np.full(len(pair), ~np.uint64(0)), np.zeros(len(pair), np.uint64)
+    score = np.full(len(pair), BLOCK, np.int64)
+    best, one, top = score.copy(), np.uint64(1), np.uint64(BLOCK - 1)
+    for step in range(int(width.max(initial=0))):
+        match = masks[rows + text[np.where(step < width, low + step, len(text) - 1)]]
+        diagonal = (((match & up) + up) ^ up) | match
+        vertical = match | down
+        right_up = down | ~(diagonal | up)
+        right_down = up & diagonal
+        score += (right_up >> top).view(np.int64) - (right_down >> top).view(np.int64)
+        np.minimum(best, score, out=best)
+        right_up <<= one
+        right_down <<= one
+        up = right_down | ~(vertical | right_up)
+        down = right_up & vertical
+    return np.bincount(pair, weights=best, minlength=len(a))
+
+
+class Sieve:
+    """Classes of similar lines: cheap bounds for many pairs at once, then the pairs that are left one by one."""
+
+    def __init__(self, texts: list[str], similarity: float):
+        self.texts, self.similarity = texts, similarity
+        self.lengths = np.array([len(x) for x in texts], np.int64)
+        self.forest = Forest(len(texts))
+
+    def _most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (1 - self.similarity) * np.maximum(self.lengths[i], self.lengths[j]) + 1e-9
+
+    def _apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a lower bound shows that the lines are not similar."""
+        codes = {
+            k: (np.frombuffer(self.texts[k].encode("utf-32-le"), np.uint32) % BINS).astype(np.uint8)
+            for k in set(i.tolist()) | set(j.tolist())
+        }
+        most = self._most(i, j)
+        apart = _bags_apart(codes, i, j) > most
+        long = np.maximum(self.lengths[i], self.lengths[j])
+        rest = np.flatnonzero(~apart & (long >= BLOCK) & (long <= SEARCHED))
+        # Those that a few other words tell to be similar need no search.
+        rest = rest[[not self._alike(i[k], j[k], most[k]) for k in rest]] if len(rest) else rest
+        rest = rest[np.argsort(long[rest], kind="stable")]
+        blocks = np.cumsum(long[rest] // BLOCK) // 16384
+        for some in np.split(rest, np.flatnonzero(np.diff(blocks)) + 1) if len(rest) else []:
+            bound = _blocks_apart([codes[k] for k in i[some]], [codes[k] for k in j[some]], most[some].astype(np.int64))
+            apart[some] = bound > most[some]
+        return apart
+
+    def _alike(self, i: int, j: int, most: float) -> bool:
+        if self.forest.find(i) == self.forest.find(j):
+            return True
+        if _few_words(self.texts[i], self.texts[j], most):
+            self.forest.join(int(i), int(j))
+            return True
+        return False
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Join the similar ones of the pairs (i, j)."""
+        keep = np.abs(self.lengths[i] - self.lengths[j]) <= self._most(i, j)
+        i, j = i[keep], j[keep]
+        for k in range(0, len(i), SIFTED):
+            find = self.forest.find
+            some = np.array([k + x for x, (p, q) in enumerate(zip(i[k : k + SIFTED].tolist(), j[k : k + SIFTED].tolist(), strict=True)) if find(p) != find(q)], np.int64)
+            if not len(some):
+                continue
+            for p, q in zip(*(x[some][~apart].tolist() for apart in [self._apart(i[some], j[some])] for x in (i, j)), strict=True):
+                if find(p) != find(q) and edit_similar(self.texts[p], self.texts[q], self.similarity):
+                    self.forest.join(p, q)
+
+
 def _linked(forest: Forest, lines: list[bytes]) -> pa.Table:
     """Edges from members to the smallest of their set."""
     roots = [forest.find(i) for i in range(len(lines))]
@@ -251,23 +410,29 @@ def _linked(forest: Forest, lines: list[bytes]) -> pa.Table:
 
 
 def _verify(similarity: float):
-    """All pairs of part 0 and another part; those inside part 0 belong to the task of the first other part."""
+    """Of each set, all pairs of part 0 and another part; those inside part 0 belong to the first other part."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("line")
+        table = table.sort_by([("home", "ascending"), ("other", "ascending"), ("line", "ascending")])
         lines, texts = table.column("line").to_pylist(), table.column("text").to_pylist()
         sims = table.column("sim").to_numpy().view(np.uint64)
-        part = table.column("part").to_numpy()
-        apart = table.column("other")[0].as_py() > 1
-        forest = Forest(len(lines))
-        for i in range(len(lines) - 1):
-            near = np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= MAX_BITS
-            if apart and part[i] == 0:
-                near &= part[i + 1 :] != 0
-            for j in np.flatnonzero(near) + i + 1:
-                if forest.find(i) != forest.find(j) and edit_similar(texts[i], texts[j], similarity):
-                    forest.join(i, j)
-        return _linked(forest, lines)
+        home, other, part = (table.column(c).to_numpy() for c in ("home", "other", "part"))
+        sieve = Sieve(texts, similarity)
+        edges = [0, *(np.flatnonzero((np.diff(home) != 0) | (np.diff(other) != 0)) + 1), len(lines)]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for start, end in zip(edges, edges[1:], strict=False):
+            i, j = np.triu_indices(end - start, 1)
+            i, j = i + start, j + start
+            near = np.bitwise_count(sims[i] ^ sims[j]) <= MAX_BITS
+            if other[start] > 1:
+                near &= (part[i] != 0) | (part[j] != 0)
+            waiting.append((i[near], j[near]))
+            held += len(waiting[-1][0])
+            if held >= SIFTED or end == len(lines):
+                sieve.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting, held = [], 0
+        return _linked(sieve.forest, lines)
 
     return run
 
@@ -346,9 +511,11 @@ def line_classes(once: DataFrame, texts: DataFrame, similarity: float) -> DataFr
     others = F.when((F.col("part") == 0) & (F.col("parts") > 1), F.sequence(F.lit(1).cast("long"), F.col("parts") - 1))
     parted = homes.withColumn("part", part)
     tasks = parted.withColumn("other", F.explode(F.coalesce(others, F.array("part")))).join(read, "line")
+    volume = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(2 * volume // BUCKET_BYTES) + 1
     first = components(
         tasks.select("home", "other", "part", "line", "sim", "text")
-        .groupBy("home", "other")
+        .groupBy(F.pmod(F.xxhash64("home", "other"), F.lit(buckets)))
         .applyInArrow(_verify(similarity), "a binary, b binary")
     ).select(F.col("node").alias("line"), "root")
 

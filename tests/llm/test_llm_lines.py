@@ -147,3 +147,88 @@ def test_texts_lose_repeated_lines_and_nothing_else(documents, docs):
 def test_empty_table(documents):
     assert lines.line_report(documents([])).count() == 0
     assert lines.dedup_lines(documents([])).count() == 0
+
+
+def plain_classes(texts):
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if distance(texts[i], texts[j]) <= (1 - lines.SIMILARITY) * max(len(texts[i]), len(texts[j])) + 1e-9:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def altered(rng, text, n):
+    words = text.split(" ")
+    for _ in range(n):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randrange(2)] = rng.choice([[], ["ünlike"], ["of", "the"]])
+    return " ".join(words)
+
+
+def test_sieve_finds_the_classes_of_all_pairs():
+    """Also where the bounds leave a pair open, for characters beyond one byte, and for very short and empty lines."""
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "é" * 70, "e" * 70]
+    for _ in range(6):
+        base = sentence(rng, 35)
+        texts += [altered(rng, base, n) for n in (0, 1, 4, 8, 14, 20)]
+    i, j = np.triu_indices(len(texts), 1)
+    sieve = lines.Sieve(texts, lines.SIMILARITY)
+    sieve.add(i, j)
+    assert [sieve.forest.find(k) for k in range(len(texts))] == plain_classes(texts)
+
+
+def test_bounds_are_never_above_the_distance():
+    rng = random.Random(6)
+    pairs = [(base := sentence(rng, 30), altered(rng, base, rng.randrange(12))) for _ in range(40)]
+    codes = [[np.frombuffer(x.encode("utf-32-le"), np.uint32) % lines.BINS for x in own] for own in zip(*pairs, strict=True)]
+    apart = np.array([distance(a, b) for a, b in pairs])
+    found = lines._blocks_apart(*([x.astype(np.uint8) for x in own] for own in codes), apart)
+    assert (found <= apart).all() and found.any()
+    for (a, b), d in zip(pairs, apart, strict=True):
+        assert not lines._few_words(a, b, d - 1)
+
+
+def test_unlike_lines_are_not_compared_one_by_one(monkeypatch):
+    """Time: lines with close SimHashes of which the lengths alone do not tell that they differ."""
+    rng = random.Random(7)
+    asked = []
+    monkeypatch.setattr(lines, "edit_similar", lambda a, b, least: asked.append((a, b)))
+    texts = [sentence(rng, 60) for _ in range(40)]
+    n = len(texts)
+    table = pa.table(
+        {"home": pa.array([1] * n, pa.int64()), "other": pa.array([0] * n, pa.int64()), "part": pa.array([0] * n, pa.int64()),
+         "line": [f"{i:03}".encode() for i in range(n)], "sim": pa.array([5] * n, pa.int64()), "text": texts}
+    )
+    assert lines._verify(lines.SIMILARITY)(table).num_rows == 0 and not asked
+
+
+def test_stars_of_small_and_large_keys_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    rest = np.int64(~np.int64(lines.MASKS[0]))
+    sims = []
+    for size in (1, 2, 2, 2, 3, 3, 5, 70):
+        own = rng.integers(-(1 << 62), 1 << 62, dtype=np.int64) & np.int64(lines.MASKS[0])
+        free = rng.integers(0, 1 << 62, size, dtype=np.int64) & rest
+        free[1::2] = free[: len(free) // 2 * 2 : 2] ^ (rest & -rest)
+        sims.append(np.unique(own | free))
+    sim = np.concatenate(sims)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sim), np.int8)), pa.array(sim)], ["number", "sim"])
+    found = pa.Table.from_batches(lines._stars(iter([batch])))
+    expected = set()
+    for own in sims:
+        forest = lines.Forest(len(own))
+        lines._close_all(own.view(np.uint64), forest, np.arange(len(own)))
+        roots = [forest.find(k) for k in range(len(own))]
+        expected |= {(int(own[k]), int(own[r])) for k, r in enumerate(roots) if roots.count(r) > 1}
+    assert len(expected) > 60
+    assert set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == expected
+    homes = dict(zip(found["b"].to_pylist(), found["home"].to_pylist(), strict=True))
+    assert all(homes[b] == h for b, h in zip(found["b"].to_pylist(), found["home"].to_pylist(), strict=True))
