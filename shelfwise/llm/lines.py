@@ -28,9 +28,14 @@ PART_LINES, PART_BYTES = 512, 2_000_000
 MANY = 2048
 
 # Candidate pairs are sifted SIFTED at a time, and a task verifies the sets of about BUCKET_BYTES of lines. BLOCK
-# characters of a line at a time are searched in the other line, for lines up to SEARCHED characters.
+# characters of a line at a time are searched in the other line, for lines up to SEARCHED characters, some SEARCHES
+# blocks at once.
 SIFTED, BUCKET_BYTES = 8192, 4_000_000
-BLOCK, SEARCHED = 64, 4096
+# Text whose lines are hashed at a time: so little that numpy's arrays stay in the caches.
+PIECE_BYTES = 1 << 19
+# SimHashes that a task deals out by their keys at a time, and keys of a bucket.
+DEALT, BUCKET_KEYS = 1 << 18, 400_000
+BLOCK, SEARCHED, SEARCHES = 64, 4096, 4096
 BINS = 128
 
 EDGES = np.linspace(0, 64, BLOCKS + 1).round().astype(int)
@@ -96,7 +101,7 @@ def simhash(words: rolling.Words) -> np.ndarray:
 def _lines(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rolling.pieces(batch, "text"):
+            for part in rolling.pieces(batch, "text", PIECE_BYTES):
                 flat, rows = normal_lines(part.column("text"))
                 words = rolling.plain_words(flat)
                 filled, key = line_keys(words)
@@ -117,18 +122,14 @@ def _lines(with_text: bool):
                         part.column("doc_id").take(pa.array(row)),
                         pa.array(filled - firsts[row], pa.int32()),
                         pc.binary_length(flat).take(pa.array(filled)).cast(pa.int32()),
+                        pa.array(np.bincount(row, minlength=part.num_rows)[row], pa.int32()),
                     ],
-                    ["line", "sim", "doc_key", "doc_id", "at", "n_bytes"],
+                    ["line", "sim", "doc_key", "doc_id", "at", "n_bytes", "n_lines"],
                 )
 
     return run
 
 
-def block_choice(number: Column, sim: Column) -> Column:
-    """The bits of sim in the chosen blocks."""
-    return sim.bitwiseAND(F.get(F.array(*[F.lit(m) for m in MASKS]), number.cast("int")))
-
-
 class Forest:
     """Union of sets of 0..n-1; the smallest member stands for its set."""
 
@@ -169,18 +170,22 @@ def _close_all(sims: np.ndarray, forest: Forest, members: np.ndarray) -> None:
             forest.join(members[k], members[k + 1 + x])
 
 
-def _any_close(sim: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a segment of more than two has close members. Large ones count as such without a look."""
-    sizes = ends - starts
-    found = sizes > 64
-    for size in range(3, 65):
-        which = np.flatnonzero(sizes == size)
-        for k in range(0, len(which), 4096):
-            some = which[k : k + 4096]
-            own = sim[starts[some, None] + np.arange(size)].view(np.uint64)
-            for step in range(1, size):
-                found[some] |= (np.bitwise_count(own[:, step:] ^ own[:, :-step]) <= MAX_BITS).any(axis=1)
-    return found
+def _small_stars(sim: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, home) of many segments of the same size at once: the smallest place spreads from hash to close hash."""
+    at_once = (1 << 20) // size**2
+    for k in range(0, len(starts), at_once):
+        own = np.sort(sim[starts[k : k + at_once, None] + np.arange(size)], axis=1).view(np.uint64)
+        near = np.bitwise_count(own[:, :, None] ^ own[:, None, :]) <= MAX_BITS
+        some = np.count_nonzero(near, axis=(1, 2)) > size
+        own, near = own[some], near[some]
+        root, before = np.broadcast_to(np.arange(size), own.shape), None
+        while before is None or (root != before).any():
+            root, before = np.where(near, root[:, None, :], size).min(axis=2), root
+        flat, sims = (root + np.arange(len(own))[:, None] * size).ravel(), own.ravel()
+        sets = np.zeros(len(sims), np.uint64)
+        np.add.at(sets, flat, rolling.mix(sims))
+        near = np.bincount(flat, minlength=len(sims))[flat] > 1
+        yield sims[near], sims[flat[near]], sets[flat[near]]
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +203,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = one[near], other[near]
         least, sets = np.minimum(one, other).view(np.uint64), rolling.mix(one.view(np.uint64)) + rolling.mix(other.view(np.uint64))
         a, b, home = [one.view(np.uint64), other.view(np.uint64)], [least, least], [sets, sets]
-        for i in np.flatnonzero((ends - starts > 2) & _any_close(sim, starts, ends)):
+        sizes = ends - starts
+        for size in range(3, min(int(sizes.max(initial=0)), 64) + 1):
+            for star in _small_stars(sim, starts[sizes == size], size):
+                for column, new in zip((a, b, home), star, strict=True):
+                    column.append(new)
+        for i in np.flatnonzero(sizes > 64):
             sims = np.unique(sim[starts[i] : ends[i]]).view(np.uint64)
             forest = Forest(len(sims))
             close(sims, forest, np.arange(len(sims)))
@@ -226,6 +236,65 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges(kept, borders(kept_number, kept))
 
 
+def _dealt(buckets: int):
+    """(bucket, numbers, sims): for each number the SimHashes by a hash of their chosen bits, packed as bytes. For
+    number 0 a hash of several lines is sent twice."""
+
+    def deal(sims: np.ndarray) -> pa.RecordBatch:
+        sims, counts = np.unique(sims, return_counts=True)
+        salts = rolling.BASE * np.arange(len(MASKS), dtype=np.uint64)
+        keys = np.concatenate([(sims & mask).view(np.uint64) ^ salt for mask, salt in zip(MASKS, salts, strict=True)])
+        bucket = (rolling.mix(keys) % np.uint64(buckets)).astype(np.int32)
+        number = np.repeat(np.arange(len(MASKS), dtype=np.int8), len(sims))
+        several = np.flatnonzero(counts > 1)
+        bucket, number, sims = (
+            np.concatenate([x, x[several]]) for x in (bucket, number, np.tile(sims, len(MASKS)))
+        )
+        order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        offsets = np.append(starts, len(bucket))
+        packed = [
+            pa.Array.from_buffers(
+                pa.binary(), len(starts), [None, pa.py_buffer((offsets * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])]
+            )
+            for x in (number, sims)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *packed], ["bucket", "numbers", "sims"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column("sim").to_numpy())
+            n += len(held[-1])
+            if n >= DEALT:
+                yield deal(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield deal(np.concatenate(held))
+
+    return run
+
+
+def _bucket_stars(table: pa.Table) -> pa.Table:
+    """The stars of a bucket's keys, and (sim, sim, null) for each SimHash of several lines."""
+    numbers, sims = (
+        np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("numbers", np.int8), ("sims", np.int64))
+    )
+    several, sorted_numbers, sorted_sims = np.zeros(0, np.int64), [], []
+    for number, mask in enumerate(MASKS):
+        own, counts = np.unique(sims[numbers == number], return_counts=True)
+        if number == 0:
+            several = own[counts > 1]
+        sorted_sims.append(own[np.argsort(own & mask)])
+        sorted_numbers.append(np.full(len(own), number, np.int8))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate(sorted_numbers)), pa.array(np.concatenate(sorted_sims))], ["number", "sim"]
+    )
+    alone = pa.RecordBatch.from_arrays([several, several, pa.nulls(len(several), pa.int64())], ["a", "b", "home"])
+    return pa.Table.from_batches([*_stars(iter([batch])), alone])
+
+
 def _common(most: int, equal: Callable[[int], bool]) -> int:
     """Largest k up to `most` with equal(k), which holds for all smaller ones."""
     low, high = 0, most
@@ -311,35 +380,41 @@ def _bags_apart(codes: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> n
     return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
 
 
-def _blocks_apart(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+def _blocks_apart(
+    a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | None = None
+) -> np.ndarray:
     """A lower bound of the edit distance of a and b, where it is at most `most`: each block of BLOCK characters of a is
-    searched where it can stand in b, and the least distances are added (one 64-bit word per block, all at once)."""
-    n = np.array([len(x) // BLOCK for x in a])
+    searched where it can stand in b, and the least distances are added (one 64-bit word per block, all at once).
+    Blocks before `first` and from `last` on add nothing."""
+    n = np.array([len(x) // BLOCK for x in a], np.int64)
+    first = np.zeros_like(n) + first
+    n = np.maximum((n if last is None else last) - first, 0)
     pair = np.repeat(np.arange(len(a)), n)
-    begin = (np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)) * BLOCK
-    own = np.concatenate([x[: len(x) // BLOCK * BLOCK] for x in a]).reshape(-1, BLOCK)
-    rows = np.arange(len(pair))
-    masks = np.zeros((len(pair), BINS + 1), np.uint64)  # the last one is of a character that is nowhere
+    begin = (np.arange(len(pair)) - np.repeat(np.cumsum(n) - n - first, n)) * BLOCK
+    own = np.concatenate([x[f * BLOCK : (f + k) * BLOCK] for x, f, k in zip(a, first.tolist(), n.tolist(), strict=True)])
+    own = own.reshape(-1, BLOCK)
+    rows = np.arange(len(pair)) * (BINS + 1)
+    masks = np.zeros(len(pair) * (BINS + 1), np.uint64)  # the last one of a block is of a character that is nowhere
     for k in range(BLOCK):
-        masks[rows, own[:, k]] |= np.uint64(1) << np.uint64(k)
-    masks = masks.ravel()
+        masks[rows + own[:, k]] |= np.uint64(1) << np.uint64(k)
     sizes = np.array([len(x) for x in b])
     offsets = np.cumsum(sizes) - sizes
-    text = np.concatenate([*b, np.array([BINS], np.uint8)])
     low = np.maximum(begin - most[pair], 0)
-    width = np.minimum(begin + BLOCK + most[pair], sizes[pair]) - low
-    low += offsets[pair]
-    rows *= BINS + 1
+    steps = int((np.minimum(begin + BLOCK + most[pair], sizes[pair]) - low).max(initial=0))
+    # A search that goes on after its own part of the text can only lower the bound.
+    text = np.concatenate([*b, np.full(steps, BINS, np.uint8)]).astype(np.int64)
+    at = low + offsets[pair]
     up, down = np.full(len(pair), ~np.uint64(0)), np.zeros(len(pair), np.uint64)
     score = np.full(len(pair), BLOCK, np.int64)
     best, one, top = score.copy(), np.uint64(1), np.uint64(BLOCK - 1)
-    for step in range(int(width.max(initial=0))):
-        match = masks[rows + text[np.where(step < width, low + step, len(text) - 1)]]
+    for _ in range(steps):
+        match = masks.take(rows + text.take(at, mode="clip"), mode="clip")
+        at += 1
         diagonal = (((match & up) + up) ^ up) | match
         vertical = match | down
         right_up = down | ~(diagonal | up)
         right_down = up & diagonal
-        score += (right_up >> top).view(np.int64) - (right_down >> top).view(np.int64)
+        score += ((right_up >> top) - (right_down >> top)).view(np.int64)
         np.minimum(best, score, out=best)
         right_up <<= one
         right_down <<= one
@@ -369,15 +444,30 @@ class Sieve:
         apart = _bags_apart(codes, i, j) > most
         long = np.maximum(self.lengths[i], self.lengths[j])
         rest = np.flatnonzero(~apart & (long >= BLOCK) & (long <= SEARCHED))
-        # Those that a few other words tell to be similar need no search.
-        rest = rest[[not self._alike(i[k], j[k], most[k]) for k in rest]] if len(rest) else rest
-        rest = rest[np.argsort(long[rest], kind="stable")]
-        blocks = np.cumsum(long[rest] // BLOCK) // 16384
-        for some in np.split(rest, np.flatnonzero(np.diff(blocks)) + 1) if len(rest) else []:
-            bound = _blocks_apart([codes[k] for k in i[some]], [codes[k] for k in j[some]], most[some].astype(np.int64))
-            apart[some] = bound > most[some]
+        # Those that a few other words tell to be similar need no search, and half of the blocks tell most unlike lines.
+        rest = np.array([k for k in rest.tolist() if not self._alike(i[k], j[k], most[k])], np.int64)
+        early = (self.lengths[i] // BLOCK + 1) // 2
+        bound = np.zeros(len(i))
+        for some in self._runs(rest, long):
+            bound[some] = self._bound(codes, i[some], j[some], most[some], 0, early[some])
+        apart[rest] = bound[rest] > most[rest]
+        rest = rest[~apart[rest]]
+        for some in self._runs(rest, long):
+            bound[some] += self._bound(codes, i[some], j[some], most[some], early[some], None)
+        apart[rest] = bound[rest] > most[rest]
         return apart
 
+    @staticmethod
+    def _runs(rest: np.ndarray, long: np.ndarray) -> list[np.ndarray]:
+        """Pairs of similar length that have about SEARCHES blocks in half of each line."""
+        rest = rest[np.argsort(long[rest], kind="stable")]
+        blocks = np.cumsum(long[rest] // BLOCK) // (2 * SEARCHES)
+        return np.split(rest, np.flatnonzero(np.diff(blocks)) + 1) if len(rest) else []
+
+    @staticmethod
+    def _bound(codes, i, j, most, first, last) -> np.ndarray:
+        return _blocks_apart([codes[k] for k in i], [codes[k] for k in j], most.astype(np.int64), first, last)
+
     def _alike(self, i: int, j: int, most: float) -> bool:
         if self.forest.find(i) == self.forest.find(j):
             return True
@@ -447,13 +537,18 @@ def _verify_rest(similarity: float):
         root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         others = np.flatnonzero(~asks)
-        forest = Forest(len(lines))
+        sieve = Sieve(texts, similarity)
+        waiting, held = [], 0
         for i in np.flatnonzero(asks):
-            near = (np.bitwise_count(sims[others] ^ sims[i]) <= MAX_BITS) & (root[others] != root[i])
-            for j in others[near]:
-                if forest.find(i) != forest.find(j) and edit_similar(texts[i], texts[j], similarity):
-                    forest.join(i, j)
-        return _linked(forest, lines)
+            near = others[(np.bitwise_count(sims[others] ^ sims[i]) <= MAX_BITS) & (root[others] != root[i])]
+            waiting.append((np.full(len(near), i), near))
+            held += len(near)
+            if held >= SIFTED:
+                sieve.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting, held = [], 0
+        if waiting:
+            sieve.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+        return _linked(sieve.forest, lines)
 
     return run
 
@@ -468,28 +563,26 @@ def _homes(once: DataFrame) -> DataFrame:
     A connected group of SimHashes that fits one part is a set as a whole. A larger one, which may be a long
     chain, is compared by the sets of its keys instead.
     """
-    numbers = F.array(*[F.lit(i).cast("byte") for i in range(len(CHOICES))])
-    keys = once.select("sim").distinct().select(F.explode(numbers).alias("number"), "sim")
-    chosen = block_choice(F.col("number"), F.col("sim"))
-    # The chosen bits are computed again on either side of the shuffle rather than sent.
+    buckets = once.count() * len(CHOICES) // BUCKET_KEYS + 1
     stars = staged(
-        keys.repartition(F.xxhash64("number", chosen)).sortWithinPartitions("number", chosen)
-        .mapInArrow(_stars, "a long, b long, home long").distinct(),
+        once.select("sim").mapInArrow(_dealt(buckets), "bucket int, numbers binary, sims binary")
+        .groupBy("bucket").applyInArrow(_bucket_stars, "a long, b long, home long").distinct(),
         "stars",
     )
+    # All other lines are far from every line.
     groups = components(stars.select("a", "b")).select(F.col("node").alias("sim"), F.col("root").alias("group"))
-    grouped = once.select("line", "sim", "n_bytes").join(groups, "sim", "left").withColumn("group", F.coalesce("group", "sim"))
+    near = stars.select(F.col("a").alias("sim")).distinct().join(groups, "sim", "left")
+    grouped = once.select("line", "sim", "n_bytes").join(near, "sim").withColumn("group", F.coalesce("group", "sim"))
     sizes = (
         grouped.groupBy("group")
         .agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-        .where("n > 1")
         .select("group", _parts(F.col("n"), F.col("bytes")).alias("parts"))
     )
     wanted = staged(grouped.join(sizes, "group"), "wanted-lines")
     small = wanted.where("parts = 1").select("line", "sim", F.col("group").alias("home"), F.col("parts"))
     large = (
         wanted.where("parts > 1")
-        .join(stars.select(F.col("a").alias("sim"), "home"), "sim", "left")
+        .join(stars.where(F.col("home").isNotNull()).select(F.col("a").alias("sim"), "home"), "sim", "left")
         .select("line", "sim", F.coalesce("home", "sim").alias("home"), "n_bytes")
     )
     sizes = large.groupBy("home").agg(_parts(F.count("*"), F.sum("n_bytes")).alias("parts"))
@@ -552,7 +645,8 @@ def document_key():
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """From (doc_id, text): all lines with a word (doc_key, doc_id, at), and the repeated ones (doc_key, at).
+    """From (doc_id, text): all lines with a word (doc_key, doc_id, at, and n_lines of the document), and the repeated
+    ones (doc_key, at), as often as the row of the document.
 
     `at` counts the \\n-split lines of a text from 0. Lines are compared in lower case without punctuation
     and with digits as 0. Of each connected group the occurrence with the smallest (doc_id, at) stays; a
@@ -562,7 +656,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     id_type = ids.schema["doc_id"].dataType.simpleString()
     lines = staged(
         ids.select("doc_id", "doc_key", "text").mapInArrow(
-            _lines(False), f"line binary, sim long, doc_key binary, doc_id {id_type}, at int, n_bytes int"
+            _lines(False), f"line binary, sim long, doc_key binary, doc_id {id_type}, at int, n_bytes int, n_lines int"
         ),
         "lines",
     )
@@ -590,7 +684,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
             & (F.col("stays.doc_key") == F.col("doc_key"))
         )
     )
-    return lines, repeated.select("doc_key", "at").distinct()
+    return lines, repeated.select("doc_key", "at")
 
 
 def _rebuild(gone_name: str):
@@ -616,7 +710,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     key, gone_at, lost = spare(docs, "line_key", "lines_gone", "lost_lines")
     _, repeated = repeated_lines(docs, similarity)
-    gone = repeated.groupBy("doc_key").agg(F.collect_list("at").alias(gone_at))
+    gone = repeated.groupBy("doc_key").agg(F.collect_set("at").alias(gone_at))
     joined = docs.withColumn(key, document_key()).join(gone.withColumnRenamed("doc_key", key), key, "left")
     rebuilt = joined.drop(key).withColumn(lost, F.col(gone_at).isNotNull())
     schema = rebuilt.drop(gone_at).schema
@@ -636,8 +730,8 @@ def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Repeated rows with the same doc_id and text are one document.
     """
     lines, repeated = repeated_lines(docs, similarity)
-    counts = lines.groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.count_distinct("at").alias("n_lines"))
-    gone = repeated.groupBy("doc_key").agg(F.sort_array(F.collect_list("at")).alias("removed"))
+    counts = lines.groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.max("n_lines").cast("long").alias("n_lines"))
+    gone = repeated.groupBy("doc_key").agg(F.sort_array(F.collect_set("at")).alias("removed"))
     none = F.array().cast("array<int>")
     return counts.join(gone, "doc_key", "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),

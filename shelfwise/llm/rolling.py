@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+# Bytes of words hashed at a time: few enough for the processor's caches.
+HASHED_BYTES = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -23,6 +25,7 @@ WHITE_SPACE = np.zeros(256, bool)
 WHITE_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # ASCII characters that are neither letters nor digits.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+PUNCTUATION_BYTES = PUNCTUATION.astype(np.uint8).tobytes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +54,7 @@ class Prefix:
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=self.sums[1:])
+        np.cumsum(BYTE_VALUES.take(data) * powers(BASE, len(data)), out=self.sums[1:])
         self.shift = powers(INVERSE, len(data) + 1)
 
     def windows(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -106,7 +109,7 @@ def find_words(text: Flat, separator: np.ndarray, folded: np.ndarray) -> Words:
     first[begins] = inside[begins]
     last[ends] = inside[ends]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    row = np.searchsorted(text.offsets, start, side="right") - 1
+    row = np.repeat(np.arange(len(text.offsets) - 1), np.diff(np.searchsorted(start, text.offsets)))
     return Words(start, end, row, word_hashes(folded, start, end))
 
 
@@ -114,7 +117,7 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(end, start[i] + HASHED_BYTES, side="right")))
         low, high = start[i], end[j - 1]
         out[i:j] = Prefix(data[low:high]).windows(start[i:j] - low, end[i:j] - low)
         i = j
@@ -132,12 +135,15 @@ def plain_words(texts: pa.Array) -> Words:
     Unicode (U+0080 to U+00BF, U+2000 to U+207F, U+3000 to U+303F) separate."""
     text = flat(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     data = text.data
-    separator = PUNCTUATION[data]
-    two = np.flatnonzero(data[:-1] == 0xC2)
-    three = np.flatnonzero(
-        ((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)))
-        | ((data[:-2] == 0xE3) & (data[1:-1] == 0x80))
-    )
+    separator = np.frombuffer(bytearray(data.tobytes().translate(PUNCTUATION_BYTES)), bool)
+    lead = np.flatnonzero(data[:-1] >= 0xC2)
+    two = lead[data[lead] == 0xC2]
+    lead = lead[lead < len(data) - 2]
+    first, second = data[lead], data[lead + 1]
+    three = lead[
+        ((first == 0xE2) & ((second == 0x80) | (second == 0x81)))
+        | ((first == 0xE3) & (second == 0x80))
+    ]
     separator[two] = separator[two + 1] = True
     separator[three] = separator[three + 1] = separator[three + 2] = True
     return find_words(text, separator, data)

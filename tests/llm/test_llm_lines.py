@@ -232,3 +232,47 @@ def test_stars_of_small_and_large_keys_are_those_of_all_pairs():
     assert set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == expected
     homes = dict(zip(found["b"].to_pylist(), found["home"].to_pylist(), strict=True))
     assert all(homes[b] == h for b, h in zip(found["b"].to_pylist(), found["home"].to_pylist(), strict=True))
+
+
+def test_dealt_keys_bring_all_close_hashes_together_in_few_rows():
+    """Cost: hashes travel packed, ten keys each, not in a row a key; those of several lines are named."""
+    rng = np.random.default_rng(8)
+    sims = rng.integers(-(1 << 62), 1 << 62, 300)
+    sims = np.concatenate([sims, *(sims[:60] ^ np.int64(sum(1 << int(b) for b in rng.choice(62, n, replace=False))) for n in (1, 2, 3, 3))])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["sim"]) for x in (sims, sims[5:9], sims[:3])]
+    dealt = pa.Table.from_batches(list(lines._dealt(7)(iter(batches))))
+    assert dealt.num_rows <= 7
+    found = pa.concat_tables([lines._bucket_stars(dealt.filter(pa.compute.equal(dealt["bucket"], k))) for k in range(7)])
+    several = [a for a, home in zip(found["a"].to_pylist(), found["home"].to_pylist(), strict=True) if home is None]
+    assert sorted(several) == sorted({*sims[5:9].tolist(), *sims[:3].tolist()})
+    homes = {}
+    for a, home in zip(found["a"].to_pylist(), found["home"].to_pylist(), strict=True):
+        homes.setdefault(a, set()).add(home)
+    i, j = np.triu_indices(len(sims), 1)
+    close = np.bitwise_count((sims[i] ^ sims[j]).view(np.uint64)) <= lines.MAX_BITS
+    assert close.sum() >= 240
+    for x, y in zip(sims[i[close]].tolist(), sims[j[close]].tolist(), strict=True):
+        assert homes[x] & homes[y] - {None}
+
+
+def test_the_rest_is_sifted_too(monkeypatch):
+    """Time: lines outside the largest class were compared with all others one by one."""
+    rng = random.Random(9)
+    asked = []
+    monkeypatch.setattr(lines, "edit_similar", lambda a, b, least: asked.append((a, b)))
+    texts = [sentence(rng, 60) for _ in range(30)]
+    texts += [texts[0] + " end"]
+    n = len(texts)
+    table = pa.table(
+        {"line": [f"{i:03}".encode() for i in range(n)], "root": [f"{i:03}".encode() for i in range(n)], "text": texts,
+         "sim": pa.array([5] * n, pa.int64()), "asks": [i == 0 for i in range(n)]}
+    )
+    assert lines._verify_rest(lines.SIMILARITY)(table).to_pylist() == [{"a": b"030", "b": b"000"}] and not asked
+
+
+def test_words_across_slices_and_around_punctuation_of_unicode(monkeypatch):
+    texts = ["", "Don\u2019t\u00a0stop\u3001now", "\u00e9t\u00e9 \u20ac5 \u2030", "a" * 50 + " b", None, "\u2014", "x\u2014"]
+    whole = rolling.plain_words(pa.array(texts))
+    assert whole.row.tolist() == [1] * 4 + [2] * 2 + [3] * 2 + [6]
+    monkeypatch.setattr(rolling, "HASHED_BYTES", 8)
+    assert all((a == b).all() for a, b in zip(whole, rolling.plain_words(pa.array(texts)), strict=True))
