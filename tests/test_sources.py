@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise import runtime
 from shelfwise.operators import details, jobs
 from shelfwise.plans import derived
+from shelfwise.schemas import PRODUCT_COLUMNS
 from shelfwise.sources import landing, sinks
 
 
@@ -140,3 +141,40 @@ def test_job_products_gives_every_product_of_each_completed_job(spark, tmp_path)
     # Part 11 is listed twice; its brand and those of the other odd keys is Brand#12.
     assert {(r.job_id, r.title) for r in found.collect()} == {(j, f"tin {k}") for j in (11, 41) for k in (2, 4, 6, 8, 10)}
     assert found.count() == 10
+
+
+def test_job_products_are_made_in_cells_that_keep_the_jobs_of_a_product_together(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "CELL_ROWS", 2000, raising=False)
+    monkeypatch.setattr(jobs, "CELL_JOBS", 20, raising=False)
+    asked = [(j, "hot", "completed") for j in range(59)] + [(None, "hot", "completed"), (70, "cold", "completed"), (71, "hot", "failed")]
+    held = [("hot_PRODUCTS.json", f"tin {k}") for k in range(500)] + [("cold_PRODUCTS.json", "pan")] * 2 + [("other_PRODUCTS.json", "tin 1")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as between large tables
+    try:
+        latest = spark.createDataFrame(asked, "job_id bigint, keyword string, status string")
+        found = jobs.job_products(latest, spark.createDataFrame(held, "output_name string, title string"))
+        assert found.columns == ["output_name", "job_id", "title"]
+        rows = found.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pairs = [(r.job_id, r.title) for r in rows if r.output_name == "hot_PRODUCTS.json"]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(j, f"tin {k}") for j in [*range(59), None] for k in range(500)}
+    assert [(r.job_id, r.title) for r in rows if r.output_name != "hot_PRODUCTS.json"] == [(70, "pan")] * 2
+    # 60 jobs are in 3 parts: no product is begun more often than that, and no task makes most of the rows.
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r.task, []).append((r.output_name, r.title))
+    assert sum(1 + sum(a != b for a, b in zip(t, t[1:], strict=False)) for t in tasks.values()) <= 3 * 502
+    assert max(map(len, tasks.values())) < len(rows) / 3
+
+
+def test_packed_json_artefacts_read_like_plain_ones_and_take_less_disk(spark, tmp_path):
+    fields = {c: F.lit("same in each row") for c in PRODUCT_COLUMNS} | {"title": F.format_string("tin %d", "id")}
+    made = spark.range(2000).select(
+        F.lit("tins").alias("keyword"), F.lit(1).alias("page_no"), F.col("id").alias("pos"), *[v.alias(c) for c, v in fields.items()]
+    )
+    sinks.write_products_json(made, f"{tmp_path}/plain")
+    sinks.write_products_json(made, f"{tmp_path}/packed", compression="gzip")
+    plain, packed = (landing.read_products_json(spark, f"{tmp_path}/{x}") for x in ("plain", "packed"))
+    assert packed.count() == 2000 and packed.exceptAll(plain).isEmpty()
+    size = {x: sum(p.stat().st_size for p in Path(tmp_path, x).rglob("part-*")) for x in ("plain", "packed")}
+    assert size["packed"] < size["plain"] / 5
